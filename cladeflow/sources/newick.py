@@ -13,7 +13,7 @@ _TOKENS = re.compile(r"[(),;]|[^(),;]+")
 
 
 def _nodes(text: str) -> list[tuple[str, str | None, float]]:
-    """Node, parent, length.  Names keep their underscores; unnamed nodes are numbered."""
+    """Node, parent, length.  Tip names keep their underscores; inner nodes are numbered."""
     rows: list[list] = [["", None, 0.0]]
     at, made = 0, 0
     for token in _TOKENS.findall(text.strip()):
@@ -33,8 +33,8 @@ def _nodes(text: str) -> list[tuple[str, str | None, float]]:
             rows[at][2] = float(length) if length else 0.0
     parents = {r[1] for r in rows}
     for i, r in enumerate(rows):
-        if i in parents or not r[0]:
-            r[0] = r[0] or f"inner_{made}"
+        if i in parents:                # inner labels are support values or repeat: number the nodes
+            r[0] = f"inner_{made}"
             made += 1
     return [(n, None if p is None else rows[p][0], d) for n, p, d in rows]
 
