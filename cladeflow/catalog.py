@@ -45,7 +45,7 @@ def benchmark_containment(v: Views) -> DataFrame:
 
 @query
 def kmer_prefilter(v: Views) -> DataFrame:
-    pairs = H.containment_pairs(v.turns(), v.references(), 8, 0.20, hot_references=8)
+    pairs = H.containment_pairs(v.queries(), v.references(), 8, 0.20, hot_references=8)
     return pairs.select("query_id", "ref_id", "shared", "n_ref", r6("containment"))
 
 
@@ -310,8 +310,8 @@ def _tips(v: Views) -> DataFrame:
 
 @query
 def tree_shape(v: Views) -> DataFrame:
-    return T.shape(v.tree_edges()).select("node", "parent", F.col("n_children").cast("bigint").alias("n_children"),
-                                          F.col("height").cast("bigint").alias("height"), "is_tip")
+    return T.shape(v.tree_edges()).nodes.select("node", "parent", F.col("n_children").cast("bigint").alias("n_children"),
+                                                F.col("depth").cast("bigint").alias("depth"), "is_tip")
 
 
 @query

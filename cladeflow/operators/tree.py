@@ -1,11 +1,14 @@
 """Trees as DataFrames: shape, Fitch parsimony, permutation null, neighbour joining, rooting.
 
 A tree is ``(node, parent, length)`` with string ids; the root's parent is NULL.  Tips are
-nodes without children.  ``shape`` adds what the level loops need.
+nodes without children.  ``shape`` adds child counts and depths, which the level loops need:
+all children of a node lie on one level, so a level is one aggregation.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,68 +19,87 @@ LEVELS_PER_CHECKPOINT = 8
 NODE_BYTES = 160
 
 
-def shape(edges: DataFrame) -> DataFrame:
-    """Add ``n_children, is_tip, height``; the height of a node is its longest way down to a tip."""
-    kids = edges.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("node")).agg(
-        F.count("*").cast("int").alias("n_children"))
-    nodes = checkpoint(edges.join(kids, "node", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0))))
-    up = nodes.select("node", "parent")
-    heights = nodes.filter("n_children = 0").select("node", F.lit(0).alias("height"))
-    level = heights
-    reached = 0
-    while True:
-        reached += 1
-        level = (level.join(up, "node").filter("parent IS NOT NULL")
-                 .select(F.col("parent").alias("node"), F.lit(reached).alias("height")).distinct())
-        if reached % LEVELS_PER_CHECKPOINT == 0:
-            level = checkpoint(level)
-        if level.isEmpty():
-            break
-        heights = heights.unionByName(level)
-    heights = heights.groupBy("node").agg(F.max("height").alias("height"))
-    return checkpoint(nodes.join(heights, "node").withColumn("is_tip", F.col("n_children") == 0))
+@dataclass(frozen=True)
+class Tree:
+    """``nodes(node, parent, length, n_children, is_tip, depth)`` with its size in numbers."""
+
+    nodes: DataFrame
+    n_nodes: int
+    n_tips: int
+    max_depth: int
+    tip_depths: tuple[int, ...]
+
+    @property
+    def tips(self) -> DataFrame:
+        return self.nodes.filter("is_tip").select(F.col("node").alias("tip"))
 
+    @property
+    def bytes(self) -> int:
+        return self.n_nodes * NODE_BYTES
 
-def tips(tree: DataFrame) -> DataFrame:
-    return tree.filter("is_tip").select(F.col("node").alias("tip"))
+    def level(self, depth: int) -> DataFrame:
+        return self.nodes.filter(F.col("depth") == depth)
 
 
-def fitch_changes(tree: DataFrame, carriers: DataFrame, by: list[str]) -> DataFrame:
+def shape(edges: DataFrame) -> Tree:
+    """Count children and find depths by pointer jumping: one join per doubling of the depth."""
+    kids = edges.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("node")).agg(
+        F.count("*").cast("int").alias("n_children"))
+    jump = edges.select("node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"))
+    while True:
+        jump = checkpoint(jump)
+        if jump.filter("up IS NOT NULL").isEmpty():
+            break
+        far = jump.select(F.col("node").alias("up"), F.col("up").alias("over"), F.col("depth").alias("more"))
+        jump = jump.join(far, "up", "left").select(
+            "node", F.col("over").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+    nodes = checkpoint(edges.join(jump.select("node", "depth"), "node").join(kids, "node", "left")
+                       .withColumn("n_children", F.coalesce("n_children", F.lit(0)))
+                       .withColumn("is_tip", F.col("n_children") == 0))
+    size = nodes.agg(F.count("*").alias("n"), F.count_if("is_tip").alias("tips"), F.max("depth").alias("deep"),
+                     F.collect_set(F.when(F.col("is_tip"), F.col("depth"))).alias("at")).first()
+    return Tree(nodes, size.n, size.tips, size.deep or 0, tuple(sorted(size["at"])))
+
+
+def fitch_changes(tree: Tree, carriers: DataFrame, by: list[str]) -> DataFrame:
     """Fewest state changes of each binary character: ``(*by, changes)``.
 
     ``carriers(*by, tip)`` lists only the tips in state 1.  A node whose subtree has no
     carrier is {0} without changes, so only ancestors of carriers are ever rows: a node
     compares its listed children with its number of children to see whether {0} siblings
     exist.  Sets are bit masks (1 = {0}, 2 = {1}, 3 = both); a polytomy costs at most one
-    change.  One aggregation per level, lineage cut every few levels.
+    change.  One aggregation per level, from the deepest up, lineage cut every few levels.
     """
-    node_bytes = tree.count() * NODE_BYTES
-    up = tree.select("node", "parent").join(
-        tree.select(F.col("node").alias("parent"), F.col("height").alias("up_height"),
-                    F.col("n_children").alias("up_children")), "parent", "left")
-    top = tree.agg(F.max("height")).first()[0] or 0
-    state = sized_join(carriers, tree.filter("is_tip").select(F.col("node").alias("tip")), ["tip"], node_bytes)
-    state = state.select(*by, F.col("tip").alias("node"), F.lit(2).alias("mask"), F.lit(0).alias("changes")).distinct()
-    for level in range(1, top + 1):
-        moved = F.coalesce(F.col("up_height") == level, F.lit(False))
-        listed = sized_join(state, up, ["node"], node_bytes).select(
-            *by, F.when(moved, F.col("parent")).otherwise(F.col("node")).alias("node"),
-            F.when(moved, F.col("up_children")).alias("up_children"), "mask", "changes")
-        met = listed.groupBy(*by, "node").agg(
-            F.max("up_children").alias("kids"), F.count("*").alias("n"),
-            F.bit_and("mask").alias("both"), F.bit_or("mask").alias("any"), F.sum("changes").alias("changes"))
+    leaves = tree.nodes.filter("is_tip").select(F.col("node").alias("tip"), "depth")
+    state = sized_join(carriers.select(*by, "tip").distinct(), leaves, ["tip"], tree.bytes).select(
+        *by, F.col("tip").alias("node"), F.lit(2).alias("mask"), F.lit(0).alias("changes"), "depth")
+    if len(tree.tip_depths) > 1:
+        state = checkpoint(state)          # read once per level that has tips
+    columns = [*by, "node", "mask", "changes"]
+    risen = None
+    for depth in range(tree.max_depth, 0, -1):
+        here = risen
+        if depth in tree.tip_depths:
+            tips_here = state.filter(F.col("depth") == depth).select(*columns)
+            here = tips_here if here is None else here.unionByName(tips_here)
+        up = tree.level(depth).select("node", "parent").join(
+            tree.level(depth - 1).select(F.col("node").alias("parent"), "n_children"), "parent")
+        met = sized_join(here, up, ["node"], tree.bytes).groupBy(*by, "parent").agg(
+            F.first("n_children").alias("kids"), F.count("*").alias("n"),
+            F.bit_and("mask").alias("cap"), F.bit_or("mask").alias("cup"), F.sum("changes").alias("changes"))
         absent = F.col("kids") > F.col("n")
-        common = F.when(absent, F.col("both").bitwiseAND(F.lit(1))).otherwise(F.col("both"))
-        either = F.when(absent, F.col("any").bitwiseOR(F.lit(1))).otherwise(F.col("any"))
-        state = met.withColumn("common", common).select(
-            *by, "node", F.when(F.col("common") != 0, F.col("common")).otherwise(either).cast("int").alias("mask"),
+        cap = F.when(absent, F.col("cap").bitwiseAND(F.lit(1))).otherwise(F.col("cap"))
+        cup = F.when(absent, F.col("cup").bitwiseOR(F.lit(1))).otherwise(F.col("cup"))
+        risen = met.withColumn("common", cap).select(
+            *by, F.col("parent").alias("node"),
+            F.when(F.col("common") != 0, F.col("common")).otherwise(cup).cast("int").alias("mask"),
             (F.col("changes") + F.when(F.col("common") == 0, 1).otherwise(0)).cast("int").alias("changes"))
-        if level % LEVELS_PER_CHECKPOINT == 0:
-            state = checkpoint(state)
-    return state.groupBy(*by).agg(F.max("changes").cast("int").alias("changes"))
+        if (tree.max_depth - depth + 1) % LEVELS_PER_CHECKPOINT == 0:
+            risen = checkpoint(risen)
+    return (state if risen is None else risen).select(*by, "changes")
 
 
-def random_placements(tree: DataFrame, sizes: list[int], n_perms: int = PERMUTATIONS, seed: int = SEED) -> DataFrame:
+def random_placements(tree: Tree, sizes: list[int], n_perms: int = PERMUTATIONS, seed: int = SEED) -> DataFrame:
     """For each permutation and each size, that many random tips: ``(k, perm, tip)``.
 
     Tips are ranked by a hash of (seed, permutation, tip): reproducible, independent of the
@@ -85,20 +107,20 @@ def random_placements(tree: DataFrame, sizes: list[int], n_perms: int = PERMUTAT
     group limit, which runs before the shuffle.
     """
     key = F.concat_ws("|", F.lit(str(seed)), F.col("perm").cast("string"), F.col("tip"))
-    drawn = tips(tree).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perms - 1)))).withColumn("h", F.md5(key))
+    drawn = tree.tips.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perms - 1)))).withColumn("h", F.md5(key))
     w = Window.partitionBy("perm").orderBy("h", "tip")
     ranked = drawn.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max(sizes, default=0))
     wanted = F.array(*[F.lit(k) for k in sorted(sizes)]) if sizes else F.array().cast("array<int>")
     return ranked.withColumn("k", F.explode(F.filter(wanted, lambda k: k >= F.col("rank")))).select("k", "perm", "tip")
 
 
-def null_scores(tree: DataFrame, sizes: list[int], n_perms: int = PERMUTATIONS, seed: int = SEED) -> DataFrame:
+def null_scores(tree: Tree, sizes: list[int], n_perms: int = PERMUTATIONS, seed: int = SEED) -> DataFrame:
     """Histogram of parsimony scores under random placement: ``(k, changes, n)``."""
     placed = random_placements(tree, sizes, n_perms, seed)
     return fitch_changes(tree, placed, ["k", "perm"]).groupBy("k", "changes").agg(F.count("*").alias("n"))
 
 
-def clumping_test(tree: DataFrame, presence: DataFrame, n_perms: int = PERMUTATIONS, seed: int = SEED) -> DataFrame:
+def clumping_test(tree: Tree, presence: DataFrame, n_perms: int = PERMUTATIONS, seed: int = SEED) -> DataFrame:
     """Parsimony against the permutation null: ``(gene, n_tips, changes_observed, changes_expected, p_clumped)``.
 
     The null of a gene depends only on how many tips carry it, so it is drawn once per
@@ -106,17 +128,15 @@ def clumping_test(tree: DataFrame, presence: DataFrame, n_perms: int = PERMUTATI
     change a score, so only the smaller side is placed.  Genes on no tip or on all tips get
     NULLs.  ``presence(gene, tip)``; carriers outside the tree are ignored here.
     """
-    n_tips = tree.filter("is_tip").count()
-    present = presence.select("gene", "tip").distinct()
+    present = checkpoint(presence.select("gene", "tip").distinct())
     scores = fitch_changes(tree, present, ["gene"])
-    on_tree = sized_join(present, tips(tree), ["tip"], n_tips * NODE_BYTES)
-    counts = on_tree.groupBy("gene").agg(F.count("*").alias("n_tips"))
+    counts = sized_join(present, tree.tips, ["tip"], tree.bytes).groupBy("gene").agg(F.count("*").alias("n_tips"))
     genes = (present.select("gene").distinct().join(counts, "gene", "left").join(scores, "gene", "left")
              .select("gene", F.coalesce("n_tips", F.lit(0)).alias("n_tips"),
                      F.coalesce("changes", F.lit(0)).alias("changes_observed")))
+    tested = (F.col("n_tips") > 0) & (F.col("n_tips") < tree.n_tips)
     genes = checkpoint(genes.withColumn(
-        "k", F.when((F.col("n_tips") > 0) & (F.col("n_tips") < n_tips),
-                    F.least(F.col("n_tips"), n_tips - F.col("n_tips")).cast("int"))))
+        "k", F.when(tested, F.least(F.col("n_tips"), tree.n_tips - F.col("n_tips")).cast("int"))))
     # one integer per distinct carrier count, never one per gene
     sizes = [r.k for r in genes.select("k").distinct().filter("k IS NOT NULL").collect()]
     null = null_scores(tree, sizes, n_perms, seed)
@@ -129,9 +149,9 @@ def clumping_test(tree: DataFrame, presence: DataFrame, n_perms: int = PERMUTATI
         "gene", "n_tips", "changes_observed", "changes_expected", "p_clumped")
 
 
-def check_overlap(tree: DataFrame, strains: DataFrame) -> int:
+def check_overlap(tree: Tree, strains: DataFrame) -> int:
     """Tips that match a strain label; no match at all is an error, not an empty result."""
-    matched = tips(tree).join(strains.select(F.col("strain").alias("tip")).distinct(), "tip", "left_semi").count()
+    matched = tree.tips.join(strains.select(F.col("strain").alias("tip")).distinct(), "tip", "left_semi").count()
     if matched == 0:
         raise ValueError("no tree tip matches a strain label; every gene would look untestable")
     return matched
@@ -181,39 +201,38 @@ def neighbor_joining(distances: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows, "node string, parent string, length double")
 
 
-def tip_splits(tree: DataFrame) -> DataFrame:
-    """Tips below every inner node, as one sorted comma list per node."""
-    up = tree.select("node", "parent")
-    below = tree.filter("is_tip").select("node", F.col("node").alias("tip"))
-    collected = below
-    while True:
-        below = checkpoint(below.join(up, "node").filter("parent IS NOT NULL").select(F.col("parent").alias("node"), "tip"))
-        if below.isEmpty():
-            break
-        collected = collected.unionByName(below)
+def tip_splits(tree: Tree) -> DataFrame:
+    """Tips below every node, as one sorted comma list per node."""
+    below, collected = None, None
+    for depth in range(tree.max_depth, -1, -1):
+        here = tree.level(depth).filter("is_tip").select("node", F.col("node").alias("tip"))
+        below = here if below is None else below.unionByName(here)
+        collected = below if collected is None else collected.unionByName(below)
+        below = checkpoint(below.join(tree.level(depth).select("node", "parent"), "node").select(F.col("parent").alias("node"), "tip"))
     return collected.groupBy("node").agg(F.array_join(F.sort_array(F.collect_set("tip")), ",").alias("tips"))
 
 
-def _way_down(tree: DataFrame, top: int) -> DataFrame:
+def _way_down(tree: Tree) -> DataFrame:
     """Deepest tip of every node: ``(node, deep, deep_tip)``, level by level."""
-    done = tree.filter("is_tip").select("node", F.lit(0.0).alias("deep"), F.col("node").alias("deep_tip"))
-    edge = tree.select("node", "parent", "length")
-    for level in range(1, top + 1):
-        here = tree.filter(F.col("height") == level).select(F.col("node").alias("parent"))
-        best = (done.join(edge, "node").join(here, "parent", "left_semi")
-                .groupBy("parent").agg(F.max(F.struct((F.col("deep") + F.col("length")).alias("deep"), "deep_tip")).alias("m")))
-        done = checkpoint(done.unionByName(best.select(F.col("parent").alias("node"), "m.deep", "m.deep_tip")))
+    done, risen = None, None
+    for depth in range(tree.max_depth, -1, -1):
+        here = tree.level(depth).filter("is_tip").select("node", F.lit(0.0).alias("deep"), F.col("node").alias("deep_tip"))
+        here = here if risen is None else here.unionByName(risen)
+        done = here if done is None else done.unionByName(here)
+        best = here.join(tree.level(depth).select("node", "parent", "length"), "node").groupBy("parent").agg(
+            F.max(F.struct((F.col("deep") + F.col("length")).alias("deep"), "deep_tip")).alias("m"))
+        risen = checkpoint(best.select(F.col("parent").alias("node"), "m.deep", "m.deep_tip"))
     return done
 
 
-def midpoint_root(tree: DataFrame) -> DataFrame:
+def midpoint_root(shaped: Tree) -> DataFrame:
     """Reroot halfway along the longest tip-to-tip path; returns ``(node, parent, length)``.
 
     The path's top is the node with the largest sum of its two deepest branches.  Only the
     nodes on that path change parent.
     """
-    top = tree.agg(F.max("height")).first()[0] or 0
-    deep = _way_down(tree, top)
+    tree = shaped.nodes
+    deep = _way_down(shaped)
     branch = deep.join(tree.select("node", "parent", "length"), "node").filter("parent IS NOT NULL").select(
         "parent", "node", (F.col("deep") + F.col("length")).alias("reach"), "deep_tip")
     two = branch.groupBy("parent").agg(

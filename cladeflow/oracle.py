@@ -30,9 +30,8 @@ SELECT query_id, ref_id, shared, n_ref, round(shared / n_ref, 6) AS containment
 FROM m JOIN n ON n.id = ref_id WHERE shared / n_ref >= {gate}"""
 
 
-TURNS = "(SELECT conv_id * 1000 + turn AS turn_id, text FROM conversations)"
 ORACLE["benchmark_containment"] = _containment("documents", "doc_id", 12, 0.30)
-ORACLE["kmer_prefilter"] = _containment(TURNS, "turn_id", 8, 0.20)
+ORACLE["kmer_prefilter"] = _containment("documents", "doc_id", 8, 0.20)
 ORACLE["topk_candidates"] = f"""
 WITH {_kmers('q', 'documents', 'doc_id', 12)}, {_kmers('r', 'benchmark', 'item_id', 12)},
 m AS (SELECT q.id AS query_id, r.id AS ref_id, count(*) AS shared FROM q JOIN r USING (kmer) GROUP BY ALL)
@@ -317,10 +316,10 @@ genes AS (SELECT DISTINCT gene FROM presence),
 labelled AS (SELECT genes.gene AS grp, tip, n, r, CASE WHEN p.gene IS NULL THEN 0 ELSE 1 END AS state
   FROM genes CROSS JOIN tips LEFT JOIN presence p ON p.gene = genes.gene AND p.strain = tip)"""
 ORACLE["tree_shape"] = f"""WITH {_TREE},
-edges AS (SELECT tip AS node, n AS parent, 0 AS height FROM tips UNION ALL SELECT DISTINCT n, r, 1 FROM tips
-  UNION ALL SELECT DISTINCT r, 'root', 2 FROM tips UNION ALL SELECT DISTINCT 'root', NULL, 3 FROM tips),
+edges AS (SELECT tip AS node, n AS parent, 3 AS depth FROM tips UNION ALL SELECT DISTINCT n, r, 2 FROM tips
+  UNION ALL SELECT DISTINCT r, 'root', 1 FROM tips UNION ALL SELECT DISTINCT 'root', NULL, 0 FROM tips),
 kids AS (SELECT parent, count(*) AS n FROM edges GROUP BY parent)
-SELECT node, edges.parent, coalesce(kids.n, 0) AS n_children, CAST(height AS BIGINT) AS height, kids.n IS NULL AS is_tip
+SELECT node, edges.parent, coalesce(kids.n, 0) AS n_children, CAST(depth AS BIGINT) AS depth, kids.n IS NULL AS is_tip
 FROM edges LEFT JOIN kids ON kids.parent = node"""
 ORACLE["fitch_score"] = f"WITH {_TREE}, {_PRESENCE}, {_OBSERVED}, {_fitch('labelled')} SELECT grp AS gene, CAST(chg AS BIGINT) AS changes FROM top"
 _CLUMPING = f"""{_TREE}, {_PRESENCE}, {_OBSERVED}, {_fitch('labelled')},

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cladeflow.operators.common import checkpoint
+from cladeflow.operators.tree import Tree
+
 _TOKENS = re.compile(r"[(),;]|[^(),;]+")
 
 
@@ -51,18 +54,16 @@ def parse_newick(trees: DataFrame) -> DataFrame:
     return trees.select("tree", "newick").mapInPandas(parse, "tree string, node string, parent string, length double")
 
 
-def to_newick(tree: DataFrame) -> DataFrame:
+def to_newick(tree: Tree) -> DataFrame:
     """One row ``(newick)``: subtrees are written level by level, children in name order."""
-    from cladeflow.operators.common import checkpoint
-
-    top = tree.agg(F.max("height")).first()[0] or 0
     branch = F.concat(F.col("text"), F.lit(":"), F.col("length").cast("string"))
-    text = tree.filter("is_tip").select("node", F.col("node").alias("text"))
-    edge = tree.select("node", "parent", "length")
-    for level in range(1, top + 1):
-        here = tree.filter(F.col("height") == level).select(F.col("node").alias("parent"))
-        joined = (text.join(edge, "node").join(here, "parent", "left_semi").groupBy("parent").agg(
-            F.concat(F.lit("("), F.array_join(F.transform(
-                F.sort_array(F.collect_list(F.struct("node", branch.alias("b")))), lambda x: x["b"]), ","), F.lit(")")).alias("text")))
-        text = checkpoint(text.unionByName(joined.select(F.col("parent").alias("node"), "text")))
-    return text.join(edge.filter("parent IS NULL"), "node").select(F.concat("text", F.lit(";")).alias("newick"))
+    risen = None
+    for depth in range(tree.max_depth, 0, -1):
+        here = tree.level(depth).filter("is_tip").select("node", F.col("node").alias("text"))
+        here = here if risen is None else here.unionByName(risen)
+        kids = F.sort_array(F.collect_list(F.struct("node", branch.alias("b"))))
+        joined = here.join(tree.level(depth).select("node", "parent", "length"), "node").groupBy("parent").agg(
+            F.concat(F.lit("("), F.array_join(F.transform(kids, lambda x: x["b"]), ","), F.lit(")")).alias("text"))
+        risen = checkpoint(joined.select(F.col("parent").alias("node"), "text"))
+    root = tree.level(0).select(F.col("node").alias("text")) if risen is None else risen
+    return root.select(F.concat("text", F.lit(";")).alias("newick"))

@@ -11,9 +11,22 @@ from cladeflow.functions.labels import ACCESSION_PATTERN
 ACCESSION_COLUMNS = ("asm_acc", "assembly_accession", "assembly", "accession", "asm_accn", "gca", "Assembly Accession")
 HOST_COLUMNS = ("host_group", "Host_Group", "hostgroup", "group")
 COUNTRY_COLUMNS = ("geo_loc_name", "country")
+TEXT_COLUMNS = ("text", "seq", "html")
 ARO_COLUMNS = ("ARO Accession", "Drug Class", "Resistance Mechanism", "AMR Gene Family")
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table.  One that comes in fewer splits than there are cores is spread out.
+
+    Operators expand a row of text into thousands of k-mers, so the few splits of a small
+    file would keep most cores idle.  A large table has more splits and is read as it is.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    wide = any(f.name in TEXT_COLUMNS for f in df.schema)
+    return df.repartition(cores) if wide and df.rdd.getNumPartitions() < cores else df
+
+
 def read_csv(spark: SparkSession, path: str, sep: str = ",", null: str = "NULL") -> DataFrame:
     """All columns as text; the token ``NULL`` and empty cells are NULL."""
     df = spark.read.csv(path, header=True, sep=sep, nullValue=null)

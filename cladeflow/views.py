@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cladeflow.sources.tables import read_table
+
 # Letters to bases, digits to the ambiguous base.
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
 BASES = "ACGTACGTACGTACGTACGTACGTACNNNNNNNNNN"
@@ -23,7 +25,7 @@ class Views:
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return read_table(self.spark, f"{self.folder}/{name}.parquet")
 
     def queries(self, table: str = "documents", key: str = "doc_id") -> DataFrame:
         return self.table(table).select(F.col(key).alias("query_id"), F.col("text").alias("seq"))
