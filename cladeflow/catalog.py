@@ -45,7 +45,7 @@ def benchmark_containment(v: Views) -> DataFrame:
 
 @query
 def kmer_prefilter(v: Views) -> DataFrame:
-    pairs = H.containment_pairs(v.queries(), v.references(), 8, 0.20, hot_references=8)
+    pairs = H.containment_pairs(v.queries(), v.references(), 10, 0.20, hot_references=20)
     return pairs.select("query_id", "ref_id", "shared", "n_ref", r6("containment"))
 
 

@@ -53,10 +53,17 @@ def canonical(kmer: Column) -> Column:
 
 
 def translate_codons(seq: Column) -> Column:
-    """Amino acids of the reading frame that starts at the first base; X for unknown codons."""
-    codons = F.regexp_extract_all(seq, F.lit("(?s).{3}"), F.lit(0))
-    table = F.create_map(*[F.lit(x) for pair in codon_table().items() for x in pair])
-    return F.array_join(F.transform(codons, lambda c: F.coalesce(F.try_element_at(table, c), F.lit("X"))), "")
+    """Amino acids of the reading frame that starts at the first base; X for unknown codons.
+
+    Bases become digits, so a codon is a number that indexes an array: map lookups scan keys.
+    """
+    by_number = ["X"] * 334
+    for codon, amino in codon_table().items():
+        by_number[int("".join(str(CODON_BASES.index(base)) for base in codon))] = amino
+    digits = F.translate(seq, CODON_BASES + "0123456789", "0123")
+    codons = F.regexp_extract_all(digits, F.lit("(?s).{3}"), F.lit(0))
+    table = F.array(*[F.lit(a) for a in by_number])
+    return F.array_join(F.transform(codons, lambda c: F.coalesce(F.get(table, c.try_cast("int")), F.lit("X"))), "")
 
 
 def count_chars(seq: Column, chars: str) -> Column:

@@ -35,8 +35,9 @@ def running_total(df: DataFrame, order: str, value: str, name: str) -> DataFrame
 def reverse_running_min(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
     """Minimum of ``value`` over this row and all later ones in the order of the unique key."""
     ranged = _ranges(df, order)
-    after = Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
+    # a frame that ends at "following" is re-read for every row: run backwards instead
+    after = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
     carry = _carry(ranged, F.min(value), F.min("_t").over(after))
-    own = Window.partitionBy("_part").orderBy(order).rowsBetween(0, Window.unboundedFollowing)
+    own = Window.partitionBy("_part").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
     return (ranged.join(F.broadcast(carry), "_part")
             .withColumn(name, F.least(F.min(value).over(own), "_carry")).drop("_part", "_carry"))

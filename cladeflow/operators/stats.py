@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cladeflow.operators.common import checkpoint
 from cladeflow.operators.ordering import reverse_running_min, running_total
 from cladeflow.params import ODDS_RATIO_CAP, SIGNIFICANT_Q
 
@@ -65,6 +66,7 @@ def benjamini_hochberg(tests: DataFrame, p: str = "p_value", q: str = "q_value")
     Equal p-values share one q, so the ranking runs over distinct p-values with their counts:
     ranks are a distributed running total and the step-up is a distributed reverse minimum.
     """
+    tests = checkpoint(tests)            # read three times
     total = tests.count()
     levels = tests.filter(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("_c"))
     ranked = running_total(levels, p, "_c", "_rank").withColumn("_raw", F.col(p) * total / F.col("_rank"))

@@ -43,6 +43,7 @@ class Tree:
 
 def shape(edges: DataFrame) -> Tree:
     """Count children and find depths by pointer jumping: one join per doubling of the depth."""
+    edges = checkpoint(edges)
     kids = edges.filter("parent IS NOT NULL").groupBy(F.col("parent").alias("node")).agg(
         F.count("*").cast("int").alias("n_children"))
     jump = edges.select("node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"))

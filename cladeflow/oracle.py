@@ -31,7 +31,7 @@ FROM m JOIN n ON n.id = ref_id WHERE shared / n_ref >= {gate}"""
 
 
 ORACLE["benchmark_containment"] = _containment("documents", "doc_id", 12, 0.30)
-ORACLE["kmer_prefilter"] = _containment("documents", "doc_id", 8, 0.20)
+ORACLE["kmer_prefilter"] = _containment("documents", "doc_id", 10, 0.20)
 ORACLE["topk_candidates"] = f"""
 WITH {_kmers('q', 'documents', 'doc_id', 12)}, {_kmers('r', 'benchmark', 'item_id', 12)},
 m AS (SELECT q.id AS query_id, r.id AS ref_id, count(*) AS shared FROM q JOIN r USING (kmer) GROUP BY ALL)
