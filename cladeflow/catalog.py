@@ -144,7 +144,7 @@ def ani_matrix(v: Views) -> DataFrame:
     sketches, n = _sketch(v, "source")
     names = [r.strain for r in v.contigs("source").select("strain").distinct().orderBy("strain").limit(D.MAX_WIDE + 1).collect()]
     wide = D.to_wide(D.ani_pairs(sketches, n), "ani", 100.0, 0.0, names)
-    return wide.select("a", *[F.round(c, 4).alias(c) for c in names])
+    return wide.select("taxon_name", *[F.round(c, 4).alias(c) for c in names])
 
 
 @query

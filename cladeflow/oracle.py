@@ -125,7 +125,7 @@ SELECT count(*) AS n_pairs, round(min(ani), 6) AS low, round(max(ani), 6) AS hig
 ORACLE["ani_matrix"] = f"""WITH {_sketch('source')}, {_pairs('sketch', 'strain', 'hash')}, {_ANI},
 both_ways AS (SELECT a, b, ani FROM ani UNION ALL SELECT b, a, ani FROM ani),
 names AS (SELECT a FROM both_ways GROUP BY a)
-SELECT names.a, {', '.join(f"round(coalesce(max(ani) FILTER (b = '{s}'), CASE WHEN names.a = '{s}' THEN 100.0 ELSE 0.0 END), 4) AS {s}" for s in SOURCES)}
+SELECT names.a AS taxon_name, {', '.join(f"round(coalesce(max(ani) FILTER (b = '{s}'), CASE WHEN names.a = '{s}' THEN 100.0 ELSE 0.0 END), 4) AS {s}" for s in SOURCES)}
 FROM names JOIN both_ways USING (a) GROUP BY names.a"""
 ORACLE["pairwise_jaccard"] = f"""
 WITH {_kmers('d', 'documents', 'source', 12)}, {_pairs('d', 'id', 'kmer')}

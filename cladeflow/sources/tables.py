@@ -68,13 +68,21 @@ def isolate_metadata(df: DataFrame) -> DataFrame:
         F.when(date.isNull(), None).when(parts == 1, "year").when(parts == 2, "month").otherwise("day").alias("date_precision"))
 
 
-def aro_annotations(df: DataFrame) -> DataFrame:
-    """``(aro, drug, mech, family)``; empty when a column is missing, short rows are skipped."""
-    spark = df.sparkSession
-    if not all(c in df.columns for c in ARO_COLUMNS):
+def read_aro(spark: SparkSession, path: str) -> DataFrame:
+    """``(aro, drug, mech, family)`` of a tab-separated index.
+
+    Empty when a column is missing.  Rows too short to hold all four are skipped, which a
+    CSV reader could not tell from empty cells.
+    """
+    lines = spark.read.text(path)
+    first = lines.first()
+    header = first.value.split("\t") if first else []
+    if not all(c in header for c in ARO_COLUMNS):
         return spark.createDataFrame([], "aro string, drug string, mech string, family string")
-    trimmed = [F.trim(F.col(f"`{c}`")).alias(n) for c, n in zip(ARO_COLUMNS, ("aro", "drug", "mech", "family"))]
-    rows = df.select(*trimmed).filter("aro IS NOT NULL").fillna("")
+    at = [header.index(c) for c in ARO_COLUMNS]
+    cells = F.split("value", "\t")
+    rows = lines.filter((F.col("value") != first.value) & (F.size(cells) > max(at))).select(
+        *[F.trim(F.get(cells, i)).alias(n) for i, n in zip(at, ("aro", "drug", "mech", "family"))])
     return rows.groupBy("aro").agg(F.max(F.struct("drug", "mech", "family")).alias("m")).select("aro", "m.*")
 
 
