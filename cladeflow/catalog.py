@@ -351,7 +351,7 @@ def newick_roundtrip(v: Views) -> DataFrame:
     text = newick.to_newick(T.shape(v.tree_edges()))
     nodes = newick.parse_newick(text.select(F.lit("t").alias("tree"), "newick"))
     tree = T.shape(nodes.select("node", "parent", "length"))
-    return T.tip_splits(tree).groupBy("tips").agg(F.count("*").alias("n")).select(F.md5("tips").alias("split"))
+    return T.clades(tree).select("n_tips", "clade").distinct()
 
 
 @query

@@ -31,6 +31,11 @@ def narrow(big: DataFrame, ids: DataFrame, on: str, most: int) -> DataFrame:
     return big.join(ids, on, "left_semi")
 
 
+def task_count(spark: SparkSession) -> int:
+    """Tasks for CPU-bound steps whose input is too small for adaptive execution to keep apart."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint that outlives any executor."""
     context = df.sparkSession.sparkContext

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeflow.functions.labels import classify_pattern, is_acquired
+from cladeflow.operators.distance import shared_counts
 
 
 def carriers(hits: DataFrame) -> DataFrame:
@@ -76,12 +77,15 @@ def widespread(presence: DataFrame, top: int = 5) -> DataFrame:
 
 
 def cooccurrence(presence: DataFrame, replicons: DataFrame) -> DataFrame:
-    """Isolates in which a gene and a replicon are both found.
+    """Isolates in which a gene and a replicon are both found: ``(gene, replicon, n_isolates)``.
 
-    An isolate carries a bounded set of genes and replicons, so the join stays inside it.
+    Shared-item counts over isolates: an isolate rich in both never emits their product.
     """
-    return (presence.join(replicons.select("strain", "replicon").distinct(), "strain")
-            .groupBy("gene", "replicon").agg(F.count("*").alias("n_isolates")))
+    rows = presence.select(F.concat(F.lit("g:"), "gene").alias("row"), "strain").unionByName(
+        replicons.select(F.concat(F.lit("r:"), "replicon").alias("row"), "strain"))
+    counts = shared_counts(rows, "row", "strain", rows.select("row").distinct().count())
+    return counts.filter(F.startswith("a", F.lit("g:")) & F.startswith("b", F.lit("r:"))).select(
+        F.substring("a", 3, 1 << 20).alias("gene"), F.substring("b", 3, 1 << 20).alias("replicon"), F.col("n").alias("n_isolates"))
 
 
 def means_by_host(pairs: DataFrame, hosts: DataFrame, value: str) -> DataFrame:

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeflow.functions.sequence import portable_hash
 from cladeflow.operators.common import checkpoint, sized_join
 from cladeflow.params import PERMUTATIONS, SEED
 
@@ -202,15 +203,20 @@ def neighbor_joining(distances: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows, "node string, parent string, length double")
 
 
-def tip_splits(tree: Tree) -> DataFrame:
-    """Tips below every node, as one sorted comma list per node."""
-    below, collected = None, None
+def clades(tree: Tree) -> DataFrame:
+    """Each node's tips as a count and an order-free key: ``(node, n_tips, clade)``.
+
+    Keys of children combine by XOR, so no node ever gathers the names below it.
+    """
+    done, risen = None, None
     for depth in range(tree.max_depth, -1, -1):
-        here = tree.level(depth).filter("is_tip").select("node", F.col("node").alias("tip"))
-        below = here if below is None else below.unionByName(here)
-        collected = below if collected is None else collected.unionByName(below)
-        below = checkpoint(below.join(tree.level(depth).select("node", "parent"), "node").select(F.col("parent").alias("node"), "tip"))
-    return collected.groupBy("node").agg(F.array_join(F.sort_array(F.collect_set("tip")), ",").alias("tips"))
+        here = tree.level(depth).filter("is_tip").select(
+            "node", F.lit(1).cast("bigint").alias("n_tips"), portable_hash(F.col("node")).alias("clade"))
+        here = here if risen is None else here.unionByName(risen)
+        done = here if done is None else done.unionByName(here)
+        met = here.join(tree.level(depth).select("node", "parent"), "node").groupBy(F.col("parent").alias("node"))
+        risen = checkpoint(met.agg(F.sum("n_tips").alias("n_tips"), F.bit_xor("clade").alias("clade")))
+    return done
 
 
 def _way_down(tree: Tree) -> DataFrame:
@@ -236,11 +242,13 @@ def midpoint_root(shaped: Tree) -> DataFrame:
     deep = _way_down(shaped)
     branch = deep.join(tree.select("node", "parent", "length"), "node").filter("parent IS NOT NULL").select(
         "parent", "node", (F.col("deep") + F.col("length")).alias("reach"), "deep_tip")
-    two = branch.groupBy("parent").agg(
-        F.slice(F.sort_array(F.collect_list(F.struct("reach", "deep_tip", "node")), asc=False), 1, 2).alias("s"))
-    widest = (two.filter(F.size("s") == 2).withColumn("span", F.col("s")[0]["reach"] + F.col("s")[1]["reach"])
+    branch = checkpoint(branch)
+    first = branch.groupBy("parent").agg(F.max(F.struct("reach", "deep_tip", "node")).alias("one"))
+    second = (branch.join(first, "parent").filter(F.col("node") != F.col("one.node"))
+              .groupBy("parent").agg(F.max("reach").alias("two")))
+    widest = (first.join(second, "parent").select("parent", (F.col("one.reach") + F.col("two")).alias("span"), "one.deep_tip")
               .orderBy(F.desc("span"), "parent").first())
-    half, tip = widest.span / 2, widest.s[0].deep_tip
+    half, tip = widest.span / 2, widest.deep_tip
     parent_of = {}
     node, climbed = tip, 0.0
     while True:                                         # one row per step of the path

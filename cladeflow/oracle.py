@@ -124,9 +124,9 @@ SELECT count(*) AS n_pairs, round(min(ani), 6) AS low, round(max(ani), 6) AS hig
   CAST(count_if(ani >= 95) AS BIGINT) AS n_same_species FROM ani"""
 ORACLE["ani_matrix"] = f"""WITH {_sketch('source')}, {_pairs('sketch', 'strain', 'hash')}, {_ANI},
 both_ways AS (SELECT a, b, ani FROM ani UNION ALL SELECT b, a, ani FROM ani),
-names AS (SELECT a FROM both_ways GROUP BY a)
+names AS (SELECT DISTINCT source AS a FROM documents)
 SELECT names.a AS taxon_name, {', '.join(f"round(coalesce(max(ani) FILTER (b = '{s}'), CASE WHEN names.a = '{s}' THEN 100.0 ELSE 0.0 END), 4) AS {s}" for s in SOURCES)}
-FROM names JOIN both_ways USING (a) GROUP BY names.a"""
+FROM names LEFT JOIN both_ways USING (a) GROUP BY names.a"""
 ORACLE["pairwise_jaccard"] = f"""
 WITH {_kmers('d', 'documents', 'source', 12)}, {_pairs('d', 'id', 'kmer')}
 SELECT a, b, shared, n_a, n_b, round(jaccard, 6) AS jaccard FROM pairs"""
@@ -352,9 +352,9 @@ SELECT gene, acquired, n_isolates, n_hosts, changes_observed, round(changes_expe
   round(p_clumped, 4) AS p_clumped, pattern FROM called"""
 ORACLE["pattern_counts"] = f"WITH {_PATTERN} SELECT pattern, count(*) AS n_genes FROM called GROUP BY pattern"
 ORACLE["newick_roundtrip"] = f"""WITH {_TREE},
-s AS (SELECT string_agg(tip, ',' ORDER BY tip) AS x FROM tips GROUP BY n UNION SELECT string_agg(tip, ',' ORDER BY tip) FROM tips GROUP BY r
-  UNION SELECT string_agg(tip, ',' ORDER BY tip) FROM tips UNION SELECT tip FROM tips)
-SELECT md5(x) AS split FROM s"""
+h AS (SELECT n, r, CAST('0x' || substr(md5(tip), 1, 15) AS BIGINT) AS k FROM tips)
+SELECT count(*) AS n_tips, bit_xor(k) AS clade FROM h GROUP BY n UNION SELECT count(*), bit_xor(k) FROM h GROUP BY r
+UNION SELECT count(*), bit_xor(k) FROM h UNION SELECT 1, k FROM h"""
 
 # ---- identifiers, inputs, incremental runs -------------------------------------------------
 

@@ -83,8 +83,8 @@ def test_p_distance_gaps_and_layout(spark):
     assert lines[("b", 0)] == "ACG-" and lines[("a", 1)] == "TT" and lines[("c", 0)] == "----"
     pairs = {(r.a, r.b): (r.compared, r.distance) for r in D.p_distance(alignment, 3).collect()}
     assert pairs == {("a", "b"): (5, 0.2)}      # c has only gaps: absent, distance 1
-    wide = {r.taxon_name: r for r in D.to_wide(D.p_distance(alignment, 3), "distance", 0.0, 1.0, ["a", "b"]).collect()}
-    assert wide["a"]["a"] == 0.0 and wide["a"]["b"] == 0.2 and wide["b"]["a"] == 0.2
+    wide = {r.taxon_name: r for r in D.to_wide(D.p_distance(alignment, 3), "distance", 0.0, 1.0, ["a", "b", "c"]).collect()}
+    assert wide["a"]["a"] == 0.0 and wide["a"]["b"] == 0.2 and wide["b"]["a"] == 0.2 and wide["c"]["a"] == 1.0
     assert sum(r.n_sites for r in D.site_patterns(alignment).collect()) == 6
 
 
@@ -122,3 +122,18 @@ def test_orfs_and_genome_stats(spark):
     assert G.cohort_stats(G.genome_stats(df, called)).first().n_genomes == 2
     summary = {r.strain: r for r in G.gene_summary(G.genome_stats(df, called), called).collect()}
     assert summary["s"].genes == stats["s"].n_genes
+
+
+def test_star_alignment(spark):
+    from cladeflow.functions.star import align_to_centre
+    from cladeflow.operators.msa import star_alignment
+    from cladeflow.params import PROTEIN_SCORES
+
+    assert align_to_centre("ACT", "ACGT", PROTEIN_SCORES) == ("AC-T", [""] * 5)
+    rng = random.Random(12)
+    base = "".join(rng.choice("ACDEFGHIKL") for _ in range(30))
+    rows = [("f", f"s{i}", "".join(c for c in base if rng.random() > .1)) for i in range(8)] + [("f", "long", base + "MM"), ("g", "s0", "AC")]
+    df = spark.createDataFrame(rows, "family string, strain string, seq string")
+    got = {(r.family, r.strain): r.aligned for r in star_alignment(df).collect()}
+    assert {k: v.replace("-", "") for k, v in got.items()} == {(f, s): q for f, s, q in rows}
+    assert len({len(v) for (f, _), v in got.items() if f == "f"}) == 1 and got["g", "s0"] == "AC"
