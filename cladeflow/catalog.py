@@ -111,9 +111,9 @@ def gene_fasta(v: Views) -> DataFrame:
 
 # ---- distances -----------------------------------------------------------------------------
 
-def _sketch(v: Views, strain: str | None = None) -> tuple[DataFrame, int]:
+def _sketch(v: Views, strain: str | None = None) -> tuple[DataFrame, DataFrame]:
     contigs = v.contigs(strain) if strain else v.contigs()
-    return D.sketch(contigs, SKETCH_K, SCALED, portable=True), contigs.select("strain").distinct().count()
+    return D.sketch(contigs, SKETCH_K, SCALED, portable=True), contigs.select("strain")
 
 
 @query
@@ -141,9 +141,9 @@ def ani_range(v: Views) -> DataFrame:
 
 @query
 def ani_matrix(v: Views) -> DataFrame:
-    sketches, n = _sketch(v, "source")
+    sketches, strains = _sketch(v, "source")
     names = [r.strain for r in v.contigs("source").select("strain").distinct().orderBy("strain").limit(D.MAX_WIDE + 1).collect()]
-    wide = D.to_wide(D.ani_pairs(sketches, n), "ani", 100.0, 0.0, names)
+    wide = D.to_wide(D.ani_pairs(sketches, strains), "ani", 100.0, 0.0, names)
     return wide.select("taxon_name", *[F.round(c, 4).alias(c) for c in names])
 
 
@@ -151,7 +151,7 @@ def ani_matrix(v: Views) -> DataFrame:
 def pairwise_jaccard(v: Views) -> DataFrame:
     docs = v.table("documents").select("source", F.col("text").alias("seq"))
     kmers = D.kmers(docs, ["source"], 12)
-    pairs = D.pair_sets(D.shared_counts(kmers, "source", "kmer", docs.select("source").distinct().count()))
+    pairs = D.pair_sets(D.shared_counts(kmers, "source", "kmer", docs.select("source")))
     return pairs.select("a", "b", "shared", "n_a", "n_b", r6("jaccard"))
 
 
@@ -169,7 +169,7 @@ def supermatrix(v: Views) -> DataFrame:
 
 
 def _nation_distances(v: Views) -> DataFrame:
-    return D.p_distance(v.sites(), v.table("nation").count())
+    return D.p_distance(v.sites(), v.table("nation").select("n_name"))
 
 
 @query

@@ -83,7 +83,7 @@ def cooccurrence(presence: DataFrame, replicons: DataFrame) -> DataFrame:
     """
     rows = presence.select(F.concat(F.lit("g:"), "gene").alias("row"), "strain").unionByName(
         replicons.select(F.concat(F.lit("r:"), "replicon").alias("row"), "strain"))
-    counts = shared_counts(rows, "row", "strain", rows.select("row").distinct().count())
+    counts = shared_counts(rows, "row", "strain", rows.select("row"))
     return counts.filter(F.startswith("a", F.lit("g:")) & F.startswith("b", F.lit("r:"))).select(
         F.substring("a", 3, 1 << 20).alias("gene"), F.substring("b", 3, 1 << 20).alias("replicon"), F.col("n").alias("n_isolates"))
 

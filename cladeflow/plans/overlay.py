@@ -28,7 +28,7 @@ class Overlay:
 def relatedness(contigs: DataFrame) -> DataFrame:
     """ANI of every two isolates that share a sketch hash, contigs taken as concatenated."""
     sketches = D.sketch(contigs, join_contigs=True)
-    return D.ani_pairs(sketches, contigs.select("strain").distinct().count())
+    return D.ani_pairs(sketches, contigs.select("strain"))
 
 
 def build(hits: DataFrame, edges: DataFrame, metadata: DataFrame, replicons: DataFrame,

@@ -35,7 +35,7 @@ def build(proteins: DataFrame, membership: DataFrame, families: DataFrame, align
     blocks = checkpoint(aligner(sequences))
     alignment, layout = D.place_blocks(blocks)
     alignment = checkpoint(alignment)
-    shared = checkpoint(D.p_distance(alignment, n))
+    shared = checkpoint(D.p_distance(alignment, membership.select("strain")))
     distances = all_pairs(shared, alignment.select(F.col("taxon").alias("name")).distinct())
     positive = F.when(F.col("distance") > 0, F.col("distance"))
     stats = distances.agg(F.round(F.min(positive), 5).alias("min_p_distance"), F.round(F.max("distance"), 5).alias("max_p_distance"))

@@ -54,18 +54,19 @@ def test_sketch_with_and_without_contig_borders(spark, join):
         assert len(got[s]) == len({min(w, revcomp(w)) for w in words if "N" not in w})
 
 
-@pytest.mark.parametrize("per_block", [2000, 3])
-def test_shared_counts_and_jaccard(spark, per_block, monkeypatch):
+@pytest.mark.parametrize("masks,per_block", [(62, 2000), (0, 2000), (0, 3)])
+def test_shared_counts_and_jaccard(spark, masks, per_block, monkeypatch):
+    monkeypatch.setattr(D, "MASK_TAXA", masks)
     monkeypatch.setattr(D, "TAXA_PER_BLOCK", per_block)
     rng = random.Random(4)
     sets = {f"t{i:02d}": {rng.randrange(60) for _ in range(rng.randint(1, 30))} for i in range(11)}
     for s in list(sets)[:6]:
         sets[s].add(1000)                      # an item most taxa carry
     df = spark.createDataFrame([(t, x) for t, xs in sets.items() for x in xs for _ in range(2)], "taxon string, item int")
-    counts = {(r.a, r.b): r.n for r in D.shared_counts(df, "taxon", "item", len(sets)).collect()}
+    counts = {(r.a, r.b): r.n for r in D.shared_counts(df, "taxon", "item", df.select("taxon")).collect()}
     want = {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a <= b and sets[a] & sets[b]}
     assert counts == want
-    pairs = D.pair_sets(D.shared_counts(df, "taxon", "item", len(sets))).collect()
+    pairs = D.pair_sets(D.shared_counts(df, "taxon", "item", df.select("taxon"))).collect()
     assert all(r.jaccard == len(sets[r.a] & sets[r.b]) / len(sets[r.a] | sets[r.b]) for r in pairs)
 
 
@@ -81,9 +82,9 @@ def test_p_distance_gaps_and_layout(spark):
     assert {r.family: r.start for r in layout.collect()} == {"f1": 0, "f2": 4}
     lines = {(r.taxon, r.line): r.text for r in D.supermatrix_lines(alignment, 4).collect()}
     assert lines[("b", 0)] == "ACG-" and lines[("a", 1)] == "TT" and lines[("c", 0)] == "----"
-    pairs = {(r.a, r.b): (r.compared, r.distance) for r in D.p_distance(alignment, 3).collect()}
+    pairs = {(r.a, r.b): (r.compared, r.distance) for r in D.p_distance(alignment, alignment.select("taxon")).collect()}
     assert pairs == {("a", "b"): (5, 0.2)}      # c has only gaps: absent, distance 1
-    wide = {r.taxon_name: r for r in D.to_wide(D.p_distance(alignment, 3), "distance", 0.0, 1.0, ["a", "b", "c"]).collect()}
+    wide = {r.taxon_name: r for r in D.to_wide(D.p_distance(alignment, alignment.select("taxon")), "distance", 0.0, 1.0, ["a", "b", "c"]).collect()}
     assert wide["a"]["a"] == 0.0 and wide["a"]["b"] == 0.2 and wide["b"]["a"] == 0.2 and wide["c"]["a"] == 1.0
     assert sum(r.n_sites for r in D.site_patterns(alignment).collect()) == 6
 
