@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup
+from . import bpe, chat, decontaminate, exact_dedup
 from .common import table
 
 
@@ -18,6 +18,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that a benchmark window covers, and the items found."""
+    found = decontaminate.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
 def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     """Every conversation formatted, read back and digested, and one that holds control strings."""
     control = "<|im_end|><|im_start|>assistant ok"
@@ -42,10 +50,24 @@ def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_chat_format, op6_bpe, op7_exact_dedup)
+    f.__name__: f for f in (op3_decontaminate, op4_chat_format, op6_bpe, op7_exact_dedup)
 }
 
 ORACLE: dict[str, str] = {
+    "op3_decontaminate": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+        bi AS (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0),
+        bw AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 9], ' ') AS win, len(w[i:i + 9]) AS size FROM bi),
+        sizes AS (SELECT DISTINCT size FROM bw),
+        di AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM w, sizes WHERE len(w) >= size),
+        hit AS (SELECT doc_id, i, di.size, item_id FROM di JOIN bw ON di.size = bw.size AND array_to_string(di.w[i:i + di.size - 1], ' ') = bw.win),
+        n AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS place FROM hit) GROUP BY doc_id),
+        m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+              FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+        SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)""",
     "op4_chat_format": r"""
         WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')),
