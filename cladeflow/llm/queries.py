@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, exact_dedup
+from . import bpe, chat, decontaminate, exact_dedup, html_text, quality
 from .common import table
 
 
@@ -18,6 +18,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, folder, "pages"))
+
+
 def op3_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document that a benchmark window covers, and the items found."""
     found = decontaminate.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -49,8 +54,15 @@ def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.decisions(table(spark, folder, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document, learnt from labelled rows that are not held out."""
+    docs = table(spark, folder, "documents")
+    scored = quality.score(docs.select("doc_id", "text"), quality.fit(docs, table(spark, folder, "labels")))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_decontaminate, op4_chat_format, op6_bpe, op7_exact_dedup)
+    f.__name__: f for f in (op1_html_text, op3_decontaminate, op4_chat_format, op6_bpe, op7_exact_dedup, op9_quality)
 }
 
 ORACLE: dict[str, str] = {
