@@ -125,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int =
         weights = train([(s, v, q) for _, q, s, v in got], epochs).astype(np.float32)
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], schema=form)
 
-    found = mapped(rows, slots, "doc_id long, quality int, slots array<int>, values array<double>").coalesce(1).mapInArrow(learn, "weights binary").first()
+    found = mapped(rows, slots, "doc_id long, quality int, slots array<int>, values array<double>").repartition(1).mapInArrow(learn, "weights binary").first()
     return np.frombuffer(found["weights"], np.float32) if found else np.zeros(DIMENSIONS + 1, np.float32)
 
 
