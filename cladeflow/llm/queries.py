@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, exact_dedup, html_text, jaccard_join, quality
-from .common import table
+from . import bpe, chat, decontaminate, exact_dedup, html_text, jaccard_join, pii, quality, repair_ids
+from .common import shared_folder, table
 
 
 def vocabulary(name: str) -> str:
@@ -59,6 +60,13 @@ def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.decisions(table(spark, folder, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_repair_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document, written in grammar-compressed blocks and read back."""
+    path = f"{shared_folder(spark)}/cladeflow-ids-{uuid.uuid4().hex}"
+    repair_ids.write(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"), path)
+    return repair_ids.read(spark, path, ids=False)
+
+
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality score of every document, learnt from labelled rows that are not held out."""
     docs = table(spark, folder, "documents")
@@ -66,8 +74,19 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document."""
+    docs = table(spark, folder, "documents")
+    found = pii.find(docs, pii.fit(docs))
+    named = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    order = lambda s: sum((F.when(s["kind"] == kind, i).otherwise(0) for i, kind in enumerate(pii.KINDS)), F.lit(0))
+    keyed = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(order(s).alias("i"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    many = [F.size(F.filter("base.kind", lambda k: k == wanted)).cast("long").alias(f"n_{wanted}") for wanted in pii.KINDS]
+    return found.select("doc_id", *many, F.sha2(named(F.col("base")), 256).alias("base_sha256"), named(keyed).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_text, op2_jaccard_join, op3_decontaminate, op4_chat_format, op6_bpe, op7_exact_dedup, op9_quality)
+    f.__name__: f for f in (op1_html_text, op2_jaccard_join, op3_decontaminate, op4_chat_format, op6_bpe, op7_exact_dedup, op8_repair_ids, op9_quality, op10_pii)
 }
 
 ORACLE: dict[str, str] = {
