@@ -141,3 +141,10 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
         return pd.Series([logistic(dot(*features((t or "").encode()), own)) for t in text], dtype="float64")
 
     return docs.withColumn("score", scored("text"))
+
+
+def accepted(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+    """The rows of ``docs`` with a score of one half or more, with their own columns."""
+    own = docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs
+    kept = score(own, weights).where("score >= 0.5").drop("score")
+    return kept.withColumnRenamed("_score", "score") if "score" in docs.columns else kept

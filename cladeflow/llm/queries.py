@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, exact_dedup, html_text, jaccard_join, pii, quality, repair_ids
+from . import bpe, chat, decontaminate, exact_dedup, html_text, jaccard_join, masked_lm, pii, quality, repair_ids
 from .common import shared_folder, table
 
 
@@ -50,6 +50,13 @@ def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
                        F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op5_masked_lm(spark: SparkSession, folder: str) -> DataFrame:
+    """Pseudo-log-likelihood of every document under a network trained on all of them."""
+    docs = table(spark, folder, "documents")
+    words = masked_lm.vocabulary(docs)
+    return masked_lm.score(docs, words, masked_lm.train(docs, words))
+
+
 def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded and decoded."""
     return bpe.round_trip(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
@@ -86,7 +93,7 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_text, op2_jaccard_join, op3_decontaminate, op4_chat_format, op6_bpe, op7_exact_dedup, op8_repair_ids, op9_quality, op10_pii)
+    f.__name__: f for f in (op1_html_text, op2_jaccard_join, op3_decontaminate, op4_chat_format, op5_masked_lm, op6_bpe, op7_exact_dedup, op8_repair_ids, op9_quality, op10_pii)
 }
 
 ORACLE: dict[str, str] = {
