@@ -30,14 +30,33 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends, executors may go."""
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends, executors may go.
+
+    The shuffle files of the write are dropped with it, since nothing runs its plan again.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cladeflow-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_ROWS = 1 << 20     # rows of a few numbers each that may be broadcast once they have been counted
+
+
+def light(rows: DataFrame) -> DataFrame:
+    """``rows`` marked for broadcast if a count proves them few; else they are joined by a shuffle."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def mapped(df: DataFrame, step: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """Apply ``step`` to every Arrow batch; it returns the columns of ``schema`` by name."""
     kind = to_arrow(schema)

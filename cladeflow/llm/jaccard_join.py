@@ -23,15 +23,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWERED, mapped, raw, to_arrow, written
+from .common import LOWERED, light, mapped, raw, to_arrow, written
 from .components import components
 
 GRAM, PERCENT = 5, 80
 FREQUENT = 16                # an indexed token of more sets than this moves to the end of the order
 ORDERED = 1 << 18            # so many of the most frequent tokens at most are held by each task; it bounds memory, not results
-LEADERS, ROUNDS = 8, 3
-BROADCAST_ROWS = 1 << 20     # ids (16 bytes each) that may be broadcast
-KNOWN = 1 << 20
+LEADERS, ROUNDS = 8, 2
+KNOWN = 1 << 18              # words whose hash a worker keeps
 KEY = ["n", "sa", "sb"]
 
 _words: dict[bytes, int] = {}
@@ -102,21 +101,29 @@ def class_of(marks: DataFrame) -> DataFrame:
                    .select(F.monotonically_increasing_id().alias("cls"), *KEY, F.col("one.doc_id").alias("low"), F.col("one.copies").alias("copies")))
 
 
+def _first_rows(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows of the documents that stand for their class, with cls and copies."""
+    named = light(classes.select("cls", "copies", F.col("low").alias("_low"), *(F.col(k).alias(f"_{k}") for k in KEY)))
+    same = [F.col(k) == F.col(f"_{k}") for k in KEY]
+    return rows.join(named, [*same, F.col("doc_id").eqNullSafe(F.col("_low"))]).drop("_low", *(f"_{k}" for k in KEY))
+
+
 def frequent_tokens(marks: DataFrame, classes: DataFrame) -> np.ndarray:
     """Sorted tokens that many classes have among their indexed ones."""
-    rows = (marks.join(classes, [*(marks[k] == classes[k] for k in KEY), marks["doc_id"].eqNullSafe(classes["low"])], "left_semi")
-            .select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") > FREQUENT)
+    rows = (_first_rows(marks, classes).select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") > FREQUENT)
             .orderBy(F.desc("count"), "token").limit(ORDERED).collect())       # a top list of bounded length
     return np.sort(np.array([r["token"] for r in rows], np.int64).view(np.uint64))
 
 
 def index_lists(docs: DataFrame, classes: DataFrame, frequent: np.ndarray, gram: int, percent: int) -> DataFrame:
-    """token, cls, n, pos of all tokens that two or more classes are indexed by."""
-    own = sets(docs, frequent, gram, percent).where("n > 0")
-    own = own.join(classes, [*(own[k] == classes[k] for k in KEY), own["doc_id"].eqNullSafe(classes["low"])]).select("cls", own["n"], "tokens", "copies")
+    """token, cls, n, pos of all tokens that two or more classes are indexed by, with the leaders of each list."""
+    own = _first_rows(sets(docs, frequent, gram, percent).where("n > 0"), classes).select("cls", "n", "tokens", "copies")
     own = own.where("copies = 1").unionByName(own.where("copies > 1").dropDuplicates(["cls"])) if classes.where("copies > 1").head(1) else own
+    one_list = Window.partitionBy("token")
+    heads = [F.min_by(F.struct("cls", "n"), F.xxhash64("cls", F.lit(seed), F.pmod("token", F.lit(LEADERS)))).over(one_list) for seed in range(ROUNDS)]
     entries = own.select("cls", "n", F.posexplode("tokens").alias("pos", "token"))
-    return written(entries.withColumn("many", F.count("*").over(Window.partitionBy("token"))).where("many > 1").drop("many"))
+    return written(entries.select("token", "cls", "n", "pos", F.count("*").over(one_list).alias("many"), F.array(*heads).alias("heads"))
+                   .where("many > 1").drop("many"))
 
 
 def may_link(a: Column, b: Column, percent: int) -> Column:
@@ -132,8 +139,7 @@ def enough(overlap: Column, a: Column, b: Column, percent: int) -> Column:
 def fetched(docs: DataFrame, classes: DataFrame, wanted: DataFrame, gram: int) -> DataFrame:
     """cls, n and the whole set of the classes in ``wanted``."""
     own = written(classes.join(wanted.distinct(), "cls", "left_semi"))
-    lows = own.select(F.col("low").alias("doc_id"))
-    near = docs.select("doc_id", "text").join(F.broadcast(lows) if own.count() <= BROADCAST_ROWS else lows, "doc_id", "left_semi")
+    near = docs.select("doc_id", "text").join(light(own.select(F.col("low").alias("doc_id"))), "doc_id", "left_semi")
     nameless = docs.select("doc_id", "text").where("doc_id IS NULL") if own.where("low IS NULL").head(1) else None
     found = sets(near if nameless is None else near.unionByName(nameless), np.zeros(0, np.uint64), gram, whole=True)
     return written(found.join(own, KEY).select("cls", "n", "data").where(F.length("data") > 0))
@@ -203,29 +209,28 @@ def _labelled(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
     """``rows`` with the component of each class so far."""
     if comps is None:
         return rows.withColumn("comp", F.col("cls"))
-    return rows.join(comps.select(F.col("node").alias("cls"), F.col("comp").alias("_comp")), "cls", "left").withColumn("comp", F.coalesce("_comp", "cls")).drop("_comp")
+    return rows.join(light(comps.select(F.col("node").alias("cls"), F.col("comp").alias("_comp"))), "cls", "left").withColumn("comp", F.coalesce("_comp", "cls")).drop("_comp")
 
 
 def led(lists: DataFrame, comps: DataFrame | None, seed: int, percent: int) -> DataFrame:
-    """For every class the leader it shares most tokens with, if that is in another component."""
-    rows = _labelled(lists, comps)
-    rank = F.xxhash64("cls", F.lit(seed), F.pmod("token", F.lit(LEADERS)))
-    heads = (rows.groupBy("token").agg(F.min_by(F.struct("cls", "n"), rank).alias("head"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-             .where("low < high").select("token", F.col("head.cls").alias("x"), F.col("head.n").alias("n_x")))
-    met = (rows.join(heads, "token").where((F.col("x") != F.col("cls")) & may_link(F.col("n"), F.col("n_x"), percent))
-           .groupBy("x", F.col("cls").alias("y"), "comp").agg(F.count("*").alias("shared"), F.first("n").alias("n")))
+    """For every class the leader it shares most tokens with, among those in other components."""
+    head = F.col("heads")[seed]
+    met = lists.select(head["cls"].alias("x"), head["n"].alias("n_x"), "cls", "n").where((F.col("x") != F.col("cls")) & may_link(F.col("n"), F.col("n_x"), percent))
+    met = met.groupBy("x", "cls").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
     if comps is not None:
-        met = met.join(comps.select(F.col("node").alias("x"), F.col("comp").alias("comp_x")), "x", "left").where(F.coalesce("comp_x", "x") != F.col("comp"))
-    best = met.groupBy("y").agg(F.max_by(F.struct("x", "shared", "n"), F.struct("shared", "x")).alias("b")).select("b.x", "y", "b.shared", "b.n")
+        met = _labelled(_labelled(met, comps).withColumnRenamed("comp", "comp_y").withColumnsRenamed({"cls": "y", "x": "cls"}), comps)
+        met = met.where("comp <> comp_y").withColumnsRenamed({"cls": "x", "y": "cls"})
     few = (100 - percent) * F.col("n") / (400 * LEADERS)        # a quarter of what copies share; the rest is left to the pairs
-    return best.where(F.col("shared") >= few).select("x", "y")
+    best = met.where(F.col("shared") >= few).groupBy(F.col("cls").alias("y")).agg(F.max_by("x", F.struct("shared", "x")).alias("x"))
+    return best.select("x", "y")
 
 
 def crossing(lists: DataFrame, comps: DataFrame | None, percent: int) -> DataFrame:
     """Pairs of classes of different components that may still link, by index blocks of one token and size class."""
-    rows = _labelled(lists, comps)
-    mixed_lists = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-    rows = rows.join(mixed_lists, "token", "left_semi").withColumn("block", F.floor(F.log(F.col("n")) / F.log(F.lit(1.02 * 100 / percent))).cast("int"))
+    one_list = Window.partitionBy("token")
+    rows = _labelled(lists.drop("heads"), comps)
+    rows = written(rows.withColumn("low", F.min("comp").over(one_list)).withColumn("high", F.max("comp").over(one_list)).where("low < high"))
+    rows = rows.withColumn("block", F.floor(F.log(F.col("n")) / F.log(F.lit(1.02 * 100 / percent))).cast("int"))
     small = rows.withColumn("block", F.explode(F.array(F.col("block"), F.col("block") + 1))).select(
         "token", "block", *(F.col(c).alias(f"{c}_y") for c in ("cls", "n", "pos", "comp")))
     large = rows.select("token", "block", *(F.col(c).alias(f"{c}_z") for c in ("cls", "n", "pos", "comp")))

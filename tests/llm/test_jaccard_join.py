@@ -48,7 +48,7 @@ def rows():
     return made + [made[3], (5, made[9][1], 0), (None, made[4][1], 0), (None, "nameless text", 0)]
 
 
-@pytest.mark.parametrize("frequent,rounds", [(16, 3), (2, 1), (10**6, 0), (2, 0)])
+@pytest.mark.parametrize("frequent,rounds", [(16, 2), (2, 1), (10**6, 0), (2, 0)])
 def test_components_match_brute_force_with_and_without_leaders(spark, rows, monkeypatch, frequent, rounds):
     monkeypatch.setattr(jj, "FREQUENT", frequent)
     got = jj.link(spark.createDataFrame(rows, KIND), rounds=rounds).collect()
