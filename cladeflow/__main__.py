@@ -8,12 +8,13 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from cladeflow.operators import genomes as G
-from cladeflow.operators.distance import MAX_WIDE, to_wide
+from cladeflow.operators.distance import to_wide, wide_names
 from cladeflow.operators.families import presence_matrix
 from cladeflow.operators.presence import hit_report
 from cladeflow.operators.tree import shape
 from cladeflow.plans import overlay, pangenome, phylogeny, screening
 from cladeflow.sources import fasta, newick, sinks, tables
+from cladeflow.streaming.resume import content
 
 
 def fetch(spark, a):
@@ -42,17 +43,19 @@ def screen(spark, a):
     work = f"{a.out}/checkpoints"
     if not a.skip_card:
         card, aro = fasta.read_references(spark, a.card, "CARD"), tables.read_aro(spark, a.aro)
-        hits = screening.resumable(proteins, lambda p: screening.card_hits(p, card, aro), work, "card", a.card)
+        hits = screening.resumable(proteins, lambda p: screening.card_hits(p, card, aro), work, "card", content(card), content(aro))
         sinks.write_csv(hits, f"{a.out}/amr_genes")
         hit_report(hits).show(truncate=False)
     vfdb = fasta.read_references(spark, a.vfdb, "VFDB")
-    hits = screening.resumable(proteins, lambda p: screening.virulence_hits(p, vfdb), work, "vfdb", a.vfdb)
+    hits = screening.resumable(proteins, lambda p: screening.virulence_hits(p, vfdb), work, "vfdb", content(vfdb))
     sinks.write_csv(hits, f"{a.out}/virulence_genes")
+    hit_report(hits).show(truncate=False)
     replicons = fasta.read_archive(spark, a.replicons, ".fsa").select(
         F.concat_ws("#", "path", F.lpad(F.col("ord").cast("string"), 12, "0")).alias("ref_id"), F.col("header").alias("label"), "seq")
     hits = screening.resumable(contigs, lambda c: screening.replicon_hits(c, replicons, meta.select("strain", "host_group")),
-                               work, "replicons", a.replicons)
+                               work, "replicons", content(replicons))
     sinks.write_csv(hits, f"{a.out}/plasmid_replicons_all")
+    hits.groupBy("replicon").agg(F.count_distinct("strain").alias("n_isolates")).orderBy(F.desc("n_isolates"), "replicon").show(truncate=False)
     return 0
 
 
@@ -61,8 +64,9 @@ def pan(spark, a):
     sinks.write_table(out.membership, f"{a.out}/gene_to_family")
     sinks.write_csv(out.families, f"{a.out}/gene_families")
     sinks.write_fasta(out.representatives, f"{a.out}/family_representatives", F.concat(F.lit("fam"), F.col("family")))
-    strains = [r.strain for r in out.membership.select("strain").distinct().orderBy("strain").limit(MAX_WIDE).collect()]
-    sinks.write_csv(presence_matrix(out.membership, strains), f"{a.out}/pan_genome_matrix")
+    strains = wide_names(out.membership.select("strain"))      # gene_to_family is the long form
+    if strains is not None:
+        sinks.write_csv(presence_matrix(out.membership, strains), f"{a.out}/pan_genome_matrix")
     out.partition.orderBy("rank").show()
     if a.domains:
         annotation, rates, enriched = pangenome.annotate(out.families, spark.read.parquet(a.domains))
@@ -85,16 +89,23 @@ def tree(spark, a):
 
 def overlay_stage(spark, a):
     ani = overlay.relatedness(fasta.read_genomes(spark, a.genomes))
-    names = [r.strain for r in fasta.read_genomes(spark, a.genomes).select("strain").distinct().orderBy("strain").limit(MAX_WIDE).collect()]
-    sinks.write_csv(to_wide(ani, "ani", 100.0, 0.0, names), f"{a.out}/ani_matrix")
+    sinks.write_csv(ani, f"{a.out}/ani_pairs")
+    names = wide_names(fasta.read_genomes(spark, a.genomes).select("strain"))
+    if names is not None:
+        sinks.write_csv(to_wide(ani, "ani", 100.0, 0.0, names), f"{a.out}/ani_matrix")
     text = spark.read.text(f"{a.out}/core_genome_nwk", wholetext=True).select(F.lit("core").alias("tree"), F.col("value").alias("newick"))
     result = overlay.build(tables.read_csv(spark, f"{a.out}/amr_genes"), newick.parse_newick(text),
                            tables.isolate_metadata(tables.read_csv(spark, a.metadata)),
                            tables.read_csv(spark, f"{a.out}/plasmid_replicons_all"), a.perms, a.seed)
-    sinks.write_csv(result.sharing, f"{a.out}/amr_sharing_matrix")
-    sinks.write_csv(result.patterns, f"{a.out}/amr_inherited_vs_acquired")
-    sinks.write_csv(result.patterns.drop("pattern").orderBy("gene"), f"{a.out}/amr_phylogenetic_signal")
+    sinks.write_csv(result.sharing, f"{a.out}/amr_sharing")
+    if result.matrix is not None:
+        sinks.write_csv(result.matrix, f"{a.out}/amr_sharing_matrix")
+    rounded = result.patterns.withColumns({"changes_expected": F.round("changes_expected", 2), "p_clumped": F.round("p_clumped", 4)})
+    sinks.write_csv(rounded, f"{a.out}/amr_inherited_vs_acquired")
+    sinks.write_csv(rounded.drop("pattern").orderBy("gene"), f"{a.out}/amr_phylogenetic_signal")
     sinks.write_csv(result.summary, f"{a.out}/onehealth_summary")
+    rounded.groupBy("pattern").count().orderBy("pattern").show(truncate=False)
+    result.sharing.filter("n_hosts > 1").select("gene", "n_hosts", "acquired").distinct().orderBy(F.desc("n_hosts"), "gene").show(truncate=False)
     return 0
 
 

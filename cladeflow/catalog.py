@@ -16,7 +16,9 @@ from cladeflow.operators import homology as H
 from cladeflow.operators import presence as P
 from cladeflow.operators import stats as S
 from cladeflow.operators import tree as T
+from cladeflow.operators.common import checkpoint
 from cladeflow.params import DOMAIN_MAX_EVALUE, REPLICON_SCREEN, SKETCH_K, FamilyParams
+from cladeflow.plans.phylogeny import all_pairs
 from cladeflow.sources import newick, tables
 from cladeflow.streaming import resume
 from cladeflow.views import Views
@@ -142,7 +144,7 @@ def ani_range(v: Views) -> DataFrame:
 @query
 def ani_matrix(v: Views) -> DataFrame:
     sketches, strains = _sketch(v, "source")
-    names = [r.strain for r in v.contigs("source").select("strain").distinct().orderBy("strain").limit(D.MAX_WIDE + 1).collect()]
+    names = D.wide_names(v.contigs("source").select("strain"))
     wide = D.to_wide(D.ani_pairs(sketches, strains), "ani", 100.0, 0.0, names)
     return wide.select("taxon_name", *[F.round(c, 4).alias(c) for c in names])
 
@@ -172,6 +174,12 @@ def _nation_distances(v: Views) -> DataFrame:
     return D.p_distance(v.sites(), v.table("nation").select("n_name"))
 
 
+def _nation_matrix(v: Views) -> DataFrame:
+    """The full matrix a tree needs: nations without a common site are at distance 1."""
+    shared = checkpoint(_nation_distances(v))
+    return all_pairs(shared, v.sites().select(F.col("taxon").alias("name")).distinct())
+
+
 @query
 def p_distance(v: Views) -> DataFrame:
     return _nation_distances(v).select("a", "b", "compared", "equal", r6("distance"))
@@ -179,7 +187,7 @@ def p_distance(v: Views) -> DataFrame:
 
 @query
 def nj_edges(v: Views) -> DataFrame:
-    return T.neighbor_joining(_nation_distances(v)).select("node", "parent", r6("length"))
+    return T.neighbor_joining(_nation_matrix(v)).select("node", "parent", r6("length"))
 
 
 # ---- families ------------------------------------------------------------------------------
@@ -197,8 +205,7 @@ def class_partition(v: Views) -> DataFrame:
 
 @query
 def presence_matrix(v: Views) -> DataFrame:
-    strains = [r.source for r in v.table("documents").select("source").distinct().orderBy("source").limit(D.MAX_WIDE + 1).collect()]
-    return FM.presence_matrix(v.tokens(), strains)
+    return FM.presence_matrix(v.tokens(), D.wide_names(v.table("documents").select("source")))
 
 
 @query
@@ -287,7 +294,7 @@ def isolate_summary(v: Views) -> DataFrame:
 
 @query
 def hit_report(v: Views) -> DataFrame:
-    genes = v._lines("l_quantity >= 45").select(
+    genes = v._lines("true").select(
         F.col("p_type").alias("database"), F.col("p_brand").alias("gene"), v._strain().alias("strain"))
     return P.hit_report(genes)
 
@@ -356,7 +363,7 @@ def newick_roundtrip(v: Views) -> DataFrame:
 
 @query
 def midpoint_rooted(v: Views) -> DataFrame:
-    nj = T.shape(T.neighbor_joining(_nation_distances(v)))
+    nj = T.shape(T.neighbor_joining(_nation_matrix(v)))
     return T.midpoint_root(nj).select("node", "parent", r6("length"))
 
 
@@ -397,7 +404,7 @@ def isolate_metadata(v: Views) -> DataFrame:
 
 def _files(v: Views) -> tuple[DataFrame, DataFrame]:
     wanted = v.table("part").select(F.col("p_partkey").cast("string").alias("accession"))
-    files = v.table("lineitem").filter("l_quantity >= 48").groupBy(F.col("l_partkey").cast("string").alias("accession")).agg(
+    files = v.table("lineitem").groupBy(F.col("l_partkey").cast("string").alias("accession")).agg(
         F.sum("l_quantity").cast("bigint").alias("size_bytes"), F.count("*").alias("n_contigs"))
     return wanted, files
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,9 +43,6 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def _checkpoint_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset, a folder in the warehouse, which all executors share too."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="cladeflow-checkpoint-")
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/cladeflow-checkpoints"

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from cladeflow.functions.sequence import count_chars, reverse_complement, translate_codons
 from cladeflow.params import MIN_PROTEIN_AA
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def running_ends(lengths: pd.Series) -> pd.Series:
+    """Running totals of each array: SQL has no linear prefix sum over an array."""
+    return lengths.map(np.cumsum)
+
+
 def call_orfs(contigs: DataFrame, min_aa: int = MIN_PROTEIN_AA) -> DataFrame:
     """Open reading frames of ``contigs(strain, contig, seq)`` on both strands.
 
@@ -23,16 +32,14 @@ def call_orfs(contigs: DataFrame, min_aa: int = MIN_PROTEIN_AA) -> DataFrame:
         F.struct(F.lit("-").alias("strand"), reverse_complement(F.col("seq")).alias("text")))).alias("s"))
     frames = strands.select("strain", "contig", "size", "s.strand", F.col("s.text").alias("text"),
                             F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("frame"))
-    protein = translate_codons(F.substring(F.col("text"), F.col("frame") + 1, F.length("text")))
-    pieces = frames.select("strain", "contig", "size", "strand", "text", "frame", F.split(protein, r"\*").alias("parts"))
-    # running end of every piece in codons, the stop included
-    ends = F.aggregate("parts", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends")),
-                       lambda acc, part: F.struct(
-                           (acc["at"] + F.length(part) + 1).alias("at"),
-                           F.concat(acc["ends"], F.array(acc["at"] + F.length(part) + 1)).alias("ends")),
-                       lambda acc: acc["ends"])
-    closed = F.slice(F.arrays_zip(F.col("parts").alias("part"), ends.alias("end")), 1, F.size("parts") - 1)
-    found = (pieces.select("strain", "contig", "size", "strand", "text", "frame", F.explode(closed).alias("o"))
+    frames = frames.withColumn("text", F.substring(F.col("text"), F.col("frame") + 1, F.length("text")))
+    # protein and nucleotides are cut at the same stops, so no piece looks back at its contig
+    spaced = F.regexp_replace("text", "(?s)(.{3})", "$1 ")
+    pieces = frames.select("strain", "contig", "size", "strand", "frame", F.split(translate_codons(F.col("text")), r"\*").alias("parts"),
+                           F.split(spaced, "(?<=TAA |TAG |TGA )").alias("codons"))
+    ends = running_ends(F.transform("parts", lambda part: F.length(part) + 1))
+    closed = F.slice(F.arrays_zip(F.col("parts").alias("part"), F.col("codons").alias("codons"), ends.alias("end")), 1, F.size("parts") - 1)
+    found = (pieces.select("strain", "contig", "size", "strand", "frame", F.explode(closed).alias("o"))
              .withColumn("protein", F.regexp_extract(F.col("o.part"), "M.*", 0))
              .filter(F.length("protein") >= min_aa))
     last = F.col("frame") + 3 * F.col("o.end")
@@ -43,7 +50,7 @@ def call_orfs(contigs: DataFrame, min_aa: int = MIN_PROTEIN_AA) -> DataFrame:
         F.when(forward, first).otherwise(F.col("size") - last + 1).alias("begin"),
         F.when(forward, last).otherwise(F.col("size") - first + 1).alias("end"),
         "strand", (last - first + 1).alias("length_nt"), F.length("protein").alias("length_aa"), "protein",
-        F.substring(F.col("text"), first, last - first + 1).alias("cds"))
+        F.right(F.replace(F.col("o.codons"), F.lit(" "), F.lit("")), 3 * (F.length("protein") + 1)).alias("cds"))
 
 
 def gene_header(gene_id: str = "gene_id"):

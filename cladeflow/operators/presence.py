@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeflow.functions.labels import classify_pattern, is_acquired
-from cladeflow.operators.distance import shared_counts
+from cladeflow.operators.distance import cross_counts
 
 
 def carriers(hits: DataFrame) -> DataFrame:
@@ -28,6 +28,12 @@ def gene_totals(presence: DataFrame, hosts: DataFrame) -> DataFrame:
             .withColumn("acquired", is_acquired(F.col("gene"))))
 
 
+def sharing(presence: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Long form of the sharing matrix: ``(gene, host_group, n, n_hosts, acquired)``, one row per pair that occurs."""
+    totals = gene_totals(presence, hosts).select("gene", "n_hosts", "acquired")
+    return totals.join(host_counts(presence, hosts), "gene", "left").select("gene", "host_group", F.coalesce("n", F.lit(0)).alias("n"), "n_hosts", "acquired")
+
+
 def sharing_matrix(presence: DataFrame, hosts: DataFrame, groups: list[str]) -> DataFrame:
     """Gene x host-group carrier counts, ``n_hosts`` and the acquired flag."""
     wide = (host_counts(presence, hosts).groupBy("gene").pivot("host_group", groups).agg(F.first("n"))
@@ -81,11 +87,8 @@ def cooccurrence(presence: DataFrame, replicons: DataFrame) -> DataFrame:
 
     Shared-item counts over isolates: an isolate rich in both never emits their product.
     """
-    rows = presence.select(F.concat(F.lit("g:"), "gene").alias("row"), "strain").unionByName(
-        replicons.select(F.concat(F.lit("r:"), "replicon").alias("row"), "strain"))
-    counts = shared_counts(rows, "row", "strain", rows.select("row"))
-    return counts.filter(F.startswith("a", F.lit("g:")) & F.startswith("b", F.lit("r:"))).select(
-        F.substring("a", 3, 1 << 20).alias("gene"), F.substring("b", 3, 1 << 20).alias("replicon"), F.col("n").alias("n_isolates"))
+    counts = cross_counts(presence.select("gene", "strain"), replicons.select("replicon", "strain"), "strain")
+    return counts.select(F.col("a").alias("gene"), F.col("b").alias("replicon"), F.col("n").alias("n_isolates"))
 
 
 def means_by_host(pairs: DataFrame, hosts: DataFrame, value: str) -> DataFrame:

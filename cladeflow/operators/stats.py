@@ -28,31 +28,38 @@ def _log_choose(n: Column, k: Column) -> Column:
 def fisher_greater(df: DataFrame, a: str, b: str, c: str, d: str, name: str = "p_value") -> DataFrame:
     """One-sided exact p-value of the table [[a, b], [c, d]].
 
-    The hypergeometric tail starts from one log-space term and grows by ratios.  Terms more
-    than forty standard deviations from the mean vanish in double precision and are left out,
-    which bounds the work per table by the square root of its total.
+    Above the mean the upper tail is summed from the observed count on; below it the lower tail
+    is summed downwards from the count before and taken from one.  Either way the first
+    term is the largest and the rest follow by ratios below one, so nothing underflows that
+    matters: forty standard deviations (and fifty terms) further on a term is under 1e-300 of the first.
     """
     x, row, col, n = (F.col(v).cast("double") for v in ("_x", "_row", "_col", "_n"))
     work = (df.withColumn("_x", F.col(a)).withColumn("_row", F.col(a) + F.col(b))
             .withColumn("_col", F.col(a) + F.col(c)).withColumn("_n", F.col(a) + F.col(b) + F.col(c) + F.col(d)))
     mean = row * col / F.greatest(n, F.lit(1.0))
-    spread = 40 * F.sqrt(mean * (1 - row / F.greatest(n, F.lit(1.0)))) + 10
-    floor = F.greatest(row + col - n, F.lit(0.0))
-    work = (work.withColumn("_lo", F.greatest(x, F.floor(mean - spread), floor).cast("double"))
-            .withColumn("_hi", F.least(row, col, F.ceil(F.greatest(x, mean) + spread)).cast("double")))
-    lo, hi = F.col("_lo"), F.col("_hi")
-    first = F.exp(_log_choose(col, lo) + _log_choose(n - col, row - lo) - _log_choose(n, row))
-    work = work.withColumn("_first", first)
+    spread = F.ceil(40 * F.sqrt(mean * (1 - row / F.greatest(n, F.lit(1.0)))) + 50)
+    above = x > mean
+    least = F.greatest(row + col - n, F.lit(0.0))
+    work = (work.withColumn("_above", above).withColumn("_from", F.when(above, x).otherwise(x - 1))
+            .withColumn("_steps", F.least(spread, F.when(above, F.least(row, col) - x).otherwise(x - 1 - least)).cast("bigint")))
+    start = F.col("_from")
+    work = work.withColumn("_first", F.exp(_log_choose(col, start) + _log_choose(n - col, row - start) - _log_choose(n, row)))
 
     def step(acc: Column, i: Column) -> Column:
-        term = acc["term"] * (col - i) * (row - i) / ((i + 1.0) * (n - row - col + i + 1.0))
+        up = start + i
+        down = start - i
+        ratio = F.when(F.col("_above"), (col - up) * (row - up) / ((up + 1.0) * (n - row - col + up + 1.0))).otherwise(
+            down * (n - row - col + down) / ((col - down + 1.0) * (row - down + 1.0)))
+        term = acc["term"] * ratio
         return F.struct((acc["total"] + term).alias("total"), term.alias("term"))
 
-    tail = F.aggregate(
-        F.when(hi > lo, F.transform(F.sequence(lo.cast("bigint"), (hi - 1).cast("bigint")), lambda i: i.cast("double")))
+    # a count at its smallest possible value has no lower tail
+    tail = F.when(F.col("_steps") < 0, F.lit(0.0)).otherwise(F.aggregate(
+        F.when(F.col("_steps") > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("_steps") - 1), lambda i: i.cast("double")))
         .otherwise(F.array().cast("array<double>")),
-        F.struct(F.col("_first").alias("total"), F.col("_first").alias("term")), step, lambda acc: acc["total"])
-    return work.withColumn(name, F.least(tail, F.lit(1.0))).drop("_x", "_row", "_col", "_n", "_lo", "_hi", "_first")
+        F.struct(F.col("_first").alias("total"), F.col("_first").alias("term")), step, lambda acc: acc["total"]))
+    p = F.when(F.col("_above"), tail).otherwise(1 - tail)
+    return work.withColumn(name, F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))).drop("_x", "_row", "_col", "_n", "_above", "_from", "_steps", "_first")
 
 
 def odds_ratio(a: Column, b: Column, c: Column, d: Column, cap: float = ODDS_RATIO_CAP) -> Column:

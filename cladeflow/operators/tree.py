@@ -232,6 +232,19 @@ def _way_down(tree: Tree) -> DataFrame:
     return done
 
 
+def _way_up(tree: DataFrame, tip: str) -> dict:
+    """Rows of the nodes from a tip to the root: the known part of the way doubles with each step."""
+    jump = checkpoint(tree.select("node", F.col("parent").alias("up")))
+    way = tree.filter(F.col("node") == tip).select("node")
+    while True:
+        more = jump.filter("up IS NOT NULL").join(way, "node").select(F.col("up").alias("node"))
+        if more.isEmpty():
+            break
+        way = checkpoint(way.unionByName(more).distinct())
+        jump = checkpoint(jump.join(jump.select(F.col("node").alias("up"), F.col("up").alias("over")), "up", "left").select("node", F.col("over").alias("up")))
+    return {r.node: r for r in tree.join(way, "node").select("node", "parent", "length").collect()}     # one row for each level
+
+
 def midpoint_root(shaped: Tree) -> DataFrame:
     """Reroot halfway along the longest tip-to-tip path; returns ``(node, parent, length)``.
 
@@ -249,23 +262,19 @@ def midpoint_root(shaped: Tree) -> DataFrame:
     widest = (first.join(second, "parent").select("parent", (F.col("one.reach") + F.col("two")).alias("span"), "one.deep_tip")
               .orderBy(F.desc("span"), "parent").first())
     half, tip = widest.span / 2, widest.deep_tip
-    parent_of = {}
+    above = _way_up(tree, tip)
     node, climbed = tip, 0.0
-    while True:                                         # one row per step of the path
-        row = tree.filter(F.col("node") == node).select("parent", "length").first()
-        parent_of[node] = row.parent
-        if climbed + row.length >= half or row.parent is None:
-            break
-        node, climbed = row.parent, climbed + row.length
-    low, high, into = node, parent_of[node], half - climbed
+    while above[node].parent is not None and climbed + above[node].length < half:
+        climbed += above[node].length
+        node = above[node].parent
+    low, high, into = node, above[node].parent, half - climbed
     if high is None:
         return tree.select("node", "parent", "length")
-    flipped, length, at = [], row.length - into, high
+    flipped, length, at = [], above[node].length - into, high
     changed = [(low, "midpoint", into)]
     while at is not None:
-        up = tree.filter(F.col("node") == at).select("parent", "length").first()
         flipped.append((at, flipped[-1][0] if flipped else "midpoint", length))
-        length, at = up.length, up.parent
+        length, at = above[at].length, above[at].parent
     changed += flipped + [("midpoint", None, 0.0)]
     spark = tree.sparkSession
     moved = spark.createDataFrame(changed, "node string, parent string, length double")

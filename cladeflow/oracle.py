@@ -266,7 +266,7 @@ SELECT o_orderkey, p AS p_value, round(q, 6) AS q_value, q < 0.05 AS significant
 
 _MARKED = "(" + " OR ".join(f"contains(lower({{0}}), '{m.replace(chr(39), chr(39) * 2)}')" for m in INTRINSIC_MARKERS) + ")"
 _PRESENCE = f"""
-presence AS (SELECT DISTINCT p_brand AS gene, l_suppkey AS s, 's' || l_suppkey AS strain FROM lineitem
+presence AS (SELECT DISTINCT concat_ws('|', p_brand, p_type, p_partkey) AS gene, l_suppkey AS s, 's' || l_suppkey AS strain FROM lineitem
   JOIN part ON l_partkey = p_partkey WHERE {GENE_HIT}),
 replicons AS (SELECT DISTINCT p_type AS replicon, 's' || l_suppkey AS strain FROM lineitem
   JOIN part ON l_partkey = p_partkey WHERE {REPLICON_HIT}),
@@ -289,7 +289,7 @@ ORACLE["hit_report"] = f"""
 SELECT p_type AS database, count(*) AS n_hits, count(DISTINCT p_brand) AS n_genes,
   count(DISTINCT CASE WHEN NOT {_MARKED.format('p_brand')} THEN p_brand END) AS n_acquired,
   count(DISTINCT CASE WHEN {_MARKED.format('p_brand')} THEN p_brand END) AS n_intrinsic, count(DISTINCT l_suppkey) AS n_isolates
-FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 45 GROUP BY p_type"""
+FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_type"""
 ORACLE["top_genes"] = f"WITH {_PRESENCE} SELECT gene, count(*) AS n_isolates FROM presence GROUP BY gene ORDER BY 2 DESC, 1 LIMIT 5"
 ORACLE["cooccurrence"] = f"""WITH {_PRESENCE}
 SELECT gene, replicon, count(*) AS n_isolates FROM presence JOIN replicons USING (strain) GROUP BY ALL"""
@@ -374,7 +374,7 @@ WITH d AS (SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderstatus = 'F' THE
 SELECT CAST(o_orderkey AS VARCHAR) AS strain, o_orderpriority AS host_group, c AS collection_date, CAST(substr(c, 1, 4) AS BIGINT) AS year,
   CASE length(c) WHEN 4 THEN 'year' WHEN 7 THEN 'month' WHEN 10 THEN 'day' END AS date_precision FROM d"""
 _FILES = """
-files AS (SELECT l_partkey, CAST(sum(l_quantity) AS BIGINT) AS size_bytes, count(*) AS n_contigs FROM lineitem WHERE l_quantity >= 48 GROUP BY 1),
+files AS (SELECT l_partkey, CAST(sum(l_quantity) AS BIGINT) AS size_bytes, count(*) AS n_contigs FROM lineitem GROUP BY 1),
 report AS (SELECT CAST(p_partkey AS VARCHAR) AS accession, p_partkey || '.fna' AS file, size_bytes, n_contigs,
   CASE WHEN size_bytes IS NULL THEN 'missing' ELSE 'cached' END AS status FROM part LEFT JOIN files ON l_partkey = p_partkey)"""
 ORACLE["fetch_report"] = f"WITH {_FILES} SELECT * FROM report"

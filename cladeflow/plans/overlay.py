@@ -20,7 +20,8 @@ DEFAULT_GROUPS = ("Human", "Poultry", "Cattle")
 
 @dataclass(frozen=True)
 class Overlay:
-    sharing: DataFrame
+    sharing: DataFrame             # gene, host_group, n, n_hosts, acquired
+    matrix: DataFrame | None       # the same with a column for each group, if these are few enough
     patterns: DataFrame
     summary: DataFrame
 
@@ -42,8 +43,8 @@ def build(hits: DataFrame, edges: DataFrame, metadata: DataFrame, replicons: Dat
     on_tips = presence.select("gene", canonical_key(F.col("strain")).alias("tip"))
     T.check_overlap(tree, hits.select(canonical_key(F.col("strain")).alias("strain")))
     hosts = metadata.select("strain", "host_group")
-    groups = [r.host_group for r in hosts.filter("host_group IS NOT NULL").select("host_group").distinct()
-              .orderBy("host_group").limit(D.MAX_WIDE).collect()] or list(DEFAULT_GROUPS)
+    groups = D.wide_names(hosts.select("host_group"))
+    matrix = None if groups is None else P.sharing_matrix(presence, hosts, groups or list(DEFAULT_GROUPS))
     tests = T.clumping_test(tree, on_tips, n_perms, seed)
     patterns = P.call_patterns(tests, P.gene_totals(presence, hosts)).orderBy(F.asc_nulls_last("p_clumped"), "gene")
-    return Overlay(P.sharing_matrix(presence, hosts, groups), patterns, P.isolate_summary(presence, metadata, replicons))
+    return Overlay(P.sharing(presence, hosts), matrix, patterns, P.isolate_summary(presence, metadata, replicons))

@@ -49,12 +49,13 @@ def build(proteins: DataFrame, membership: DataFrame, families: DataFrame, align
 
 def all_pairs(pairs: DataFrame, names: DataFrame) -> DataFrame:
     """Add the pairs without a common column at distance 1: a tree needs the full matrix, and its
-    size is the matrix itself.  The names are checked to fit one row."""
+    size is the matrix itself.  Names meet in blocks, so no row holds more than one block of them."""
     n = names.count()
-    if n > D.MAX_WIDE:
-        raise ValueError(f"{n} taxa: too many for a full matrix")
     if pairs.count() == n * (n - 1) // 2:
         return pairs
-    everyone = names.agg(F.sort_array(F.collect_list("name"))).scalar()
-    full = names.select(F.col("name").alias("a"), F.explode(F.filter(everyone, lambda b: b > F.col("name"))).alias("b"))
+    blocks = max(1, -(-n // D.TAXA_PER_BLOCK))
+    block = F.pmod(F.xxhash64("name"), F.lit(blocks)).cast("int")
+    lists = names.groupBy(block.alias("block")).agg(F.collect_list("name").alias("others"))
+    full = (names.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(lists, "block")
+            .select(F.col("name").alias("a"), F.explode(F.filter("others", lambda b: b > F.col("name"))).alias("b")))
     return full.join(pairs, ["a", "b"], "left").withColumn("distance", F.coalesce("distance", F.lit(1.0)))

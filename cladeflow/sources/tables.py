@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,14 +39,15 @@ def pick_column(df: DataFrame, candidates: tuple[str, ...]) -> str | None:
 
 
 def accession_column(df: DataFrame) -> str:
-    """Known name, else the first column with an assembly accession in its first 20 values."""
+    """Known name, else the leftmost column that holds an assembly accession anywhere."""
     named = pick_column(df, ACCESSION_COLUMNS)
     if named:
         return named
-    for c in df.columns:
-        head = df.select(F.col(f"`{c}`").cast("string").alias("v")).filter("v IS NOT NULL").limit(20)
-        if not head.filter(F.col("v").rlike(ACCESSION_PATTERN)).isEmpty():
-            return c
+    if df.columns:
+        holds = df.agg(*[F.bool_or(F.col(f"`{c}`").cast("string").rlike(ACCESSION_PATTERN)).alias(str(i)) for i, c in enumerate(df.columns)]).first()
+        for i, c in enumerate(df.columns):
+            if holds[i]:
+                return c
     raise ValueError(f"no accession column among {df.columns}")
 
 
@@ -71,19 +73,28 @@ def isolate_metadata(df: DataFrame) -> DataFrame:
 def read_aro(spark: SparkSession, path: str) -> DataFrame:
     """``(aro, drug, mech, family)`` of a tab-separated index.
 
-    Empty when a column is missing.  Rows too short to hold all four are skipped, which a
-    CSV reader could not tell from empty cells.
+    Empty when the file or a column is missing.  Rows too short to hold all four are skipped,
+    which a CSV reader could not tell from empty cells.  Of an accession listed twice the last
+    line counts, by its place in the file.
     """
-    lines = spark.read.text(path)
-    first = lines.first()
+    none = spark.createDataFrame([], "aro string, drug string, mech string, family string")
+    if not path:
+        return none
+    try:
+        lines = spark.read.text(path).withColumn("at", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return none
+    first = lines.select("value").first()
     header = first.value.split("\t") if first else []
     if not all(c in header for c in ARO_COLUMNS):
-        return spark.createDataFrame([], "aro string, drug string, mech string, family string")
+        return none
     at = [header.index(c) for c in ARO_COLUMNS]
     cells = F.split("value", "\t")
     rows = lines.filter((F.col("value") != first.value) & (F.size(cells) > max(at))).select(
-        *[F.trim(F.get(cells, i)).alias(n) for i, n in zip(at, ("aro", "drug", "mech", "family"))])
-    return rows.groupBy("aro").agg(F.max(F.struct("drug", "mech", "family")).alias("m")).select("aro", "m.*")
+        "at", *[F.trim(F.get(cells, i)).alias(n) for i, n in zip(at, ("aro", "drug", "mech", "family"))])
+    return rows.groupBy("aro").agg(F.max_by(F.struct("drug", "mech", "family"), "at").alias("m")).select("aro", "m.*")
 
 
 def complete(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:

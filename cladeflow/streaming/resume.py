@@ -8,11 +8,13 @@ of thresholds or of the reference database starts a new table instead of mixing
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 
 def fingerprint(*parts: object) -> str:
@@ -30,31 +32,46 @@ def reused(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return wanted.join(done.select(key).distinct(), key, "left_semi")
 
 
+def content(df: DataFrame) -> tuple[int, str]:
+    """Rows and an order-free hash of what a table holds: the same path with other content is another one."""
+    row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(20,0)")).cast("string").alias("h")).first()
+    return row.n, row.h or ""
+
+
 def run_incremental(inputs: DataFrame, key: str, work: Callable[[DataFrame], DataFrame], root: str,
                     *params: object) -> DataFrame:
     """Run ``work`` on the inputs whose key is not done, append, and return all results.
 
     The results are written before the keys are marked as done, and marking is a separate
     table: a key without any result row counts as finished too, and a run that dies between
-    the two writes replaces exactly the partitions it had begun.
+    the two writes replaces exactly the partitions it had begun.  Columns come back with the
+    types they were written with, keys included; without any hit the result is empty.
     """
     spark = inputs.sparkSession
     base = f"{root}/{fingerprint(*params)}"
 
-    def existing(name: str) -> DataFrame | None:
+    def existing(name: str, schema: StructType) -> DataFrame | None:
         try:
-            return spark.read.parquet(f"{base}/{name}")
-        except AnalysisException:
+            return spark.read.schema(schema).parquet(f"{base}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
 
-    done = existing("done")
+    marks = StructType([inputs.schema[key], StructField("finished", BooleanType())])
+    done = existing("done", marks)
     pending = inputs if done is None else todo(inputs, done, key)
     keys = pending.select(key).distinct()
     if not keys.isEmpty():
-        (work(pending).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(key).parquet(f"{base}/results"))
+        found = work(pending)
+        spark.createDataFrame([(found.schema.json(),)], "schema string").write.mode("overwrite").parquet(f"{base}/schema")
+        found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(f"{base}/results")
         keys.withColumn("finished", F.lit(True)).write.mode("append").parquet(f"{base}/done")
-    results = existing("results")
+    shape = existing("schema", StructType([StructField("schema", StringType())]))
+    if shape is None:
+        return work(inputs.limit(0))
+    schema = StructType.fromJson(json.loads(shape.first().schema))
+    results = existing("results", schema)
     if results is None:
-        raise RuntimeError("nothing has been computed yet")
-    return reused(results, spark.read.parquet(f"{base}/done"), key)
+        return spark.createDataFrame([], schema)
+    return reused(results.select(*schema.names), existing("done", marks), key)

@@ -14,8 +14,10 @@ from cladeflow.sources.tables import read_table
 # Letters to bases, digits to the ambiguous base.
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
 BASES = "ACGTACGTACGTACGTACGTACGTACNNNNNNNNNN"
-GENE_HIT = "l_quantity >= 45 AND l_discount >= 0.1 AND l_returnflag = 'R'"
-REPLICON_HIT = "l_quantity >= 48 AND l_discount >= 0.1 AND l_returnflag = 'A'"
+# A line item is a hit of identity quantity / 50; these are the thresholds of a gene and of a replicon.
+GENE_HIT = "l_quantity / 50 >= 0.90"
+REPLICON_HIT = "l_quantity / 50 >= 0.96"
+GENE = "concat_ws('|', p_brand, p_type, p_partkey)"
 
 
 class Views:
@@ -60,7 +62,7 @@ class Views:
         return self.table("events").select(F.concat_ws("|", k, hour).alias("family"), F.col("event_type").alias("strain"))
 
     def _lines(self, condition: str) -> DataFrame:
-        part = self.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type")
+        part = self.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type", F.expr(GENE).alias("gene"))
         return self.table("lineitem").filter(condition).select("l_partkey", "l_suppkey").join(part, "l_partkey")
 
     @staticmethod
@@ -68,8 +70,8 @@ class Views:
         return F.concat(F.lit("s"), F.col(column).cast("string"))
 
     def presence(self) -> DataFrame:
-        """Distinct (gene, strain): brands an isolate carries a passing hit of."""
-        return self._lines(GENE_HIT).select(F.col("p_brand").alias("gene"), self._strain().alias("strain")).distinct()
+        """Distinct (gene, strain): parts an isolate carries a passing hit of."""
+        return self._lines(GENE_HIT).select("gene", self._strain().alias("strain")).distinct()
 
     def replicons(self) -> DataFrame:
         return self._lines(REPLICON_HIT).select(self._strain().alias("strain"), F.col("p_type").alias("replicon")).distinct()

@@ -2,7 +2,9 @@
 
 import math
 import random
+from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +140,64 @@ def test_star_alignment(spark):
     got = {(r.family, r.strain): r.aligned for r in star_alignment(df).collect()}
     assert {k: v.replace("-", "") for k, v in got.items()} == {(f, s): q for f, s, q in rows}
     assert len({len(v) for (f, _), v in got.items() if f == "f"}) == 1 and got["g", "s0"] == "AC"
+
+
+def _brute_shared(rows, listed):
+    sets = {}
+    for name, item in rows:
+        if name in listed:
+            sets.setdefault(name, set()).add(item)
+    return {(a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a <= b and sets[a] & sets[b]}
+
+
+@pytest.mark.parametrize("taxa,block", [(5, 2000), (70, 2000), (70, 20)])
+def test_shared_counts_leave_unlisted_rows_out_at_every_size(spark, monkeypatch, taxa, block):
+    monkeypatch.setattr(D, "TAXA_PER_BLOCK", block)
+    draw = random.Random(taxa)
+    rows = [(f"t{draw.randrange(taxa)}", draw.randrange(40)) for _ in range(taxa * 12)]
+    listed = {f"t{i}" for i in range(taxa) if i not in (1, 3)}
+    got = D.shared_counts(spark.createDataFrame(rows, "row string, item int"), "row", "item",
+                          spark.createDataFrame([(x,) for x in listed], "row string"))
+    assert {tuple(r) for r in got.collect()} == _brute_shared(rows, listed)
+
+
+def test_a_batch_of_many_block_pairs_multiplies_each_apart(monkeypatch):
+    sizes, add = [], D._BlockPair.add
+
+    def spy(self, lists, weight):
+        add(self, lists, weight)
+        sizes.append(self.total.shape)
+
+    monkeypatch.setattr(D._BlockPair, "add", spy)
+    names = [[f"b{b}_{i}" for i in range(10)] for b in range(3)]
+    pairs = [(x, y) for x in range(3) for y in range(x, 3)]
+    batch = pd.DataFrame([{"bx": x, "by": y, "left": names[x], "right": names[y], "weight": 2} for x, y in pairs for _ in range(4)])
+    out = pd.concat(D._products(True)(iter([batch.iloc[:13], batch.iloc[13:]])))
+    assert max(max(s) for s in sizes) == 10
+    assert len(out) == 30 * 31 // 2 and set(out["n"]) == {8}
+
+
+@pytest.mark.parametrize("block", [2000, 3])
+def test_cross_counts_meet_only_across_the_sides(spark, monkeypatch, block):
+    monkeypatch.setattr(D, "TAXA_PER_BLOCK", block)
+    draw = random.Random(3)
+    left = {(f"g{draw.randrange(9)}", draw.randrange(12)) for _ in range(60)}
+    right = {(f"r{draw.randrange(5)}", draw.randrange(12)) for _ in range(30)}
+    got = D.cross_counts(spark.createDataFrame(sorted(left), "gene string, strain int"), spark.createDataFrame(sorted(right), "replicon string, strain int"), "strain")
+    want = Counter((g, r) for g, s in left for r, t in right if s == t)
+    assert {(r.a, r.b): r.n for r in got.collect()} == dict(want)
+
+
+def test_too_many_names_for_columns_leave_the_long_form(spark):
+    names = spark.createDataFrame([(f"n{i}",) for i in range(7)] + [(None,)], "strain string")
+    assert D.wide_names(names, 7) == sorted(f"n{i}" for i in range(7)) and D.wide_names(names, 6) is None
+
+
+@pytest.mark.parametrize("block", [2000, 2])
+def test_all_pairs_fill_the_matrix(spark, monkeypatch, block):
+    from cladeflow.plans.phylogeny import all_pairs
+
+    monkeypatch.setattr(D, "TAXA_PER_BLOCK", block)
+    pairs = spark.createDataFrame([("a", "b", 0.5), ("b", "d", 0.1)], "a string, b string, distance double")
+    got = all_pairs(pairs, spark.createDataFrame([(x,) for x in "abcde"], "name string")).collect()
+    assert len(got) == 10 and sorted(r.distance for r in got) == [0.1, 0.5] + [1.0] * 8

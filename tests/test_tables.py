@@ -202,3 +202,50 @@ def test_incremental_run_reuses_finished_isolates(spark, tmp_path):
     assert seen == [["a", "b"], ["c"]]
     resume.run_incremental(first, "strain", work, root, 0.8)     # other thresholds start afresh
     assert seen[-1] == ["a", "b"]
+
+
+def test_fisher_of_depleted_and_large_tables(spark):
+    rng = random.Random(5)
+    rows = [(0, 600, 600, 0), (50, 4000, 4000, 50), (200, 3000, 3000, 2000), (10, 2000, 1500, 100), (0, 0, 7, 9), (5, 0, 0, 0)]
+    rows += [tuple(rng.randint(0, 10 ** rng.randint(1, 4)) for _ in range(4)) for _ in range(30)]
+    got = S.fisher_greater(spark.createDataFrame(rows, "a bigint, b bigint, c bigint, d bigint"), "a", "b", "c", "d").collect()
+    for r in got:
+        n, row, col = r.a + r.b + r.c + r.d, r.a + r.b, r.a + r.c
+        term = tail = math.comb(col, r.a) * math.comb(n - col, row - r.a)
+        for i in range(r.a, min(row, col)):
+            term = term * (col - i) * (row - i) // ((i + 1) * (n - row - col + i + 1))
+            tail += term
+        whole = math.comb(n, row)
+        p = (tail << 2000) // whole
+        assert r.p_value == pytest.approx(p / (1 << 2000) if p.bit_length() < 3000 else 1.0, rel=1e-8, abs=1e-290)
+    big = S.fisher_greater(spark.createDataFrame([(10**6, 10**6, 10**6, 10**6), (10**5, 10**6, 10**6, 10**5)], "a bigint, b bigint, c bigint, d bigint"), "a", "b", "c", "d")
+    assert [round(r.p_value, 3) for r in big.collect()] == [0.5, 1.0]
+
+
+def test_incremental_run_keeps_key_types_and_empty_results(spark, tmp_path):
+    inputs = spark.createDataFrame([("007", 1), ("008", 2)], "strain string, v int")
+    work = lambda df: df.select("strain", (F.col("v") * 2).alias("w"))
+    for _ in range(2):
+        got = resume.run_incremental(inputs, "strain", work, str(tmp_path / "a"), 1)
+        assert {(r.strain, r.w) for r in got.collect()} == {("007", 2), ("008", 4)}
+    none = lambda df: work(df).filter("w > 100")
+    for _ in range(2):
+        got = resume.run_incremental(inputs, "strain", none, str(tmp_path / "b"), 1)
+        assert got.count() == 0 and dict(got.dtypes) == {"strain": "string", "w": "int"}
+    refs = spark.createDataFrame([("r1", "ACGT")], "ref_id string, seq string")
+    changed = spark.createDataFrame([("r1", "ACGA")], "ref_id string, seq string")
+    assert resume.content(refs) == resume.content(refs) != resume.content(changed)
+
+
+def test_accession_column_reads_every_value(spark):
+    rows = [(f"x{i}", f"note {i}") for i in range(60)] + [("GCA_000812595.1", "GCA_000812595.1")]
+    assert tables.accession_column(spark.createDataFrame(rows, "first string, second string")) == "first"
+    rows = [(f"x{i}", f"note {i}") for i in range(60)] + [("y", "GCA_000812595.1")]
+    assert tables.accession_column(spark.createDataFrame(rows, "first string, second string")) == "second"
+
+
+def test_aro_keeps_the_last_line_and_a_missing_file_is_empty(spark, tmp_path):
+    path = tmp_path / "aro.tsv"
+    path.write_text("\t".join(tables.ARO_COLUMNS) + "\nARO:1\tz\tz\tz\nARO:1\ta\tb\tc\n")
+    assert [tuple(r) for r in tables.read_aro(spark, str(path)).collect()] == [("ARO:1", "a", "b", "c")]
+    assert tables.read_aro(spark, str(tmp_path / "none.tsv")).count() == 0

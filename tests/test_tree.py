@@ -45,20 +45,51 @@ def random_edges(rng, n_tips):
     return edges + [(live[0], None, 0.0)]
 
 
-def brute_fitch(edges, carriers):
-    kids = {}
-    for n, p, _ in edges:
-        kids.setdefault(p, []).append(n)
+def cheapest(edges, carriers):
+    """Fewest changes from a table of costs: what each node costs in each state, deepest nodes first.
 
-    def visit(n):
-        if n not in kids:
-            return {int(n in carriers)}, 0
-        below = [visit(k) for k in kids[n]]
-        common = set.intersection(*(s for s, _ in below))
-        cost = sum(c for _, c in below)
-        return (common, cost) if common else (set.union(*(s for s, _ in below)), cost + 1)
+    A node keeps a state for free if every child takes it, and else pays one change, however many
+    children differ; children are then as cheap as they can be.
+    """
+    parent = {n: p for n, p, _ in edges}
+    cost = {}
+    for n in sorted(parent, key=lambda n: -sum(1 for _ in _ancestors(parent, n))):
+        kids = [cost[k] for k, p in parent.items() if p == n]
+        own = (n in carriers, n not in carriers)
+        cost[n] = [min(sum(k[s] for k in kids), 1 + sum(map(min, kids))) if kids else 1e9 * own[s] for s in (0, 1)]
+    return min(cost[next(n for n, p in parent.items() if p is None)])
 
-    return visit(kids[None][0])[1]
+
+def _ancestors(parent, n):
+    while (n := parent[n]) is not None:
+        yield n
+
+
+def brute_labellings(edges, carriers):
+    """Fewest edges with different ends over all labellings of the inner nodes (binary trees)."""
+    tips = {n for n, _, _ in edges} - {p for _, p, _ in edges}
+    inner = sorted({n for n, _, _ in edges} - tips)
+    links = [(n, p) for n, p, _ in edges if p is not None]
+    fixed = {t: int(t in carriers) for t in tips}
+    return min(sum(state[n] != state[p] for n, p in links)
+               for labels in itertools.product((0, 1), repeat=len(inner)) for state in [fixed | dict(zip(inner, labels))])
+
+
+def test_fitch_is_the_minimum_over_all_labellings_of_binary_trees(spark):
+    rng = random.Random(8)
+    for n in (2, 5, 9):
+        live, edges = [f"t{i}" for i in range(n)], []
+        while len(live) > 1:
+            kids = [live.pop(rng.randrange(len(live))) for _ in range(2)]
+            edges += [(k, f"i{len(edges)}", 1.0) for k in kids]
+            live.append(edges[-1][1])
+            edges[-2] = (edges[-2][0], live[-1], 1.0)
+        edges.append((live[0], None, 0.0))
+        genes = {f"g{i}": rng.sample([f"t{i}" for i in range(n)], rng.randint(1, n)) for i in range(8)}
+        tree = T.shape(spark.createDataFrame(edges, "node string, parent string, length double"))
+        carried = spark.createDataFrame([(g, t) for g, ts in genes.items() for t in ts], "gene string, tip string")
+        got = {r.gene: r.changes for r in T.fitch_changes(tree, carried, ["gene"]).collect()}
+        assert got == {g: brute_labellings(edges, ts) for g, ts in genes.items()} == {g: cheapest(edges, ts) for g, ts in genes.items()}
 
 
 def test_fitch_on_random_trees(spark):
@@ -70,7 +101,7 @@ def test_fitch_on_random_trees(spark):
         tree = T.shape(spark.createDataFrame(edges, "node string, parent string, length double"))
         rows = [(g, t) for g, ts in genes.items() for t in ts] + [("g0", "not a tip")]
         got = T.fitch_changes(tree, spark.createDataFrame(rows, "gene string, tip string"), ["gene"])
-        assert {r.gene: r.changes for r in got.collect()} == {g: brute_fitch(edges, set(ts)) for g, ts in genes.items()}
+        assert {r.gene: r.changes for r in got.collect()} == {g: cheapest(edges, set(ts)) for g, ts in genes.items()}
 
 
 def test_polytomy_costs_one_change(spark):
@@ -108,7 +139,7 @@ def test_null_matches_all_placements(spark):
     tree = T.shape(spark.createDataFrame(edges, "node string, parent string, length double"))
     null = {(r.k, r.changes): r.n for r in T.null_scores(tree, [2, 3], 2000).collect()}
     for k in (2, 3):
-        scores = [brute_fitch(edges, set(c)) for c in itertools.combinations([f"t{i}" for i in range(8)], k)]
+        scores = [cheapest(edges, set(c)) for c in itertools.combinations([f"t{i}" for i in range(8)], k)]
         for s in set(scores):
             assert null.get((k, s), 0) / 2000 == pytest.approx(scores.count(s) / len(scores), abs=0.05)
 
