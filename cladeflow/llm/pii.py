@@ -35,11 +35,14 @@ FIXED = {
     "phone": re.compile(r"\+[0-9][ ().0-9-]+[0-9]"),
 }
 LOOSE = {
-    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot ) ?[A-Za-z0-9-]{2,63}){1,4}", re.I),
+    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\((?:at|At|AT)\)|\[(?:at|At|AT)\]|\{(?:at|At|AT)\}| (?:at|At|AT) ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\((?:dot|Dot|DOT)\)|\[(?:dot|Dot|DOT)\]|\{(?:dot|Dot|DOT)\}| (?:dot|Dot|DOT) ) ?[A-Za-z0-9-]{2,63}){1,4}"),
     "ip": re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:])"),
     "card": re.compile(r"(?<![0-9])(?:[0-9]{16,19}|[0-9]{4}([ ./_-])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?![0-9])"),
     "phone": re.compile(r"(?<![0-9+])(?:\+[0-9]{1,3} ?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])"),
 }
+# What a text must hold for a loose pattern to match anywhere: a substring test spares most texts the search.
+NEEDED = {"email": ("dot", "Dot", "DOT"), "ip": (":",), "card": tuple("0123456789"), "phone": tuple("0123456789")}
+
 # The gazetteers and cue words.
 ENDINGS = {"com", "net", "org", "edu", "gov", "info", "io", "de", "fr", "es", "it", "uk", "nl", "eu", "ch", "at", "us", "ca", "au", "jp", "cn", "br", "in"}
 CUES = {
@@ -88,7 +91,11 @@ def emails(text: str) -> list[tuple[int, int]]:
 def matches(text: str) -> list[tuple[str, int, int, bool]]:
     """All matches of the fixed patterns with the outcome of their check, by kind and then by place."""
     out = [("email", a, b, True) for a, b in emails(text)]
+    if not any(d in text for d in "0123456789"):
+        return out
     for kind, pattern in FIXED.items():
+        if kind == "phone" and "+" not in text:
+            continue
         out += [(kind, m.start(), m.end(), holds(kind, m[0])) for m in pattern.finditer(text)]
     return out
 
@@ -114,6 +121,8 @@ def candidates(text: str) -> list[Candidate]:
     taken = [(a, b) for _, a, b, ok in found if ok]
     known = {x[:3] for x in found}
     for kind, pattern in LOOSE.items():
+        if not any(x in text for x in NEEDED[kind]) or kind == "ip" and text.count(":") < 7:
+            continue
         for m in pattern.finditer(text):
             a, b = m.span()
             if (kind, a, b) not in known and all(b <= c or d <= a for c, d in taken):
