@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cladeflow.functions import labels as L
@@ -18,6 +18,7 @@ from cladeflow.operators import stats as S
 from cladeflow.operators import tree as T
 from cladeflow.operators.common import checkpoint
 from cladeflow.params import DOMAIN_MAX_EVALUE, REPLICON_SCREEN, SKETCH_K, FamilyParams
+from cladeflow.plans import pangenome
 from cladeflow.plans.phylogeny import all_pairs
 from cladeflow.sources import newick, tables
 from cladeflow.streaming import resume
@@ -103,6 +104,13 @@ def cohort_stats(v: Views) -> DataFrame:
     return out.select("n_genomes", r6("mean_genes"), r6("mean_coding_density"), "total_genes")
 
 
+@query
+def gene_summary(v: Views) -> DataFrame:
+    contigs = v.contigs("source")
+    genes = G.call_orfs(contigs)
+    return G.gene_summary(G.genome_stats(contigs, genes), genes)
+
+
 @query
 def gene_fasta(v: Views) -> DataFrame:
     text = wrap(F.col("text"), 60)
@@ -123,6 +131,15 @@ def minhash_sketch(v: Views) -> DataFrame:
     return _sketch(v)[0].groupBy("strain").agg(F.count("*").alias("n_hashes"), F.min("hash").alias("low"), F.max("hash").alias("high"))
 
 
+@query
+def whole_genome_sketch(v: Views) -> DataFrame:
+    """Contigs taken as concatenated, at the default scale."""
+    ordinal = F.row_number().over(Window.partitionBy("strain").orderBy(F.col("contig").cast("bigint")))
+    contigs = v.contigs("source").withColumn("contig_ord", ordinal)
+    return D.sketch(contigs, join_contigs=True, portable=True).groupBy("strain").agg(
+        F.count("*").alias("n_hashes"), F.min("hash").alias("low"), F.max("hash").alias("high"))
+
+
 @query
 def minhash_ani(v: Views) -> DataFrame:
     return D.ani_pairs(*_sketch(v)).select("a", "b", "shared", "n_a", "n_b", r6("jaccard"), r6("ani"))
@@ -245,6 +262,16 @@ def annotation_rate(v: Views) -> DataFrame:
     return FM.annotation_rate(FM.family_stats(v.tokens()), domains).select("class", "n_families", "n_annotated", r6("rate"))
 
 
+@query
+def functional_annotation(v: Views) -> DataFrame:
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    hits = v.table("benchmark").select(F.concat(F.lit("item"), F.col("item_id").cast("string")).alias("pfam"), F.posexplode(words).alias("ord", "family"))
+    hits = hits.select("family", "pfam", F.upper("family").alias("description"), "ord", (F.col("ord") * 1e-7).alias("i_evalue"),
+                       F.length("family").alias("score"), F.lit(True).alias("included"))
+    annotation, _, _ = pangenome.annotate(FM.family_stats(v.tokens()), hits)
+    return annotation.select("family", "pfam", "description", F.round("i_evalue", 8).alias("i_evalue"), F.col("score").cast("bigint").alias("score"), "class")
+
+
 @query
 def best_domain(v: Views) -> DataFrame:
     part = v.table("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("pfam"), F.col("p_name").alias("description"))
@@ -267,6 +294,13 @@ def fisher_enrichment(v: Views) -> DataFrame:
         "pfam", "description", "n_accessory", "n_core", r6("odds_ratio"), r6("p_value"), r6("q_value"))
 
 
+@query
+def fisher_quality(v: Views) -> DataFrame:
+    """The same with good documents as the variable class: words of the others are depleted."""
+    return S.domain_enrichment(*v.labelled("quality")).select(
+        "pfam", "description", "n_accessory", "n_core", r6("odds_ratio"), r6("p_value"), r6("q_value"))
+
+
 @query
 def bh_fdr(v: Views) -> DataFrame:
     p = F.round(F.pow(portable_hash(F.col("o_orderkey").cast("string")) / F.lit(2.0 ** 60), F.lit(3)), 5)

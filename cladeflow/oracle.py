@@ -87,6 +87,10 @@ ORACLE["genome_stats"] = f"WITH {_contigs('source')}, {_ORFS}, {_STATS} SELECT *
 ORACLE["cohort_stats"] = f"""WITH {_contigs('source')}, {_ORFS}, {_STATS}
 SELECT count(*) AS n_genomes, round(avg(n_genes), 6) AS mean_genes, round(avg(coding_density), 6) AS mean_coding_density,
   CAST(sum(n_genes) AS BIGINT) AS total_genes FROM stats"""
+ORACLE["gene_summary"] = f"""WITH {_contigs('source')}, {_ORFS}, {_STATS}
+SELECT stats.strain, n_genes AS genes, round(genome_size / 1e6, 3) AS genome_mb, round(100 * coding_density, 1) AS coding_density_pct,
+  CAST(round(avg(last - first + 1), 0) AS BIGINT) AS mean_gene_bp FROM stats LEFT JOIN genes ON genes.strain = stats.strain
+GROUP BY stats.strain, n_genes, genome_size, coding_density"""
 ORACLE["gene_fasta"] = """
 WITH w AS (SELECT source || '|c' || doc_id AS header, array_to_string(regexp_extract_all(text, '(?s).{1,60}'), chr(10)) AS t FROM documents)
 SELECT header, CAST(len(string_split(t, chr(10))) AS BIGINT) AS n_lines, md5(t) AS body FROM w"""
@@ -114,6 +118,13 @@ pairs AS (SELECT a, b, shared, p.n AS n_a, q.n AS n_b, shared / (p.n + q.n - sha
 _ANI = "ani AS (SELECT *, 100 * (1 + ln(2 * jaccard / (1 + jaccard)) / 31) AS ani FROM pairs)"
 ORACLE["minhash_sketch"] = f"""WITH {_sketch()}
 SELECT strain, count(*) AS n_hashes, min(hash) AS low, max(hash) AS high FROM sketch GROUP BY strain"""
+ORACLE["whole_genome_sketch"] = f"""WITH {_contigs('source')},
+joined AS (SELECT strain, string_agg(seq, '' ORDER BY CAST(contig AS BIGINT)) AS seq FROM contigs GROUP BY strain),
+cut AS (SELECT strain, unnest(list_transform(range(0, length(seq) // 1000 + 1), lambda i: substr(seq, i * 1000 + 1, 1030))) AS seq FROM joined),
+km AS (SELECT strain, unnest(list_transform(range(1, length(seq) - 29), lambda i: substr(seq, i, 31))) AS m FROM cut),
+canon AS (SELECT strain, least(m, reverse(translate(m, 'ACGT', 'TGCA'))) AS m FROM km WHERE strpos(m, 'N') = 0),
+hashed AS (SELECT DISTINCT strain, CAST('0x' || substr(md5(m), 1, 15) AS BIGINT) AS hash FROM canon)
+SELECT strain, count(*) AS n_hashes, min(hash) AS low, max(hash) AS high FROM hashed WHERE hash <= {(1 << 60) // 1000} GROUP BY strain"""
 ORACLE["minhash_ani"] = f"""WITH {_sketch()}, {_pairs('sketch', 'strain', 'hash')}, {_ANI}
 SELECT a, b, shared, n_a, n_b, round(jaccard, 6) AS jaccard, round(ani, 6) AS ani FROM ani"""
 ORACLE["ani_by_host"] = f"""WITH {_sketch()}, {_pairs('sketch', 'strain', 'hash')}, {_ANI}
@@ -182,11 +193,25 @@ joined AS (SELECT * FROM ({edges})),
 root AS (SELECT 'inner_' || count(DISTINCT parent) AS root FROM joined),
 ends AS (SELECT x.a AS node, root AS parent, (x.d + y.d - z.d) / 2 AS length FROM {last} x JOIN {last} y ON y.a = x.a AND y.b > x.b
   JOIN {last} z ON z.a = x.b AND z.b = y.b, root),
-tree AS (SELECT * FROM joined UNION ALL SELECT * FROM ends UNION ALL SELECT root, NULL, 0.0 FROM root)
-SELECT node, parent, round(length, 6) AS length FROM tree"""
-
-
-ORACLE["nj_edges"] = _neighbor_joining(25)
+tree AS MATERIALIZED (SELECT * FROM joined UNION ALL SELECT * FROM ends UNION ALL SELECT root, NULL, 0.0 FROM root)"""
+
+
+ORACLE["nj_edges"] = _neighbor_joining(25) + " SELECT node, parent, round(length, 6) AS length FROM tree"
+# The longest way between two tips, walked from every tip; the tree hangs from the middle of it.
+ORACLE["midpoint_rooted"] = _neighbor_joining(25).replace("WITH", "WITH RECURSIVE", 1) + """,
+way AS MATERIALIZED (SELECT node AS u, parent AS v, length AS w FROM tree WHERE parent IS NOT NULL
+  UNION ALL SELECT parent, node, length FROM tree WHERE parent IS NOT NULL),
+tip AS (SELECT node FROM tree WHERE node NOT IN (SELECT parent FROM tree WHERE parent IS NOT NULL)),
+walk AS (SELECT node AS s, node AS u, '' AS past, CAST(0 AS DOUBLE) AS d FROM tip
+  UNION ALL SELECT s, way.v, walk.u, d + w FROM walk JOIN way ON way.u = walk.u WHERE way.v <> past),
+longest AS MATERIALIZED (SELECT s, u AS t, d FROM walk WHERE u IN (SELECT node FROM tip) ORDER BY d DESC, s LIMIT 1),
+path AS MATERIALIZED (SELECT x.u AS node, x.d AS place, lead(x.u) OVER (ORDER BY x.d) AS next, lead(x.d) OVER (ORDER BY x.d) AS next_place, l.d / 2 AS half
+  FROM longest l JOIN walk x ON x.s = l.s JOIN walk y ON y.s = l.t AND y.u = x.u WHERE abs(x.d + y.d - l.d) < 1e-9),
+middle AS MATERIALIZED (SELECT * FROM path WHERE place < half AND next_place >= half),
+hung AS (SELECT node, 'midpoint' AS parent, half - place AS length FROM middle UNION ALL SELECT next, 'midpoint', next_place - half FROM middle
+  UNION ALL SELECT way.v, way.u, way.w FROM hung JOIN way ON way.u = hung.node, middle
+  WHERE way.v <> hung.parent AND NOT (way.u = middle.node AND way.v = middle.next) AND NOT (way.u = middle.next AND way.v = middle.node))
+SELECT node, parent, round(length, 6) AS length FROM hung UNION ALL SELECT 'midpoint', NULL, 0.0"""
 
 # ---- families ------------------------------------------------------------------------------
 
@@ -222,6 +247,12 @@ ORACLE["annotation_rate"] = f"""WITH {_TOKENS}, {_FAMILIES},
 known AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS k FROM benchmark)
 SELECT class, count(*) AS n_families, count(k) AS n_annotated, round(count(k) / count(*), 6) AS rate
 FROM families LEFT JOIN known ON k = family GROUP BY class"""
+ORACLE["functional_annotation"] = f"""WITH {_TOKENS}, {_FAMILIES},
+words AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS family,
+  unnest(range(0, len(regexp_extract_all(lower(text), '[a-z]+')))) AS ord FROM benchmark),
+hits AS (SELECT family, 'item' || item_id AS pfam, min(ord) AS ord FROM words WHERE ord * 1e-7 <= 1e-5 GROUP BY ALL)
+SELECT family, pfam, upper(family) AS description, round(ord * 1e-7, 8) AS i_evalue, CAST(length(family) AS BIGINT) AS score, class
+FROM hits LEFT JOIN families USING (family)"""
 ORACLE["best_domain"] = """
 SELECT l_suppkey AS family, p_type AS pfam, p_name AS description, round(l_tax / 4000, 8) AS i_evalue, l_quantity AS score
 FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linestatus = 'O' AND l_tax / 4000 <= 1e-5
@@ -230,7 +261,7 @@ QUALIFY row_number() OVER (PARTITION BY l_suppkey, p_type ORDER BY l_orderkey *
 # ---- statistics ----------------------------------------------------------------------------
 
 _COUNTS = """
-fam AS (SELECT doc_id, toxic = 1 AS variable FROM labels),
+fam AS (SELECT doc_id, {label} = 1 AS variable FROM labels),
 total AS (SELECT count_if(variable) AS v, count_if(NOT variable) AS k FROM fam),
 dom AS (SELECT DISTINCT family AS pfam, doc_id FROM tokens),
 counted AS (SELECT pfam, count_if(variable) AS a, count_if(NOT variable) AS c FROM dom JOIN fam USING (doc_id) GROUP BY pfam),
@@ -242,8 +273,8 @@ def _choose(n: str, k: str) -> str:
     return f"lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1)"
 
 
-ORACLE["enrichment_counts"] = f"WITH {_TOKENS}, {_COUNTS} SELECT * FROM counts"
-ORACLE["fisher_enrichment"] = f"""WITH {_TOKENS}, {_COUNTS},
+ORACLE["enrichment_counts"] = f"WITH {_TOKENS}, {_COUNTS.format(label='toxic')} SELECT * FROM counts"
+_FISHER = f"""WITH {_TOKENS}, {_COUNTS},
 tables AS (SELECT DISTINCT n_accessory AS a, b, n_core AS c, d FROM counts),
 tail AS (SELECT a, b, c, d, unnest(range(a, least(a + b, a + c) + 1)) AS i FROM tables),
 tested AS (SELECT a, b, c, d, least(sum(exp({_choose('(a + c)', 'i')} + {_choose('(b + d)', '(a + b - i)')}
@@ -256,6 +287,8 @@ ranked AS (SELECT p, p * (SELECT count(*) FROM scored) / sum(m) OVER (ORDER BY p
 stepped AS (SELECT p, least(min(raw) OVER (ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1) AS q FROM ranked)
 SELECT pfam, description, n_accessory, n_core, round(odds, 6) AS odds_ratio, round(scored.p, 6) AS p_value, round(q, 6) AS q_value
 FROM scored JOIN stepped USING (p)"""
+for _name, _label in (("fisher_enrichment", "toxic"), ("fisher_quality", "quality")):
+    ORACLE[_name] = _FISHER.format(label=_label)
 ORACLE["bh_fdr"] = """
 WITH t AS (SELECT o_orderkey, round(pow(CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 15) AS BIGINT) / pow(2.0, 60), 3), 5) AS p FROM orders),
 r AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, o_orderkey) AS raw FROM t),

@@ -120,10 +120,10 @@ class Views:
         return (self.alignment(taxon).groupBy("family", F.col("taxon").alias("strain")).agg(by_month.alias("months"))
                 .select("family", "strain", F.rtrim(text, F.lit("-")).alias("aligned")))
 
-    def labelled(self) -> tuple[DataFrame, DataFrame]:
+    def labelled(self, label: str = "toxic") -> tuple[DataFrame, DataFrame]:
         """Domains = words of labelled documents, families = the documents, class by label."""
         labels = self.table("labels").select(
-            F.col("doc_id").alias("family"), F.when(F.col("toxic") == 1, "accessory").otherwise("core").alias("class"))
+            F.col("doc_id").alias("family"), F.when(F.col(label) == 1, "accessory").otherwise("core").alias("class"))
         words = self.tokens().select(F.col("family").alias("pfam"), F.col("doc_id").alias("family"))
         domains = words.distinct().join(labels.select("family"), "family", "left_semi").withColumn(
             "description", F.upper("pfam"))
