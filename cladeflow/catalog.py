@@ -368,6 +368,18 @@ def permutation_null(v: Views) -> DataFrame:
                         F.round("changes_expected", 4).alias("changes_expected"), r6("p_clumped"))
 
 
+@query
+def exact_null(v: Views) -> DataFrame:
+    return T.exact_null(T.shape(v.tree_edges())).select(
+        F.col("k").cast("bigint").alias("k"), F.col("changes").cast("bigint").alias("changes"), r6("share")).filter("share > 0")
+
+
+@query
+def exact_test(v: Views) -> DataFrame:
+    tests = T.exact_test(T.shape(v.tree_edges()), _tips(v))
+    return tests.select("gene", "n_tips", F.col("changes_observed").cast("bigint").alias("changes_observed"), r6("changes_expected"), r6("p_clumped"))
+
+
 def patterns(v: Views) -> DataFrame:
     tree = T.shape(v.tree_edges())
     T.check_overlap(tree, v.presence())

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cladeflow.functions.sequence import portable_hash
 from cladeflow.operators.common import checkpoint, sized_join
+from cladeflow.operators.stats import log_gamma
 from cladeflow.params import PERMUTATIONS, SEED
 
 LEVELS_PER_CHECKPOINT = 8
@@ -151,6 +152,75 @@ def clumping_test(tree: Tree, presence: DataFrame, n_perms: int = PERMUTATIONS,
         "gene", "n_tips", "changes_observed", "changes_expected", "p_clumped")
 
 
+def exact_null(tree: Tree) -> DataFrame:
+    """Exact distribution of the parsimony score over all placements: ``(k, changes, share)``.
+
+    For every number k of carriers, the share of the placements of k carriers on the tips that
+    need that many changes.  A subtree is known by its tips, the states its children share
+    (``cap``) and take (``cup``), its carriers and its score; siblings combine two and two, weighed
+    by the chance that k carriers split between them in that way, so no count overflows.
+    Tips under one parent are one row for each k.  Rows grow with tips times scores, not with placements.
+    """
+    size = lambda t, k: log_gamma(t + 1.0) - log_gamma(k + 1.0) - log_gamma(t - k + 1.0)
+    risen = None
+    for depth in range(tree.max_depth, -1, -1):
+        parents = tree.level(depth).filter("NOT is_tip").select(F.col("node").alias("parent"))
+        if depth == 0 and tree.n_nodes == 1:
+            break
+        tips = tree.level(depth + 1).filter("is_tip").groupBy("parent").agg(F.count("*").cast("int").alias("t"))
+        bundles = tips.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("t")))).select(
+            "parent", F.lit("").alias("child"), "t", "k", F.lit(0).alias("changes"),
+            F.when(F.col("k") == 0, 1).when(F.col("k") == F.col("t"), 2).otherwise(0).alias("cap"),
+            F.when(F.col("k") == 0, 1).when(F.col("k") == F.col("t"), 2).otherwise(3).alias("cup"), F.lit(1.0).alias("share"))
+        rows = bundles
+        if risen is not None:
+            up = tree.level(depth + 1).select(F.col("node").alias("child"), "parent")
+            rows = rows.unionByName(risen.join(up, "child").select(
+                "parent", "child", "t", "k", "changes", F.col("mask").alias("cap"), F.col("mask").alias("cup"), "share"))
+        order = Window.partitionBy("parent").orderBy("child")
+        places = rows.select("parent", "child").distinct().withColumn("place", F.row_number().over(order) - 1)
+        rows = checkpoint(rows.join(places, ["parent", "child"]).drop("child"))
+        most = rows.agg(F.max("place")).first()[0] or 0
+        while most > 0:
+            half = F.floor(F.col("place") / 2).alias("half")
+            pair = [rows.filter(F.col("place") % 2 == odd).select("parent", half, *[F.col(c).alias(f"{c}{odd}") for c in ("t", "k", "changes", "cap", "cup", "share")]) for odd in (0, 1)]
+            t, k = F.col("t0") + F.col("t1"), F.col("k0") + F.col("k1")
+            split = F.exp(size(F.col("t0"), F.col("k0")) + size(F.col("t1"), F.col("k1")) - size(t, k))
+            met = pair[0].join(pair[1], ["parent", "half"]).groupBy(
+                "parent", F.col("half").alias("place"), t.alias("t"), k.alias("k"), (F.col("changes0") + F.col("changes1")).alias("changes"),
+                F.col("cap0").bitwiseAND(F.col("cap1")).alias("cap"), F.col("cup0").bitwiseOR(F.col("cup1")).alias("cup")).agg(
+                F.sum(F.col("share0") * F.col("share1") * split).alias("share"))
+            last = rows.groupBy("parent").agg(F.max("place").alias("last")).filter(F.col("last") % 2 == 0)
+            odd_one = rows.join(last, "parent").filter(F.col("place") == F.col("last")).withColumn("place", F.floor(F.col("place") / 2)).drop("last")
+            rows = checkpoint(met.unionByName(odd_one))
+            most //= 2
+        mask = F.when(F.col("cap") != 0, F.col("cap")).otherwise(F.col("cup"))
+        risen = checkpoint(rows.join(parents, "parent").groupBy(
+            F.col("parent").alias("child"), "t", "k", (F.col("changes") + F.when(F.col("cap") == 0, 1).otherwise(0)).alias("changes"), mask.alias("mask")).agg(
+            F.sum("share").alias("share")).filter("share > 0"))
+    if risen is None:        # a single tip
+        return tree.nodes.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), F.lit(0).alias("changes"), F.lit(1.0).alias("share"))
+    return risen.groupBy("k", "changes").agg(F.sum("share").alias("share"))
+
+
+def exact_test(tree: Tree, presence: DataFrame) -> DataFrame:
+    """Parsimony against the exact null: ``(gene, n_tips, changes_observed, changes_expected, p_clumped)``.
+
+    Genes on no tip or on all tips get NULLs.  ``presence(gene, tip)``; carriers outside the tree are ignored.
+    """
+    present = checkpoint(presence.select("gene", "tip").distinct())
+    on_tree = present.join(tree.tips, "tip", "left_semi").groupBy("gene").agg(F.count("*").alias("n_tips"))
+    genes = (present.select("gene").distinct().join(on_tree, "gene", "left").join(fitch_changes(tree, present, ["gene"]), "gene", "left")
+             .select("gene", F.coalesce("n_tips", F.lit(0)).alias("n_tips"), F.coalesce("changes", F.lit(0)).alias("changes_observed")))
+    null = checkpoint(exact_null(tree))
+    at_most = Window.partitionBy("k").orderBy("changes")
+    known = null.select(F.col("k").alias("n_tips"), F.col("changes").alias("changes_observed"), F.sum("share").over(at_most).alias("p_clumped"))
+    mean = null.groupBy(F.col("k").alias("n_tips")).agg(F.sum(F.col("changes") * F.col("share")).alias("changes_expected"))
+    tested = genes.filter((F.col("n_tips") > 0) & (F.col("n_tips") < tree.n_tips)).join(known, ["n_tips", "changes_observed"]).join(mean, "n_tips")
+    return genes.join(tested.select("gene", "changes_expected", "p_clumped"), "gene", "left").select(
+        "gene", "n_tips", "changes_observed", "changes_expected", "p_clumped")
+
+
 def check_overlap(tree: Tree, strains: DataFrame) -> int:
     """Tips that match a strain label; no match at all is an error, not an empty result."""
     matched = tree.tips.join(strains.select(F.col("strain").alias("tip")).distinct(), "tip", "left_semi").count()

@@ -334,14 +334,14 @@ tips AS (SELECT 's' || s_suppkey AS tip, 'n' || s_nationkey AS n, 'r' || n_regio
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
 
-def _fitch(labelled: str) -> str:
+def _fitch(labelled: str, mark: str = "") -> str:
     """Three unrolled levels over a dense 0/1 labelling ``(grp, tip, n, r, state)``."""
     def level(name: str, source: str, keys: str) -> str:
         return (f"{name}_m AS (SELECT grp, {keys} bit_and(mask) AS cap, bit_or(mask) AS cup, sum(chg) AS chg FROM {source} "
                 f"GROUP BY grp{', ' + keys.rstrip(', ') if keys else ''}), {name} AS (SELECT grp, {keys} "
                 f"CASE WHEN cap <> 0 THEN cap ELSE cup END AS mask, chg + CASE WHEN cap = 0 THEN 1 ELSE 0 END AS chg FROM {name}_m)")
     leaf = f"leaf AS (SELECT grp, n, r, CASE WHEN state = 1 THEN 2 ELSE 1 END AS mask, 0 AS chg FROM {labelled})"
-    return ", ".join([leaf, level("nat", "leaf", "n, r, "), level("reg", "nat", "r, "), level("top", "reg", "")])
+    return ", ".join([leaf, level(f"nat{mark}", "leaf", "n, r, "), level(f"reg{mark}", f"nat{mark}", "r, "), level(f"top{mark}", f"reg{mark}", "")])
 
 
 _OBSERVED = """
@@ -375,6 +375,42 @@ tests AS (SELECT gene, CAST(k AS BIGINT) AS n_tips, CAST(any_value(o) AS BIGINT)
   FROM obs LEFT JOIN nulls ON nulls.small = obs.small GROUP BY gene, k)"""
 ORACLE["permutation_null"] = f"""WITH {_CLUMPING}
 SELECT gene, n_tips, changes_observed, round(changes_expected, 4) AS changes_expected, round(p_clumped, 6) AS p_clumped FROM tests"""
+
+
+def _exact(most: int) -> str:
+    """All placements counted: tips by nation in closed form, then nations of a region and regions one after another."""
+    def choose(n: str, k: str) -> str:
+        return f"exp(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1))"
+
+    def fold(name: str, source: str, key: str, above: str) -> list[str]:
+        group = f"{above}, " if above else ""
+        same = f"AND x.{above} = y.{above}" if above else ""
+        ctes = [f"{name}_o AS MATERIALIZED (SELECT *, dense_rank() OVER ({f'PARTITION BY {above} ' if above else ''}ORDER BY {key}) AS o FROM {source})",
+                f"{name}_1 AS MATERIALIZED (SELECT {group}1 AS o, k, s, mask AS cap, mask AS cup, w FROM {name}_o WHERE o = 1)"]
+        for i in range(2, most + 1):
+            pre = f"{name}_{i - 1}"
+            ctes.append(
+                f"{name}_{i} AS MATERIALIZED (SELECT {'x.' + above + ', ' if above else ''}{i} AS o, x.k + y.k AS k, x.s + y.s AS s, x.cap & y.mask AS cap, "
+                f"x.cup | y.mask AS cup, sum(x.w * y.w) AS w FROM {pre} x JOIN {name}_o y ON y.o = {i} AND x.o = {i - 1} {same} GROUP BY ALL UNION ALL "
+                f"SELECT {'x.' + above + ', ' if above else ''}x.o, k, s, cap, cup, w FROM {pre} x WHERE NOT EXISTS (SELECT 1 FROM {name}_o y WHERE y.o = {i} AND x.o = {i - 1} {same}))")
+        ctes.append(f"{name} AS MATERIALIZED (SELECT {group}k, s + CASE WHEN cap = 0 THEN 1 ELSE 0 END AS s, CASE WHEN cap = 0 THEN cup ELSE cap END AS mask, "
+                    f"sum(w) AS w FROM {name}_{most} GROUP BY ALL)")
+        return ctes
+
+    leaf = (f"nat AS MATERIALIZED (SELECT r, n, k, CASE WHEN k > 0 AND k < t THEN 1 ELSE 0 END AS s, CASE WHEN k = 0 THEN 1 WHEN k = t THEN 2 ELSE 3 END AS mask, "
+            f"{choose('t', 'k')} AS w FROM (SELECT r, n, t, unnest(range(0, t + 1)) AS k FROM (SELECT r, n, count(*) AS t FROM tips GROUP BY r, n)))")
+    return ", ".join([_TREE.strip(), leaf, *fold("reg", "nat", "n", "r"), *fold("top", "reg", "r", ""),
+                      "null_all AS MATERIALIZED (SELECT k, s AS changes, sum(w) / sum(sum(w)) OVER (PARTITION BY k) AS share FROM top GROUP BY k, s)"])
+
+
+ORACLE["exact_null"] = f"""WITH {_exact(12)}
+SELECT CAST(k AS BIGINT) AS k, CAST(changes AS BIGINT) AS changes, round(share, 6) AS share FROM null_all WHERE round(share, 6) > 0"""
+ORACLE["exact_test"] = f"""WITH {_exact(12)}, {_PRESENCE}, {_OBSERVED}, {_fitch('labelled', '_f')},
+obs AS (SELECT grp AS gene, any_value(top_f.chg) AS o, sum(state) AS k FROM labelled JOIN top_f USING (grp) GROUP BY grp)
+SELECT gene, CAST(k AS BIGINT) AS n_tips, CAST(o AS BIGINT) AS changes_observed,
+  CASE WHEN k BETWEEN 1 AND (SELECT count(*) FROM tips) - 1 THEN round((SELECT sum(changes * share) FROM null_all z WHERE z.k = obs.k), 6) END AS changes_expected,
+  CASE WHEN k BETWEEN 1 AND (SELECT count(*) FROM tips) - 1 THEN round((SELECT sum(share) FROM null_all z WHERE z.k = obs.k AND z.changes <= obs.o), 6) END AS p_clumped
+FROM obs"""
 _PATTERN = f"""{_CLUMPING},
 called AS (SELECT gene, acquired, n_isolates, n_hosts, changes_observed, changes_expected, p_clumped,
   CASE WHEN n_isolates = 1 THEN 'single isolate (uninformative)' WHEN p_clumped IS NULL THEN 'invariant (no test)'

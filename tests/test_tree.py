@@ -184,3 +184,31 @@ def test_newick_roundtrip(spark):
     text = to_newick(tree).first().newick
     assert text == "((a_b:1.0,c:2.0):3.0,(d:1.0,e:1.0,f:0.5):2.0);"
     assert patristic(nodes(spark, text).collect()) == patristic(tree.nodes.collect())
+
+
+def test_exact_null_counts_all_placements(spark):
+    rng = random.Random(12)
+    for n in (1, 2, 7, 9):
+        edges = random_edges(rng, n)
+        tips = [f"t{i}" for i in range(n)]
+        tree = T.shape(spark.createDataFrame(edges, "node string, parent string, length double"))
+        got = {(r.k, r.changes): r.share for r in T.exact_null(tree).collect()}
+        want = {}
+        for k in range(n + 1):
+            scores = [cheapest(edges, set(c)) for c in itertools.combinations(tips, k)]
+            want |= {(k, s): scores.count(s) / len(scores) for s in set(scores)}
+        assert set(got) == set(want) and all(got[x] == pytest.approx(want[x]) for x in want)
+
+
+def test_exact_test_gives_the_share_at_or_below(spark):
+    edges = random_edges(random.Random(3), 8)
+    tips = [f"t{i}" for i in range(8)]
+    genes = {"a": tips[:3], "b": tips[2:7], "all": tips, "one": tips[4:5], "none": ["elsewhere"]}
+    tree = T.shape(spark.createDataFrame(edges, "node string, parent string, length double"))
+    got = {r.gene: r for r in T.exact_test(tree, spark.createDataFrame([(g, t) for g, ts in genes.items() for t in ts], "gene string, tip string")).collect()}
+    assert got["all"].p_clumped is None and got["none"].p_clumped is None and got["none"].n_tips == 0
+    for g in ("a", "b", "one"):
+        own = cheapest(edges, set(genes[g]))
+        scores = [cheapest(edges, set(c)) for c in itertools.combinations(tips, len(genes[g]))]
+        assert got[g].p_clumped == pytest.approx(sum(s <= own for s in scores) / len(scores))
+        assert got[g].changes_expected == pytest.approx(sum(scores) / len(scores))
