@@ -113,7 +113,7 @@ def unequal(docs: DataFrame, repeated: DataFrame, primes: tuple[int, ...] = PRIM
 
 
 def decisions(docs: DataFrame, primes: tuple[int, ...] = PRIMES, huge: int = HUGE) -> DataFrame:
-    """One row per document: its key, keep_id, group_size, kept and text_sha256.
+    """One row per document: its key, keep_id, group_size, kept, text_sha256, and how often its id and text occur.
 
     ``part`` tells texts of one fingerprint apart that the comparison found to differ; it is 0 elsewhere.
     """
@@ -131,13 +131,15 @@ def decisions(docs: DataFrame, primes: tuple[int, ...] = PRIMES, huge: int = HUG
             .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
             .select("doc_id", *KEY, "part", "keep_id", "group_size",
                     (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
-                    F.lower(F.hex("sha")).alias("text_sha256")))
+                    F.lower(F.hex("sha")).alias("text_sha256"), "copies"))
 
 
 def kept_documents(docs: DataFrame, primes: tuple[int, ...] = PRIMES) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    stay = decisions(docs, primes).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    stay = written(decisions(docs, primes).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "copies"))
     own = docs.withColumn("_own", F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256))
-    one = Window.partitionBy("doc_id", "_own").orderBy(F.lit(1))
-    return (own.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left_semi")
-            .withColumn("_row", F.row_number().over(one)).where("_row = 1").drop("_own", "_row"))
+    kept = own.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left_semi")
+    if not stay.where("copies > 1").isEmpty():          # rows of one document that is listed several times
+        one = Window.partitionBy("doc_id", "_own").orderBy(F.lit(1))
+        kept = kept.withColumn("_row", F.row_number().over(one)).where("_row = 1").drop("_row")
+    return kept.drop("_own")

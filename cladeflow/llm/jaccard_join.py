@@ -29,7 +29,8 @@ from .components import components
 GRAM, PERCENT = 5, 80
 FREQUENT = 16                # an indexed token of more sets than this moves to the end of the order
 ORDERED = 1 << 18            # so many of the most frequent tokens at most are held by each task; it bounds memory, not results
-LEADERS, ROUNDS = 8, 2
+LEADERS, ROUNDS = 8, 3
+BITS = 512                   # bits of a set's parity map
 KNOWN = 1 << 18              # words whose hash a worker keeps
 KEY = ["n", "sa", "sb"]
 
@@ -76,6 +77,16 @@ def indexed(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) ->
     return tokens[:len(tokens) - least_overlap(len(tokens), percent) + 1] if len(tokens) else tokens
 
 
+def parity(tokens: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Parity map of a set: each token flips one bit.
+
+    Tokens of both sets cancel, so two maps differ in no more bits than the sets in tokens: half of both sizes
+    less the differing bits is never under the overlap.
+    """
+    flips = np.bincount((mixed(tokens + np.uint64(3)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((flips & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _signed(value: np.ndarray) -> list[int]:
     return np.asarray(value, np.uint64).view(np.int64).tolist()
 
@@ -87,18 +98,19 @@ def sets(docs: DataFrame, frequent: np.ndarray, gram: int = GRAM, percent: int =
     def step(batch: pa.RecordBatch) -> dict:
         own, late = [shingles(x, gram) for x in raw(batch)], held.value
         mark = lambda salt: _signed(np.array([mixed(s + np.uint64(salt)).sum(dtype=np.uint64) for s in own], np.uint64))
-        last = {"data": [s.tobytes() for s in own]} if whole else {"tokens": [indexed(s, late, percent).view(np.int64) for s in own]}
+        last = {"data": [s.tobytes() for s in own]} if whole else {
+            "tokens": [indexed(s, late, percent).view(np.int64) for s in own], "bits": [parity(s) for s in own]}
         return {"doc_id": batch.column("doc_id"), "n": [len(s) for s in own], "sa": mark(1), "sb": mark(2)} | last
 
-    return mapped(docs.select("doc_id", "text"), step, "doc_id long, n long, sa long, sb long, " + ("data binary" if whole else "tokens array<long>"))
+    return mapped(docs.select("doc_id", "text"), step, "doc_id long, n long, sa long, sb long, " + ("data binary" if whole else "tokens array<long>, bits array<long>"))
 
 
 def class_of(marks: DataFrame) -> DataFrame:
-    """Classes of equal sets: key, cls, smallest id, and how many rows have that id."""
-    by_id = marks.where("n > 0").groupBy(*KEY, "doc_id").agg(F.count("*").alias("copies"))
-    low = F.min_by(F.struct("doc_id", "copies"), F.struct(F.col("doc_id").isNull(), "doc_id"))
+    """Classes of equal sets: key, cls, smallest id, how many rows have that id, and the parity map."""
+    by_id = marks.where("n > 0").groupBy(*KEY, "doc_id").agg(F.count("*").alias("copies"), F.first("bits").alias("bits"))
+    low = F.min_by(F.struct("doc_id", "copies", "bits"), F.struct(F.col("doc_id").isNull(), "doc_id"))
     return written(by_id.groupBy(*KEY).agg(low.alias("one"))
-                   .select(F.monotonically_increasing_id().alias("cls"), *KEY, F.col("one.doc_id").alias("low"), F.col("one.copies").alias("copies")))
+                   .select(F.monotonically_increasing_id().alias("cls"), *KEY, F.col("one.doc_id").alias("low"), F.col("one.copies").alias("copies"), "one.bits"))
 
 
 def _first_rows(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -110,8 +122,8 @@ def _first_rows(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
 def frequent_tokens(marks: DataFrame, classes: DataFrame) -> np.ndarray:
     """Sorted tokens that many classes have among their indexed ones."""
-    rows = (_first_rows(marks, classes).select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") > FREQUENT)
-            .orderBy(F.desc("count"), "token").limit(ORDERED).collect())       # a top list of bounded length
+    many = written(_first_rows(marks, classes).select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") > FREQUENT))
+    rows = many.orderBy(F.desc("count"), "token").limit(ORDERED).collect()       # a top list of bounded length
     return np.sort(np.array([r["token"] for r in rows], np.int64).view(np.uint64))
 
 
@@ -225,20 +237,26 @@ def led(lists: DataFrame, comps: DataFrame | None, seed: int, percent: int) -> D
     return best.select("x", "y")
 
 
-def crossing(lists: DataFrame, comps: DataFrame | None, percent: int) -> DataFrame:
-    """Pairs of classes of different components that may still link, by index blocks of one token and size class."""
+def crossing(lists: DataFrame, classes: DataFrame, comps: DataFrame | None, percent: int) -> DataFrame:
+    """Pairs of classes of different components that may still link, by index blocks of one token and size class.
+
+    An entry is skipped whose position leaves too few tokens, or whose parity map differs in too many bits.
+    """
     one_list = Window.partitionBy("token")
     rows = _labelled(lists.drop("heads"), comps)
     rows = written(rows.withColumn("low", F.min("comp").over(one_list)).withColumn("high", F.max("comp").over(one_list)).where("low < high"))
-    rows = rows.withColumn("block", F.floor(F.log(F.col("n")) / F.log(F.lit(1.02 * 100 / percent))).cast("int"))
+    maps = classes.join(light(rows.select("cls").distinct()), "cls", "left_semi").select("cls", "bits")
+    rows = rows.join(maps, "cls").withColumn("block", F.floor(F.log(F.col("n")) / F.log(F.lit(1.02 * 100 / percent))).cast("int"))
     small = rows.withColumn("block", F.explode(F.array(F.col("block"), F.col("block") + 1))).select(
-        "token", "block", *(F.col(c).alias(f"{c}_y") for c in ("cls", "n", "pos", "comp")))
-    large = rows.select("token", "block", *(F.col(c).alias(f"{c}_z") for c in ("cls", "n", "pos", "comp")))
+        "token", "block", *(F.col(c).alias(f"{c}_y") for c in ("cls", "n", "pos", "comp", "bits")))
+    large = rows.select("token", "block", *(F.col(c).alias(f"{c}_z") for c in ("cls", "n", "pos", "comp", "bits")))
+    apart = sum((F.bit_count(F.col("bits_y")[i].bitwiseXOR(F.col("bits_z")[i])) for i in range(BITS // 64)), F.lit(0))
     left = F.least(F.col("n_y") - F.col("pos_y"), F.col("n_z") - F.col("pos_z"))
     ordered = (F.col("n_y") < F.col("n_z")) | ((F.col("n_y") == F.col("n_z")) & (F.col("cls_y") < F.col("cls_z")))
     met = (small.join(large, ["token", "block"])
            .where((F.col("comp_y") != F.col("comp_z")) & ordered & may_link(F.col("n_y"), F.col("n_z"), percent)
-                  & enough(left, F.col("n_y"), F.col("n_z"), percent))
+                  & enough(left, F.col("n_y"), F.col("n_z"), percent)
+                  & enough((F.col("n_y") + F.col("n_z") - apart) / 2, F.col("n_y"), F.col("n_z"), percent))
            .groupBy(F.col("cls_y").alias("y"), F.col("cls_z").alias("z"), "n_y", "n_z", "comp_y", "comp_z")
            .agg(F.count("*").alias("shared"), F.max("pos_y").alias("pos_y"), F.max("pos_z").alias("pos_z")))
     rest = F.least(F.col("n_y") - F.col("pos_y"), F.col("n_z") - F.col("pos_z")) - 1
@@ -264,7 +282,7 @@ def link(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, rounds: int
     kind = "y long, x long, gone binary, new binary"
     leaders = (docs.sparkSession.createDataFrame([], kind) if leaders is None
                else written(leaders.groupBy("y").agg(F.min_by(F.struct("x", "gone", "new"), F.length("gone") + F.length("new")).alias("b")).select("y", "b.x", "b.gone", "b.new")))
-    open_pairs = written(crossing(lists, comps, percent))
+    open_pairs = written(crossing(lists, classes, comps, percent))
     if open_pairs.head(1):
         likely = Window.partitionBy(F.least("comp_y", "comp_z"), F.greatest("comp_y", "comp_z")).orderBy(F.desc("shared"), "y", "z")
         first = open_pairs.withColumn("rank", F.row_number().over(likely)).where("rank <= 2").select("y", "z")

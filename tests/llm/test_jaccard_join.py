@@ -78,6 +78,15 @@ def test_indexed_tokens_meet_for_every_link():
             assert len(np.intersect1d(jj.indexed(a, late), jj.indexed(b, late)))
 
 
+def test_parity_maps_never_hide_an_overlap():
+    draw = np.random.default_rng(6)
+    for size in (3, 50, 400, 3000):
+        a = np.unique(draw.integers(0, 2**60, size).astype(np.uint64))
+        b = np.unique(np.concatenate([a[draw.random(len(a)) < 0.8], draw.integers(0, 2**60, size // 5).astype(np.uint64)]))
+        apart = int(np.bitwise_count(jj.parity(a).view(np.uint64) ^ jj.parity(b).view(np.uint64)).sum())
+        assert (len(a) + len(b) - apart) / 2 >= len(np.intersect1d(a, b))
+
+
 def test_kept_documents_and_an_empty_table(spark, rows):
     df = spark.createDataFrame([r for r in rows if r[0] is not None][:60], KIND)
     kept = jj.kept_documents(df)
