@@ -30,17 +30,22 @@ def kmer_array(seq: Column, k: int) -> Column:
     return F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
 
 
-def kmers(df: DataFrame, keys: list[str], k: int, seq: str = "seq") -> DataFrame:
-    """One row per k-mer occurrence: the key columns and ``kmer``."""
+def kmers(df: DataFrame, keys: list[str], k: int, seq: str = "seq", once: bool = False) -> DataFrame:
+    """One row per k-mer occurrence: the key columns and ``kmer``.
+
+    With ``once`` a k-mer that repeats within a piece of a sequence is one row: for callers
+    that want sets, most repeats end before any join or shuffle.
+    """
     starts = F.sequence(F.lit(1), F.greatest(F.length(seq) - k + 1, F.lit(1)), F.lit(PIECE))
     pieces = df.select(*keys, F.col(seq).alias("_seq"), F.explode(starts).alias("_at")).select(
         *keys, F.substring(F.col("_seq"), F.col("_at"), F.lit(PIECE + k - 1)).alias("_piece"))
-    return pieces.select(*keys, F.explode(kmer_array(F.col("_piece"), k)).alias("kmer"))
+    found = kmer_array(F.col("_piece"), k)
+    return pieces.select(*keys, F.explode(F.array_distinct(found) if once else found).alias("kmer"))
 
 
 def distinct_kmers(df: DataFrame, keys: list[str], k: int, seq: str = "seq") -> DataFrame:
     """The k-mer set of each key."""
-    return kmers(df, keys, k, seq).distinct()
+    return kmers(df, keys, k, seq, once=True).distinct()
 
 
 def reverse_complement(seq: Column) -> Column:

@@ -24,11 +24,14 @@ def star_alignment(sequences: DataFrame, scores: Scoring = PROTEIN_SCORES) -> Da
     strain = sequences.schema["strain"].dataType.simpleString()
     rows = checkpoint(pairs.repartition(task_count(sequences.sparkSession), "family", "strain").mapInPandas(
         star_rows(scores), f"family {kind}, strain {strain}, under string, before array<string>"))
-    wide = (rows.select("family", F.posexplode("before").alias("slot", "text"))
-            .groupBy("family", "slot").agg(F.max(F.length("text")).alias("width")).filter("width > 0"))
-    gaps = wide.groupBy("family").agg(F.map_from_entries(F.collect_list(F.struct("slot", "width"))).alias("gaps"))
-    slots = F.sequence(F.lit(0), F.size("before") - 1)
-    text = F.array_join(F.transform(slots, lambda i: F.concat(
-        F.rpad(F.get("before", i), F.coalesce(F.try_element_at("gaps", i), F.lit(0)), F.lit("-")),
-        F.substring(F.col("under"), i + 1, F.lit(1)))), "")
-    return rows.join(gaps, "family", "left").select("family", "strain", text.alias("aligned"))
+    inserted = F.filter(F.transform("before", lambda text, slot: F.struct(slot.alias("slot"), F.length(text).alias("width"))), lambda x: x["width"] > 0)
+    wide = rows.select("family", F.explode(inserted).alias("i")).groupBy("family", "i.slot").agg(F.max("i.width").alias("width"))
+    gaps = wide.groupBy("family").agg(F.sort_array(F.collect_list(F.struct("slot", "width"))).alias("gaps"))
+    # a row is its stretches between the family's open slots, each followed by what the slot holds
+    past = lambda i: F.coalesce(F.get("gaps", i - 1)["slot"], F.lit(0))
+    stretches = F.transform("gaps", lambda gap, i: F.concat(
+        F.substring(F.col("under"), past(i) + 1, gap["slot"] - past(i)), F.rpad(F.get("before", gap["slot"]), gap["width"], F.lit("-"))))
+    rest = F.substring(F.col("under"), past(F.size("gaps")) + 1, F.length("under"))
+    text = F.concat(F.array_join(stretches, ""), rest)
+    opened = rows.join(gaps, "family", "left").withColumn("gaps", F.coalesce("gaps", F.array().cast("array<struct<slot:int,width:int>>")))
+    return opened.select("family", "strain", text.alias("aligned"))
