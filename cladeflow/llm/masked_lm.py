@@ -4,7 +4,8 @@ Every token is predicted from the tokens on both sides of it, itself masked; the
 summed over a document.  The words are counted over the whole corpus; the most frequent have a token of their own, the
 rest share tokens by hash.  The network (embeddings of the window, one hidden layer, a softmax over groups of tokens and
 one within each group) is trained in numpy by all tasks on all documents: in each round tasks start from the same
-weights, train on every ``STRIDE``-th position of their texts, and the results are averaged by number of positions.
+weights, train on their share of the positions of their texts, and the results are averaged by number of positions.  The
+rounds take turns in the positions of a text, so together they train on every position once.
 
 Defined cases: null and empty texts have no tokens, a sum of 0 and no mean.  A text of one token is predicted from the
 edge marks alone.  Repeated rows count as often as they occur and are scored row by row.  Without any word the weights
@@ -31,7 +32,7 @@ TOKENS = GROUPS * WITHIN
 SHARED = 128                 # tokens that rarer words share
 EDGE = TOKENS                # stands before and after a text
 SIDE, WIDTH, HIDDEN = 2, 16, 32
-STRIDE, ROUNDS, BATCH, RATE = 8, 2, 512, 0.3
+ROUNDS, BATCH, RATE = 2, 2048, 0.3
 FAN_IN = 64                  # sets of weights averaged by one task
 SLICE = 1 << 14              # positions scored at once
 KEPT = 1 << 19               # distinct words counted by a task before it hands them on
@@ -106,7 +107,7 @@ def windows(own: np.ndarray) -> np.ndarray:
 
 def forward(w: Weights, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Embedded windows, hidden values and log-probabilities of the groups."""
-    x = w["words"][around].reshape(len(around), -1)
+    x = w["words"].take(around, axis=0).reshape(len(around), -1)
     h = np.tanh(x @ w["hidden"] + w["hidden_bias"])
     return x, h, log_softmax(h @ w["group"] + w["group_bias"])
 
@@ -137,36 +138,59 @@ def log_probabilities(w: Weights, own: np.ndarray, around: np.ndarray) -> np.nda
     return out
 
 
+def softmax(logits: np.ndarray) -> np.ndarray:
+    """Softmax of each row."""
+    out = np.exp(logits - logits.max(1, keepdims=True))
+    out /= out.sum(1, keepdims=True)
+    return out
+
+
 def gradients(w: Weights, own: np.ndarray, around: np.ndarray) -> Weights:
     """Gradient of the mean negative log-probability; that of ``words`` is left by position."""
-    x, h, groups = forward(w, around)
-    size = np.float32(len(own))
-    error = np.exp(groups)
-    error[np.arange(len(own)), own // WITHIN] -= 1
+    order = np.argsort((own // WITHIN).astype(np.uint8), kind="stable")
+    out = grouped_gradients(w, own[order], around[order])
+    words = np.empty_like(out["words"])
+    words.reshape(len(own), -1)[order] = out["words"].reshape(len(own), -1)
+    return out | {"words": words}
+
+
+def grouped_gradients(w: Weights, own: np.ndarray, around: np.ndarray) -> Weights:
+    """``gradients`` of positions in order of their groups."""
+    x = w["words"].take(around, axis=0).reshape(len(around), -1)
+    h = np.tanh(x @ w["hidden"] + w["hidden_bias"])
+    error, inner, every, size = softmax(h @ w["group"] + w["group_bias"]), np.empty((len(own), WITHIN), h.dtype), np.arange(len(own)), np.float32(len(own))
+    edges = np.searchsorted(own // WITHIN, np.arange(GROUPS + 1))
+    parts = [(g, slice(edges[g], edges[g + 1])) for g in range(GROUPS) if edges[g] < edges[g + 1]]
+    for g, part in parts:
+        inner[part] = h[part] @ w["within"][g] + w["within_bias"][g]
+    inner = softmax(inner)
+    error[every, own // WITHIN] -= 1
+    inner[every, own % WITHIN] -= 1
     error /= size
+    inner /= size
     out = {"group": h.T @ error, "group_bias": error.sum(0), "within": np.zeros_like(w["within"]), "within_bias": np.zeros_like(w["within_bias"])}
     back = error @ w["group"].T
-    for g, at in members(own):
-        inner = np.exp(log_softmax(h[at] @ w["within"][g] + w["within_bias"][g]))
-        inner[np.arange(len(at)), own[at] % WITHIN] -= 1
-        inner /= size
-        out["within"][g], out["within_bias"][g] = h[at].T @ inner, inner.sum(0)
-        back[at] += inner @ w["within"][g].T
+    for g, part in parts:
+        out["within"][g], out["within_bias"][g] = h[part].T @ inner[part], inner[part].sum(0)
+        back[part] += inner[part] @ w["within"][g].T
     back *= 1 - h * h
     return out | {"hidden": x.T @ back, "hidden_bias": back.sum(0), "words": (back @ w["hidden"].T).reshape(-1, WIDTH)}
 
 
 def descend(w: Weights, own: np.ndarray, around: np.ndarray, rate: float) -> None:
     """One step of gradient descent on a batch."""
-    for name, g in gradients(w, own, around).items():
+    order = np.argsort((own // WITHIN).astype(np.uint8), kind="stable")
+    own, around = own[order], around[order]
+    for name, g in grouped_gradients(w, own, around).items():
         if name == "words":
-            np.subtract.at(w["words"], around.ravel(), np.float32(rate * 10) * g)
+            cells = (around.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
+            w["words"] -= np.float32(rate * 10) * np.bincount(cells, g.ravel(), w["words"].size).reshape(w["words"].shape).astype(np.float32)
         else:
             w[name] -= np.float32(rate) * g
 
 
-def train(docs: DataFrame, words: dict[bytes, int], rounds: int = ROUNDS, stride: int = STRIDE) -> Weights:
-    """Weights trained on all documents by all tasks."""
+def train(docs: DataFrame, words: dict[bytes, int], rounds: int = ROUNDS) -> Weights:
+    """Weights trained on every position of all documents by all tasks."""
     weights, kind = packed(drawn()), "task int, many long, weights binary"
     form = to_arrow(kind)
     for number in range(rounds):
@@ -186,11 +210,11 @@ def train(docs: DataFrame, words: dict[bytes, int], rounds: int = ROUNDS, stride
             for batch in batches:
                 for data in raw(batch):
                     own = tokens(data, known)
-                    at = np.arange((zlib.crc32(data[:64]) + number * (stride // 2 + 1)) % stride, len(own), stride)
-                    if len(at):
+                    at = slice(number, None, rounds)
+                    if len(own) > number:
                         waiting.append((own[at], windows(own)[at]))
-                        size += len(at)
-                    if size >= 64 * BATCH:
+                        size += len(own[at])
+                    if size >= 16 * BATCH:
                         learn()
                         many, waiting, size = many + size, [], 0
             if size:

@@ -79,3 +79,11 @@ def test_averages_and_edge_rows(spark, monkeypatch):
     none = docs.limit(0)
     assert lm.score(none, lm.vocabulary(none), lm.train(none, {})).count() == 0
     assert op5_masked_lm(spark, DATA).columns == ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"]
+
+
+def test_every_position_is_trained_on_once(spark, monkeypatch):
+    trained, averaged = [], lm.averaged
+    monkeypatch.setattr(lm, "averaged", lambda rows, default: trained.append(rows.agg({"many": "sum"}).first()[0]) or averaged(rows, default))
+    docs = table(spark, DATA, "documents")
+    lm.train(docs, {})
+    assert sum(trained) == sum(len((r.text or "").encode().split()) for r in docs.collect())
