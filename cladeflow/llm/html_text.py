@@ -6,7 +6,7 @@ forms, comments), the article, and whether the page marks an article at all.  A
 pages below, says which blocks are main text; these are joined in page order.
 
 Defined cases: a null or empty page has the empty text.  Tags may be unclosed or crossed: an end tag closes up to its
-start tag, or nothing.  A comment, script or style that is never closed reaches to the end of the page.  Repeated pages
+start tag, or nothing.  Words in inline furniture are left out and don't cut the block around them.  A comment, script or style that is never closed reaches to the end of the page.  Repeated pages
 are read row by row; other columns are not read.
 """
 
@@ -69,6 +69,8 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, bool, bool, bool]] = []      # name, furniture, article, header within an article
     text: list[str] = []
+    inline: list[tuple[str, int]] = []      # open inline furniture and what is in it: name, elements it stands in
+    paragraph: int | None = None            # inline elements at the start of the open paragraph
     linked, in_link, furniture, article, heading = 0, 0, False, False, False
 
     def flush() -> None:
@@ -82,7 +84,7 @@ def blocks(page: str) -> list[Block]:
 
     def say(piece: str) -> None:
         nonlocal linked
-        if piece:
+        if piece and not inline:
             piece = html.unescape(piece) if "&" in piece else piece
             text.append(piece)
             if in_link:
@@ -111,16 +113,27 @@ def blocks(page: str) -> list[Block]:
                 in_link = 0 if closing else 1
             elif name == "br":
                 text.append(" ")
-            if name == "a" or not attributes or closing:
-                continue
-            if not context(name, attributes)[0]:
-                continue
+            if closing:
+                for i in range(len(inline) - 1, -1, -1):
+                    if inline[i][0] == name:
+                        del inline[i:]
+                        break
+            elif name not in EMPTY and name != "a" and (inline or attributes and context(name, attributes)[0]):
+                inline.append((name, len(stack)))
+            continue
         flush()
+        if name == "p":
+            if paragraph is not None:
+                del inline[paragraph:]
+            paragraph = None if closing else len(inline)
         in_link = 0
         if closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     del stack[i:]
+                    while inline and inline[-1][1] > i:
+                        inline.pop()
+                    paragraph = None
                     break
             if name in HEADINGS:
                 heading = False

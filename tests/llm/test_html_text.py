@@ -50,3 +50,14 @@ def test_nulls_repeats_long_pages_and_no_pages(spark):
     assert len(got) == 4 and [r.text for r in got if r.page_id == 1] == ["", ""]
     assert next(r.text for r in got if r.page_id == 2).startswith("é < é <")
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page,want", [
+    ('<article><p>A <span class="ad">x</span> B</p><p>C</p></article>', "A B C"),
+    ('<article><p>A<i class="share-icon"></i>B <small class="tags">t <small>u</small> v</small> C<p>D</article>', "AB C D"),
+    ('<article><p>A <span hidden>x <b>y</b><div>z</div></span>B</p><p>C</article>', "A B C"),
+    ('<article><p>A <span hidden>x</p><p>B</p></article>', "A B"), ('<article><div>A <b class="ad">x</div><p>B</article>', "A B"),
+    ('<article><p>A <img class="ad">B</b></span> C</p></article>', "A B C"),
+])
+def test_inline_furniture_ends_with_its_element(page, want):
+    assert html_text.main_text(page, TREE) == want
