@@ -17,7 +17,7 @@ from cladeflow.operators import presence as P
 from cladeflow.operators import stats as S
 from cladeflow.operators import tree as T
 from cladeflow.operators.common import checkpoint
-from cladeflow.params import DOMAIN_MAX_EVALUE, REPLICON_SCREEN, SKETCH_K, FamilyParams
+from cladeflow.params import DOMAIN_MAX_EVALUE, REPLICON_SCREEN, SKETCH_K
 from cladeflow.plans import pangenome
 from cladeflow.plans.phylogeny import all_pairs
 from cladeflow.sources import newick, tables
@@ -77,7 +77,7 @@ def screen_hits(v: Views) -> DataFrame:
 @query
 def clusters(v: Views) -> DataFrame:
     proteins = v.turns().select(F.col("query_id").alias("gene_key"), "seq")
-    return FM.cluster(proteins, FamilyParams(k=12, prefilter=0.2)).select("gene_key", "family")
+    return FM.cluster(proteins).select("gene_key", "family")
 
 
 # ---- genomes and genes ---------------------------------------------------------------------
