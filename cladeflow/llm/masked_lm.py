@@ -2,7 +2,8 @@
 
 Every token is predicted from the tokens on both sides of it, itself masked; the conditional log-probabilities are
 summed over a document.  The words are counted over the whole corpus; the most frequent have a token of their own, the
-rest share tokens by hash.  The network (embeddings of the window, one hidden layer, a softmax over groups of tokens and
+rest share tokens by hash, and a word of a shared token has that token's probability times the word's share of the
+token's count, so every counted word has a probability of its own.  The network (embeddings of the window, one hidden layer, a softmax over groups of tokens and
 one within each group) is trained in numpy by all tasks on all documents: in each round tasks start from the same
 weights, train on their share of the positions of their texts, and the results are averaged by number of positions.  The
 rounds take turns in the positions of a text, so together they train on every position once.
@@ -35,6 +36,7 @@ SIDE, WIDTH, HIDDEN = 2, 16, 32
 ROUNDS, BATCH, RATE = 2, 2048, 0.3
 FAN_IN = 64                  # sets of weights averaged by one task
 SLICE = 1 << 14              # positions scored at once
+LISTED = 1 << 16             # words whose counts tasks hold; those of the other words are joined
 KEPT = 1 << 19               # distinct words counted by a task before it hands them on
 
 Weights = dict[str, np.ndarray]
@@ -80,9 +82,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, many long").groupBy("word").agg(F.sum("many").alias("many"))
 
 
-def vocabulary(docs: DataFrame) -> dict[bytes, int]:
+def vocabulary(docs: DataFrame, counts: DataFrame | None = None) -> dict[bytes, int]:
     """The most frequent words of the corpus and their tokens, most frequent first."""
-    rows = word_counts(docs).orderBy(F.desc("many"), "word").limit(TOKENS - SHARED).collect()      # a top list of fixed length
+    rows = (word_counts(docs) if counts is None else counts).orderBy(F.desc("many"), "word").limit(TOKENS - SHARED).collect()      # a top list of fixed length
     return {bytes(r["word"]): i for i, r in enumerate(rows)}
 
 
@@ -245,8 +247,8 @@ def _mean(task: int, part: pa.Table) -> pa.Table:
                      "weights": pa.array([(total / many.sum()).astype(np.float32).tobytes()], pa.binary())})
 
 
-def score(docs: DataFrame, words: dict[bytes, int], weights: Weights) -> DataFrame:
-    """doc_id, n_tokens, log_likelihood and its mean by token for every row."""
+def score(docs: DataFrame, words: dict[bytes, int], weights: Weights, keep_text: bool = False) -> DataFrame:
+    """doc_id, n_tokens, log_likelihood and its mean by token for every row, and its text if it is kept."""
     held = docs.sparkSession.sparkContext.broadcast((words, weights))
 
     def step(batch: pa.RecordBatch) -> dict:
@@ -270,7 +272,64 @@ def score(docs: DataFrame, words: dict[bytes, int], weights: Weights) -> DataFra
                 waiting, size = [], 0
         if size:
             settle()
-        return {"doc_id": batch.column("doc_id"), "n_tokens": counts, "log_likelihood": sums,
+        return {"doc_id": batch.column("doc_id"), "text": batch.column("text"), "n_tokens": counts, "log_likelihood": sums,
                 "mean_log_likelihood": [s / n if n else None for s, n in zip(sums.tolist(), counts, strict=True)]}
 
-    return mapped(docs.select("doc_id", "text"), step, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+    return mapped(docs.select("doc_id", "text"), step, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double" + ", text string" * keep_text)
+
+
+def listed(counts: DataFrame) -> tuple[dict[bytes, int], DataFrame]:
+    """Counts of the most frequent words, ``LISTED`` at most, and the rows of all others."""
+    seen, least = 0, None
+    for r in counts.groupBy("many").agg(F.count("*").alias("words")).orderBy(F.desc("many")).limit(LISTED).collect():
+        seen += r["words"]
+        if seen > LISTED:
+            break
+        least = r["many"]
+    if least is None:
+        return {}, counts
+    return {bytes(r["word"]): r["many"] for r in counts.where(F.col("many") >= least).collect()}, counts.where(F.col("many") < least)
+
+
+def shared_totals(counts: DataFrame, words: dict[bytes, int]) -> np.ndarray:
+    """Count of all words of each shared token."""
+    out = np.zeros(SHARED)
+    for r in counts.groupBy(F.pmod(F.crc32("word"), F.lit(SHARED)).alias("at")).agg(F.sum("many").alias("many")).collect():
+        out[r["at"]] = r["many"]
+    own = list(words)
+    for r in counts.join(F.broadcast(counts.sparkSession.createDataFrame([(w,) for w in own], "word binary")), "word").collect() if own else []:
+        out[zlib.crc32(r["word"]) % SHARED] -= r["many"]
+    return out
+
+
+def score_words(docs: DataFrame, words: dict[bytes, int], weights: Weights, counts: DataFrame) -> DataFrame:
+    """``score`` by words: a word of a shared token gets its counted share of the token's probability.
+
+    Counts of frequent words are held by every task; the others leave a row of the scores as a list and are joined.
+    A word that was not counted is taken as seen once.
+    """
+    known, rest = listed(counts)
+    held = docs.sparkSession.sparkContext.broadcast((words, known, np.log(np.maximum(shared_totals(counts, words), 1))))
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, known, totals = held.value
+        number = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            sums, rare = [], []
+            for data in raw(batch):
+                found = Counter(w for w in data.translate(LOWERED).split() if w not in words)
+                sums.append(math.fsum(n * (math.log(known.get(w, 1)) - totals[zlib.crc32(w) % SHARED]) for w, n in found.items()))
+                rare.append([{"word": w, "n": n} for w, n in found.items() if w not in known])
+            columns = [pa.array(range(number, number + batch.num_rows), pa.int64()), *(batch.column(c) for c in ("doc_id", "n_tokens", "log_likelihood")), pa.array(sums, pa.float64()), pa.array(rare, form.field("rare").type)]
+            number += batch.num_rows
+            yield pa.RecordBatch.from_arrays(columns, schema=form)
+
+    kind = "row long, doc_id long, n_tokens long, log_likelihood double, share double, rare array<struct<word: binary, n: long>>"
+    form = to_arrow(kind)
+    rows = written(score(docs, words, weights, keep_text=True).mapInArrow(shares, kind))
+    missed = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
+    added = (missed.join(rest, "word", "left").groupBy("row")
+             .agg(F.sum(F.col("n") * F.log(F.coalesce("many", F.lit(1)).cast("double"))).alias("added")))
+    total = F.col("log_likelihood") + F.col("share") + F.coalesce("added", F.lit(0.0))
+    return (rows.drop("rare").join(added, "row", "left").select("doc_id", "n_tokens", total.alias("log_likelihood"))
+            .withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))))

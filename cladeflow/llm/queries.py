@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontaminate, exact_dedup, html_text, jaccard_join, masked_lm, pii, quality, repair_ids
-from .common import shared_folder, table
+from .common import shared_folder, table, written
 
 
 def vocabulary(name: str) -> str:
@@ -53,8 +53,9 @@ def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 def op5_masked_lm(spark: SparkSession, folder: str) -> DataFrame:
     """Pseudo-log-likelihood of every document under a network trained on all of them."""
     docs = table(spark, folder, "documents")
-    words = masked_lm.vocabulary(docs)
-    return masked_lm.score(docs, words, masked_lm.train(docs, words))
+    counts = written(masked_lm.word_counts(docs))
+    words = masked_lm.vocabulary(docs, counts)
+    return masked_lm.score_words(docs, words, masked_lm.train(docs, words), counts)
 
 
 def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pytest
 
@@ -87,3 +89,33 @@ def test_every_position_is_trained_on_once(spark, monkeypatch):
     docs = table(spark, DATA, "documents")
     lm.train(docs, {})
     assert sum(trained) == sum(len((r.text or "").encode().split()) for r in docs.collect())
+
+
+@pytest.mark.parametrize("listed", [0, 2000, 1 << 16])
+def test_words_of_a_shared_token_have_their_counted_share(spark, monkeypatch, listed):
+    monkeypatch.setattr(lm, "LISTED", listed)
+    docs = table(spark, DATA, "documents")
+    counts, w = lm.word_counts(docs), lm.drawn(4)
+    words, many = lm.vocabulary(docs), {bytes(r.word): r.many for r in counts.collect()}
+    total = np.zeros(lm.SHARED)
+    for word, n in many.items():
+        if word not in words:
+            total[zlib.crc32(word) % lm.SHARED] += n
+    plain, got = ({r.doc_id: r for r in x.collect()} for x in (lm.score(docs, words, w), lm.score_words(docs, words, w, counts)))
+    assert len(got) == len(plain) == docs.count()
+    for r in docs.collect():
+        rare = [x for x in (r.text or "").encode().translate(lm.LOWERED).split() if x not in words]
+        want = plain[r.doc_id].log_likelihood + sum(np.log(many[x] / total[zlib.crc32(x) % lm.SHARED]) for x in rare)
+        assert abs(got[r.doc_id].log_likelihood - want) < 1e-6 * max(1, abs(want)) and got[r.doc_id].n_tokens == plain[r.doc_id].n_tokens
+
+
+def test_query_tells_a_frequent_word_from_a_rare_one_of_its_token(spark, tmp_path):
+    mine = {}
+    for i in range(3000):
+        mine.setdefault(zlib.crc32(b"w%d" % i) % lm.SHARED, []).append(f"w{i}")
+    often, seldom = max(mine.values(), key=len)[:2]
+    filler = [" ".join(f"f{i}" for i in range(lm.TOKENS)) for _ in range(9)]
+    rows = [(1, often), (2, seldom)] + [(3 + i, x) for i, x in enumerate([often] * 4 + filler)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.log_likelihood for r in op5_masked_lm(spark, str(tmp_path)).collect()}
+    assert abs(got[1] - got[2] - np.log(5)) < 1e-6
