@@ -162,7 +162,10 @@ def ani_range(v: Views) -> DataFrame:
 def ani_matrix(v: Views) -> DataFrame:
     sketches, strains = _sketch(v, "source")
     names = D.wide_names(v.contigs("source").select("strain"))
-    wide = D.to_wide(D.ani_pairs(sketches, strains), "ani", 100.0, 0.0, names)
+    pairs = D.ani_pairs(sketches, strains)
+    if names is None:
+        return pairs
+    wide = D.to_wide(pairs, "ani", 100.0, 0.0, names)
     return wide.select("taxon_name", *[F.round(c, 4).alias(c) for c in names])
 
 
@@ -222,7 +225,10 @@ def class_partition(v: Views) -> DataFrame:
 
 @query
 def presence_matrix(v: Views) -> DataFrame:
-    return FM.presence_matrix(v.tokens(), D.wide_names(v.table("documents").select("source")))
+    names = D.wide_names(v.table("documents").select("source"))
+    if names is None:
+        return v.tokens().select("family", "strain").distinct()
+    return FM.presence_matrix(v.tokens(), names)
 
 
 @query

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from cladeflow.catalog import QUERIES
 from cladeflow.functions.sequence import canonical, distinct_kmers, kmers, translate_codons, wrap
 from cladeflow.operators import distance as D
 from cladeflow.operators import genomes as G
@@ -201,3 +202,10 @@ def test_all_pairs_fill_the_matrix(spark, monkeypatch, block):
     pairs = spark.createDataFrame([("a", "b", 0.5), ("b", "d", 0.1)], "a string, b string, distance double")
     got = all_pairs(pairs, spark.createDataFrame([(x,) for x in "abcde"], "name string")).collect()
     assert len(got) == 10 and sorted(r.distance for r in got) == [0.1, 0.5] + [1.0] * 8
+
+
+@pytest.mark.parametrize("name,columns", [("ani_matrix", {"a", "b", "ani"}), ("presence_matrix", {"family", "strain"})])
+def test_wide_queries_give_the_long_table_for_too_many_names(spark, monkeypatch, name, columns):
+    monkeypatch.setattr(D, "wide_names", lambda names: None)
+    df = QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert columns <= set(df.columns) and df.count() > 0
