@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, exact_dedup, html_text, jaccard_join, masked_lm, pii, quality, repair_ids
+from . import bpe, chat, decontaminate, exact_dedup, html_text, jaccard_join, masked_lm, periodic_runs, pii, quality, repair_ids
 from .common import shared_folder, table, written
 
 
@@ -93,8 +93,32 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *many, F.sha2(named(F.col("base")), 256).alias("base_sha256"), named(keyed).alias("spans"))
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text; a tenth of the texts, by the checksum of the id, repeat a stretch of their words to the end.
+
+    A null id stands for the empty string in the checksum.
+    """
+    mark = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words = F.filter(F.split("text", "[ \t\n\x0B\f\r]+"), lambda w: w != "")
+    rows = docs.select("doc_id", "text", F.floor(mark / 10).cast("long").alias("g"), F.when(mark % 10 == 0, words).alias("w"))
+    rows = rows.select("*", F.expr("IF(size(w) > 0, g % size(w), 0)").alias("a"), F.expr("size(w) > 0").alias("repeats"))
+    rows = rows.select("*", F.expr("1 + CAST(floor((size(w) - a) / (3 + g % 8)) AS LONG)").alias("p"))
+    turned = F.expr("array_join(transform(w, (x, i) -> IF(i >= a, element_at(w, CAST(a + (i - a) % p + 1 AS INT)), x)), ' ')")
+    return rows.select("doc_id", F.when(F.col("repeats"), turned).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The periodic runs of every document, and its words without the repeats."""
+    found = periodic_runs.find(with_periods(table(spark, folder, "documents")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_html_text, op2_jaccard_join, op3_decontaminate, op4_chat_format, op5_masked_lm, op6_bpe, op7_exact_dedup, op8_repair_ids, op9_quality, op10_pii)
+    f.__name__: f for f in (op1_html_text, op2_jaccard_join, op3_decontaminate, op4_chat_format, op5_masked_lm, op6_bpe, op7_exact_dedup, op8_repair_ids, op9_quality, op10_pii,
+                            op11_periodic_runs)
 }
 
 ORACLE: dict[str, str] = {
