@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, exact_dedup, html_text, jaccard_join, masked_lm, periodic_runs, pii, quality, repair_ids
+from . import bpe, chat, decontaminate, exact_dedup, html_text, jaccard_join, masked_lm, periodic_runs, pii, quality, repair_ids, substring_dedup
 from .common import shared_folder, table, written
 
 
@@ -116,9 +116,15 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
                         F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op13_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the words of passages that a document with a smaller id holds."""
+    found = substring_dedup.clean(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_html_text, op2_jaccard_join, op3_decontaminate, op4_chat_format, op5_masked_lm, op6_bpe, op7_exact_dedup, op8_repair_ids, op9_quality, op10_pii,
-                            op11_periodic_runs)
+                            op11_periodic_runs, op13_substring_dedup)
 }
 
 ORACLE: dict[str, str] = {
@@ -166,4 +172,15 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha AS text_sha256
         FROM t WINDOW w AS (PARTITION BY sha)""",
+    "op13_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS w FROM documents),
+        i AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50),
+        g AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS g FROM i),
+        f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM g),
+        r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS place FROM f WHERE first < doc_id),
+        p AS (SELECT doc_id, w[place] AS word, place FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS place FROM w)),
+        k AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.place) AS kept, count(*) AS n FROM p ANTI JOIN r USING (doc_id, place) GROUP BY p.doc_id)
+        SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(len(w.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(k.kept, '')) AS kept_sha256
+        FROM w LEFT JOIN k USING (doc_id)""",
 }
