@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, exact_dedup, html_text, jaccard_join, masked_lm, periodic_runs, pii, quality, repair_ids, substring_dedup
+from . import bpe, chat, decontaminate, exact_dedup, hard_negatives, html_text, jaccard_join, masked_lm, periodic_runs, pii, quality, repair_ids, substring_dedup
 from .common import shared_folder, table, written
 
 
@@ -116,6 +116,13 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
                         F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of the best positives of every anchor, after a seventh of the labels moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, folder, "embeddings").select("vec_id", moved.alias("label"), "embedding")
+    return hard_negatives.mine(hard_negatives.prepared(rows))
+
+
 def op13_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the words of passages that a document with a smaller id holds."""
     found = substring_dedup.clean(table(spark, folder, "documents"))
@@ -124,7 +131,7 @@ def op13_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_html_text, op2_jaccard_join, op3_decontaminate, op4_chat_format, op5_masked_lm, op6_bpe, op7_exact_dedup, op8_repair_ids, op9_quality, op10_pii,
-                            op11_periodic_runs, op13_substring_dedup)
+                            op11_periodic_runs, op12_hard_negatives, op13_substring_dedup)
 }
 
 ORACLE: dict[str, str] = {
@@ -172,6 +179,17 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha AS text_sha256
         FROM t WINDOW w AS (PARTITION BY sha)""",
+    "op12_hard_negatives": """
+        WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                          list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v
+                   FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                        AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+              FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+        p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+        n AS (SELECT p.a, p.b AS p, s.b AS n, p.score AS ps, s.score AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS r
+              FROM p JOIN s ON p.a = s.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+        SELECT a AS anchor_id, p AS positive_id, CAST(r AS INTEGER) AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score FROM n WHERE r <= 3""",
     "op13_substring_dedup": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS w FROM documents),
         i AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50),
