@@ -2,7 +2,7 @@
 
 Vectors are integers (``floor(256 * x)``) and scores their inner products, so results are exact.  Each half of the
 space has a codebook; the two codes of a row are its cell.  Rows are dealt to blocks by hash, and a block is an index of
-its own: rows by cell and label, and for each half and code the largest distance of a row from the centre (the radius).  The
+its own: rows by cell, all together and once more by label, and for each half and code the largest distance of a row from the centre (the radius).  The
 score of an anchor half ``q`` with any row of a code is at most ``q . centre + |q| * radius``, and that of a cell the sum of two.
 A heap over both sorted lists of half bounds (multi-sequence) visits the cells from the greatest sum on.
 
@@ -41,8 +41,8 @@ CODES, TRAINED = 16, 6       # centres of a half, rounds of training
 SAMPLE = 4096                # rows that centres are trained on at most
 ROWS = 1 << 16               # rows of a block
 SMALL = 2048                 # rows of a block at least, while there are fewer blocks than tasks
-FIRST = 256                  # rows scored before the first look at the bounds; doubles from there
-EXACT = float(1 << 53)
+FIRST = 2048                 # rows scored before the first look at the bounds; four times as many from there
+EXACT = {np.float32: float(1 << 24), np.float64: float(1 << 53)}       # sums below are exact
 MOST = (1 << 63) - 1
 
 
@@ -90,13 +90,14 @@ def nearest(part: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """The rows of one block by cell and label, with the radii of the half codes."""
+    """Rows by cell, with the radii of the half codes."""
 
     def __init__(self, row: np.ndarray, ids: np.ndarray, label: np.ndarray, data: np.ndarray, books: list[np.ndarray]):
         half = len(books[0][0])
         code = [nearest(data[:, :half], books[0]), nearest(data[:, half:], books[1])]
-        order = np.lexsort((ids, label, code[1], code[0]))
-        self.row, self.ids, self.label, self.data = row[order], ids[order], label[order], data[order]
+        order = np.lexsort((ids, code[1], code[0]))
+        self.peak = float(np.abs(data).max(initial=0))
+        self.row, self.ids, self.label = row[order], ids[order], label[order]
         self.books, self.half, self.radius = books, half, []
         for book, own, part in zip(books, code, (data[:, :half], data[:, half:]), strict=True):
             far = np.sqrt(((part - book[own]) ** 2).sum(axis=1))
@@ -104,15 +105,16 @@ class Index:
             np.maximum.at(reach, own, far)
             self.radius.append(reach)           # -1: no row has this code
         self.cell = code[0][order] * len(books[1]) + code[1][order]
-        self.starts = np.searchsorted(self.cell, np.arange(len(books[0]) * len(books[1]) + 1))
-        self.peak = float(np.abs(data).max(initial=0))
+        self.starts = np.searchsorted(self.cell, np.arange(len(books[0]) * len(books[1]) + 1)).tolist()
+        self.bounds = np.stack([self.starts[:-1], self.starts[1:]], axis=1)
+        self.data = data[order].astype(np.float32 if self.peak ** 2 * data.shape[1] < EXACT[np.float32] else np.float64)
 
-    def scores(self, some: slice, query: np.ndarray) -> np.ndarray:
-        part = self.data[some]
-        if self.peak * np.abs(query).max(initial=0) * len(query) < EXACT:
-            return (part @ query).astype(np.int64)
-        values = [sum(int(a) * int(b) for a, b in zip(r, query, strict=True)) for r in part]
-        return np.array([max(-MOST, min(MOST, v)) for v in values], np.int64)
+    def scores(self, places: np.ndarray | slice, query: np.ndarray) -> np.ndarray:
+        """Inner products with the rows at some places, in the shortest floating point in which they are exact."""
+        part, reach = self.data[places], self.peak * np.abs(query).max(initial=0) * len(query)
+        if reach < EXACT[part.dtype.type]:
+            return (part @ query.astype(part.dtype)).astype(np.int64)
+        return (part.astype(np.float64) @ query).astype(np.int64) if reach < EXACT[np.float64] else _unbounded(part, query)
 
     def cells(self, query: np.ndarray) -> Iterator[tuple[float, int]]:
         """Cells with rows from the greatest bound on, as (bound, cell); the heap holds one front of both sorted lists."""
@@ -120,35 +122,55 @@ class Index:
         for book, reach, q in zip(self.books, self.radius, (query[:self.half], query[self.half:]), strict=True):
             bound = np.where(reach < 0, -np.inf, book @ q + np.sqrt(q @ q) * np.maximum(reach, 0))
             order = np.argsort(-bound, kind="stable")[:int((reach >= 0).sum())]
-            sides.append((bound[order].tolist(), order.tolist()))
+            sides.append(((-bound[order]).tolist(), order.tolist()))
         (first, a), (second, b) = sides
         if not a or not b:
             return
-        heap, wide = [(-(first[0] + second[0]), 0, 0)], len(self.books[1])
+        starts, wide, push, pop = self.starts, len(self.books[1]), heapq.heappush, heapq.heappop
+        heap = [(first[0] + second[0], 0, 0)]
         while heap:
-            bound, i, j = heapq.heappop(heap)
+            bound, i, j = pop(heap)
             if i == 0 and j + 1 < len(b):
-                heapq.heappush(heap, (-(first[0] + second[j + 1]), 0, j + 1))
+                push(heap, (first[0] + second[j + 1], 0, j + 1))
             if i + 1 < len(a):
-                heapq.heappush(heap, (-(first[i + 1] + second[j]), i + 1, j))
+                push(heap, (first[i + 1] + second[j], i + 1, j))
             cell = a[i] * wide + b[j]
-            if self.starts[cell] < self.starts[cell + 1]:
+            if starts[cell] < starts[cell + 1]:
                 yield 1.0 + 1e-9 * abs(bound) - bound, cell        # what floating point may have lost is far below that
 
+    def visited(self, query: np.ndarray) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """Rows of more and more cells and their scores, with the bound of what is left."""
+        cells, held, most = [], 0, FIRST
+        for bound, cell in self.cells(query):
+            if held >= most:
+                yield bound, *self._scored(cells, query)
+                cells, held, most = [], 0, 4 * most
+            cells.append(cell)
+            held += self.starts[cell + 1] - self.starts[cell]
+        if cells:
+            yield -np.inf, *self._scored(cells, query)
+
+    def _scored(self, cells: list[int], query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begin = self.bounds[np.sort(np.array(cells))]
+        size = begin[:, 1] - begin[:, 0]
+        places = np.arange(size.sum()) + np.repeat(begin[:, 0] - np.cumsum(size) + size, size)
+        if len(places) == places[-1] - places[0] + 1:               # cells that lie together
+            return places, self.scores(slice(int(places[0]), int(places[-1]) + 1), query)
+        return places, self.scores(places, query)
 
-def _visited(index: Index, query: np.ndarray, ranges) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
-    """Rows of more and more cells and their scores, with the bound of what is left."""
-    spans, held, most = [], 0, FIRST
-    for bound, cell in index.cells(query):
-        if held >= most:
-            yield bound, np.concatenate([np.arange(a, b) for a, b in spans]), np.concatenate([index.scores(slice(a, b), query) for a, b in spans])
-            spans, held, most = [], 0, 2 * most
-        a, b = ranges(cell)
-        if a < b:
-            spans.append((a, b))
-            held += b - a
-    if spans:
-        yield -np.inf, np.concatenate([np.arange(a, b) for a, b in spans]), np.concatenate([index.scores(slice(a, b), query) for a, b in spans])
+
+def _unbounded(part: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Scores beyond floating point, by Python's integers, cut to 64 bits."""
+    values = [sum(int(a) * int(b) for a, b in zip(r, query, strict=True)) for r in part]
+    return np.array([max(-MOST, min(MOST, v)) for v in values], np.int64)
+
+
+class Block:
+    """The rows a task holds: one index of all of them and one of each label."""
+
+    def __init__(self, row: np.ndarray, ids: np.ndarray, label: np.ndarray, data: np.ndarray, books: list[np.ndarray]):
+        self.all = Index(row, ids, label, data, books)
+        self.of = {int(x): Index(*(v[label == x] for v in (row, ids, label, data)), books) for x in np.unique(label)}
 
 
 def _best(index: Index, at: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,16 +182,10 @@ def _best(index: Index, at: np.ndarray, score: np.ndarray, most: int) -> tuple[n
     return at[order], score[order]
 
 
-def nearest_of_label(index: Index, row: int, label: int, query: np.ndarray, most: int = POSITIVES) -> tuple[np.ndarray, np.ndarray]:
-    """The best other rows of the label and their scores."""
+def nearest_others(index: Index, row: int, query: np.ndarray, most: int = POSITIVES) -> tuple[np.ndarray, np.ndarray]:
+    """The best rows but one, and their scores."""
     at, score = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def own(cell: int) -> tuple[int, int]:
-        a, b = index.starts[cell], index.starts[cell + 1]
-        low, high = np.searchsorted(index.label[a:b], (label, label + 1))
-        return a + low, a + high
-
-    for bound, places, values in _visited(index, query, own):
+    for bound, places, values in index.visited(query):
         other = index.row[places] != row
         at, score = _best(index, np.concatenate([at, places[other]]), np.concatenate([score, values[other]]), most)
         if len(at) == most and bound < score[-1]:
@@ -183,9 +199,10 @@ def in_windows(index: Index, label: int, query: np.ndarray, windows: list[tuple[
     pending = [i for i, (low, high) in enumerate(windows) if low <= high]
     if not pending:
         return found
-    for bound, places, values in _visited(index, query, lambda cell: (index.starts[cell], index.starts[cell + 1])):
-        other = (index.label[places] != label) & (values >= min(windows[i][0] for i in pending))
-        places, values = places[other], values[other]
+    for bound, places, values in index.visited(query):
+        keep = np.flatnonzero((values >= min(windows[i][0] for i in pending)) & (values <= max(windows[i][1] for i in pending)))
+        keep = keep[index.label[places[keep]] != label]
+        places, values = places[keep], values[keep]
         for i in list(pending):
             low, high = windows[i]
             inside = (values >= low) & (values <= high)
@@ -199,7 +216,7 @@ def in_windows(index: Index, label: int, query: np.ndarray, windows: list[tuple[
 
 
 def searched(rows: DataFrame, anchors: DataFrame, blocks: int, books: list[np.ndarray], dims: int, look, kind: str) -> DataFrame:
-    """``look(index, anchor record, its vector)`` for every block and anchor; it yields records of ``kind``.
+    """``look(block, anchor record, its vector)`` for every block and anchor; it yields records of ``kind``.
 
     The rows of a block come first, then the anchors in batches; a task holds one block at a time.
     """
@@ -224,7 +241,7 @@ def searched(rows: DataFrame, anchors: DataFrame, blocks: int, books: list[np.nd
                     parts.append((*(np.asarray(part.column(c)) for c in ("row", "id", "label")), vectors))
                     continue
                 if index is None and parts:
-                    index, parts = Index(*(np.concatenate(x) for x in zip(*parts, strict=True)), held.value), []
+                    index, parts = Block(*(np.concatenate(x) for x in zip(*parts, strict=True)), held.value), []
                 if index is not None:
                     out = [r for anchor, query in zip(part.select(["row", "id", "label", *extra]).to_pylist(), vectors, strict=True) for r in look(index, anchor, query)]
                     yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], f.type) for n, f in zip(names, form, strict=True)], schema=form)
@@ -242,8 +259,10 @@ def mine(rows: DataFrame, anchor: str = "id % 50 = 0", positives: int = POSITIVE
     books = codebooks(rows, dims, codes)
     anchors = rows.where(anchor)
 
-    def near(index, record, query):
-        at, score = nearest_of_label(index, record["row"], record["label"], query, positives)
+    def near(block, record, query):
+        if (index := block.of.get(record["label"])) is None:
+            return
+        at, score = nearest_others(index, record["row"], query, positives)
         for i, s in zip(at.tolist(), score.tolist(), strict=True):
             yield {"anchor": record["row"], "positive_id": int(index.ids[i]), "score": s, "row": int(index.row[i])}
 
@@ -256,7 +275,8 @@ def mine(rows: DataFrame, anchor: str = "id % 50 = 0", positives: int = POSITIVE
     def window(score: int) -> tuple[int, int]:
         return -(-low * score // 100), high * score // 100
 
-    def hard(index, record, query):
+    def hard(block, record, query):
+        index = block.all
         found = in_windows(index, record["label"], query, [window(p["score"]) for p in record["positives"]], negatives)
         for p, (at, score) in zip(record["positives"], found, strict=True):
             for i, s in zip(at.tolist(), score.tolist(), strict=True):
