@@ -377,7 +377,7 @@ def permutation_null(v: Views) -> DataFrame:
 @query
 def exact_null(v: Views) -> DataFrame:
     return T.exact_null(T.shape(v.tree_edges())).select(
-        F.col("k").cast("bigint").alias("k"), F.col("changes").cast("bigint").alias("changes"), r6("share")).filter("share > 0")
+        F.col("k").cast("bigint").alias("k"), F.col("changes").cast("bigint").alias("changes"), r6("log_share"))
 
 
 @query

@@ -9,11 +9,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeflow.functions import polynomials as poly
 from cladeflow.functions.sequence import portable_hash
-from cladeflow.operators.common import checkpoint, sized_join
+from cladeflow.operators.common import checkpoint, sized_join, task_count
 from cladeflow.operators.stats import log_gamma
 from cladeflow.params import PERMUTATIONS, SEED
 
@@ -152,55 +155,121 @@ def clumping_test(tree: Tree, presence: DataFrame, n_perms: int = PERMUTATIONS,
         "gene", "n_tips", "changes_observed", "changes_expected", "p_clumped")
 
 
+_COEFFICIENTS = "parent string, child string, t int, cap int, cup int, block int, low int, logs array<double>"
+
+
+def _bundles(tips: DataFrame) -> DataFrame:
+    """Tips under one parent as one table: n over k placements, no change, and the states they share and take."""
+    def make(parts):
+        for part in parts:
+            rows = []
+            for parent, t, block in zip(part["parent"], part["t"], part["block"]):
+                ks = np.arange(block * poly.BLOCK, (block + 1) * poly.BLOCK)
+                logs = np.full(poly.BLOCK, -np.inf)
+                logs[ks <= t] = poly.log_binomials(t, ks[ks <= t])
+                for cap, cup, here in ((1, 1, ks == 0), (2, 2, ks == t), (0, 3, (ks > 0) & (ks < t))):
+                    if here.any():
+                        rows.append((parent, "", t, cap, cup, block, 0, np.where(here, logs, -np.inf)))
+            yield pd.DataFrame(rows, columns=[f.split()[0] for f in _COEFFICIENTS.split(", ")])
+
+    cut = tips.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor(F.col("t") / poly.BLOCK).cast("int"))))
+    return cut.select("parent", "t", "block").mapInPandas(make, _COEFFICIENTS)
+
+
+def _tables(part: pd.DataFrame) -> list[np.ndarray]:
+    return [np.asarray(x, dtype=float).reshape(-1, poly.BLOCK) for x in part["logs"]]
+
+
+def _products(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Products of the two tables of each pair of siblings, block by block, as parts of the result's blocks.
+
+    A block of one sibling is sent to every block of the other, under the key of both, so that no task holds a whole
+    table and a heavy pair is as many groups as it has pairs of blocks.
+    """
+    other = F.sequence(F.lit(0), F.floor(F.col("t_other") / poly.BLOCK).cast("int"))
+    met = (rows.join(pairs, ["parent", "half"]).withColumn("side", F.col("place") % 2)
+           .withColumn("t_other", F.when(F.col("side") == 0, F.col("t1")).otherwise(F.col("t0")))
+           .withColumn("beside", F.explode(other)))
+    met = met.select("parent", "half", "t0", "t1", "side", "cap", "cup", "low", "logs", *[
+        F.when(F.col("side") == side, F.col("block")).otherwise(F.col("beside")).alias(f"b{side}") for side in (0, 1)])
+
+    def multiply(part: pd.DataFrame) -> pd.DataFrame:
+        first, sides, found = part.iloc[0], [], {}
+        for side in (0, 1):
+            own = part[part["side"] == side]
+            sides.append(list(zip(own["cap"], own["cup"], own["low"], _tables(own))))
+        for cap_x, cup_x, low_x, x in sides[0]:
+            for cap_y, cup_y, low_y, y in sides[1]:
+                found.setdefault((cap_x & cap_y, cup_x | cup_y), []).append((low_x + low_y, poly.product(x, y)))
+        rows = []
+        for (cap, cup), parts in found.items():
+            low, table = poly.total(parts)
+            for step, piece in enumerate((table[:, :poly.BLOCK], table[:, poly.BLOCK:])):
+                wide = np.full((len(piece), poly.BLOCK), -np.inf)
+                wide[:, :piece.shape[1]] = piece
+                if np.isfinite(wide).any():
+                    rows.append((first["parent"], int(first["half"]), int(first["t0"] + first["t1"]), cap, cup, int(first["b0"] + first["b1"] + step), low, wide.ravel()))
+        return pd.DataFrame(rows, columns=["parent", "place", "t", "cap", "cup", "block", "low", "logs"])
+
+    return met.groupBy("parent", "half", "b0", "b1").applyInPandas(
+        multiply, "parent string, place int, t int, cap int, cup int, block int, low int, logs array<double>")
+
+
+def _summed(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Sums of the tables with one key and block."""
+    keys = [*by, "block"]
+    kind = ", ".join(f"{rows.schema[c].name} {rows.schema[c].dataType.simpleString()}" for c in keys) + ", low int, logs array<double>"
+
+    def add(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        low, table = poly.total(list(zip(part["low"], _tables(part))))
+        return pd.DataFrame([(*key, int(low), table.ravel())], columns=[*keys, "low", "logs"])
+
+    return rows.groupBy(*keys).applyInPandas(add, kind)
+
+
 def exact_null(tree: Tree) -> DataFrame:
-    """Exact distribution of the parsimony score over all placements: ``(k, changes, share)``.
+    """Exact distribution of the parsimony score over all placements: ``(k, changes, share, log_share)``.
 
-    For every number k of carriers, the share of the placements of k carriers on the tips that
-    need that many changes.  A subtree is known by its tips, the states its children share
-    (``cap``) and take (``cup``), its carriers and its score; siblings combine two and two, weighed
-    by the chance that k carriers split between them in that way, so no count overflows.
-    Tips under one parent are one row for each k.  Rows grow with tips times scores, not with placements.
+    For every number k of carriers, the share of the placements of k carriers on the tips that need that many changes;
+    ``log_share`` is its logarithm and holds where the share is too small for a double.  A subtree is a generating
+    polynomial: coefficients by carriers and score for each pair of states that its children share (``cap``) and take
+    (``cup``).  Siblings are multiplied two and two, in blocks of k, so the longest chain at a node is the logarithm of its children.
+    Tips under one parent are one polynomial.  Rows grow with tips times scores, not with placements.
     """
-    size = lambda t, k: log_gamma(t + 1.0) - log_gamma(k + 1.0) - log_gamma(t - k + 1.0)
-    risen = None
-    for depth in range(tree.max_depth, -1, -1):
-        parents = tree.level(depth).filter("NOT is_tip").select(F.col("node").alias("parent"))
-        if depth == 0 and tree.n_nodes == 1:
-            break
+    spark, risen = tree.nodes.sparkSession, None
+    if tree.n_nodes == 1:        # a single tip
+        return tree.nodes.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), F.lit(0).alias("changes"), F.lit(1.0).alias("share"), F.lit(0.0).alias("log_share"))
+    for depth in range(tree.max_depth - 1, -1, -1):
         tips = tree.level(depth + 1).filter("is_tip").groupBy("parent").agg(F.count("*").cast("int").alias("t"))
-        bundles = tips.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("t")))).select(
-            "parent", F.lit("").alias("child"), "t", "k", F.lit(0).alias("changes"),
-            F.when(F.col("k") == 0, 1).when(F.col("k") == F.col("t"), 2).otherwise(0).alias("cap"),
-            F.when(F.col("k") == 0, 1).when(F.col("k") == F.col("t"), 2).otherwise(3).alias("cup"), F.lit(1.0).alias("share"))
-        rows = bundles
+        rows = _bundles(tips.repartition(task_count(spark), "parent"))
         if risen is not None:
             up = tree.level(depth + 1).select(F.col("node").alias("child"), "parent")
             rows = rows.unionByName(risen.join(up, "child").select(
-                "parent", "child", "t", "k", "changes", F.col("mask").alias("cap"), F.col("mask").alias("cup"), "share"))
+                "parent", "child", "t", F.col("mask").alias("cap"), F.col("mask").alias("cup"), "block", "low", "logs"))
+        rows = checkpoint(rows)
         order = Window.partitionBy("parent").orderBy("child")
-        places = rows.select("parent", "child").distinct().withColumn("place", F.row_number().over(order) - 1)
-        rows = checkpoint(rows.join(places, ["parent", "child"]).drop("child"))
-        most = rows.agg(F.max("place")).first()[0] or 0
-        while most > 0:
-            half = F.floor(F.col("place") / 2).alias("half")
-            pair = [rows.filter(F.col("place") % 2 == odd).select("parent", half, *[F.col(c).alias(f"{c}{odd}") for c in ("t", "k", "changes", "cap", "cup", "share")]) for odd in (0, 1)]
-            t, k = F.col("t0") + F.col("t1"), F.col("k0") + F.col("k1")
-            split = F.exp(size(F.col("t0"), F.col("k0")) + size(F.col("t1"), F.col("k1")) - size(t, k))
-            met = pair[0].join(pair[1], ["parent", "half"]).groupBy(
-                "parent", F.col("half").alias("place"), t.alias("t"), k.alias("k"), (F.col("changes0") + F.col("changes1")).alias("changes"),
-                F.col("cap0").bitwiseAND(F.col("cap1")).alias("cap"), F.col("cup0").bitwiseOR(F.col("cup1")).alias("cup")).agg(
-                F.sum(F.col("share0") * F.col("share1") * split).alias("share"))
-            last = rows.groupBy("parent").agg(F.max("place").alias("last")).filter(F.col("last") % 2 == 0)
-            odd_one = rows.join(last, "parent").filter(F.col("place") == F.col("last")).withColumn("place", F.floor(F.col("place") / 2)).drop("last")
-            rows = checkpoint(met.unionByName(odd_one))
-            most //= 2
+        places = rows.groupBy("parent", "child").agg(F.first("t").alias("t")).withColumn("place", F.row_number().over(order) - 1)
+        places = checkpoint(places)
+        rows = checkpoint(rows.join(places.select("parent", "child", "place"), ["parent", "child"]).drop("child"))
+        sizes = places.select("parent", "place", "t")
+        while (sizes.agg(F.max("place")).first()[0] or 0) > 0:
+            half = F.floor(F.col("place") / 2).cast("int")
+            halves = checkpoint(sizes.groupBy("parent", half.alias("half")).agg(
+                F.sum("t").cast("int").alias("t"), F.min_by("t", "place").alias("t0"), F.max_by("t", "place").alias("t1"), F.count("*").alias("n")))
+            halved = rows.withColumn("half", half)
+            met = _summed(_products(halved.drop("t"), halves.filter("n = 2").drop("t", "n")), ["parent", "place", "t", "cap", "cup"])
+            alone = halved.join(halves.filter("n = 1").select("parent", "half"), ["parent", "half"]).withColumn("place", F.col("half")).drop("half")
+            rows = checkpoint(met.unionByName(alone.select(*met.columns)))
+            sizes = halves.select("parent", F.col("half").alias("place"), "t")
         mask = F.when(F.col("cap") != 0, F.col("cap")).otherwise(F.col("cup"))
-        risen = checkpoint(rows.join(parents, "parent").groupBy(
-            F.col("parent").alias("child"), "t", "k", (F.col("changes") + F.when(F.col("cap") == 0, 1).otherwise(0)).alias("changes"), mask.alias("mask")).agg(
-            F.sum("share").alias("share")).filter("share > 0"))
-    if risen is None:        # a single tip
-        return tree.nodes.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), F.lit(0).alias("changes"), F.lit(1.0).alias("share"))
-    return risen.groupBy("k", "changes").agg(F.sum("share").alias("share"))
+        low = F.col("low") + F.when(F.col("cap") == 0, 1).otherwise(0)
+        risen = checkpoint(_summed(rows.select(F.col("parent").alias("child"), "t", mask.alias("mask"), "block", low.cast("int").alias("low"), "logs"), ["child", "t", "mask"]))
+    whole = _summed(risen.select("t", "block", "low", "logs"), ["t"])
+    cells = whole.select("t", "block", "low", F.posexplode("logs").alias("at", "log")).filter(F.col("log") > float("-inf"))
+    k, n = F.col("block") * poly.BLOCK + F.col("at") % poly.BLOCK, F.col("t").cast("double")
+    chance = F.col("log") - (log_gamma(n + 1.0) - log_gamma(k + 1.0) - log_gamma(n - k + 1.0))
+    return cells.select(k.alias("k"), (F.col("low") + F.floor(F.col("at") / poly.BLOCK)).cast("int").alias("changes"),
+                        F.least(chance, F.lit(0.0)).alias("log_share")).withColumn("share", F.exp("log_share"))
 
 
 def exact_test(tree: Tree, presence: DataFrame) -> DataFrame:

@@ -35,6 +35,9 @@ PROTEIN_SCREEN = ScreenParams(5, 0.20, 0.90, 0.60, PROTEIN_SCORES)
 REPLICON_SCREEN = ScreenParams(12, 0.30, 0.95, 0.60, NUCLEOTIDE_SCORES)
 
 
+MAX_CANDIDATES = 25          # candidate families listed and aligned per protein
+
+
 @dataclass(frozen=True)
 class FamilyParams:
     """Gene-family clustering."""
@@ -44,9 +47,10 @@ class FamilyParams:
     min_coverage: float = 0.70
     prefilter: float = 0.0
     scores: Scoring = PROTEIN_SCORES
+    max_candidates: int = MAX_CANDIDATES
+    wave: int = 5               # candidates aligned in the first wave; each next one is twice as long
 
 
-MAX_CANDIDATES = 25          # candidate families listed per protein
 MIN_PROTEIN_AA = 30          # shortest protein kept for screening
 SOFT_CORE_FRACTION = 0.95
 SKETCH_K = 31

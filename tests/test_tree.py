@@ -1,6 +1,7 @@
 """Parsimony, permutation null, neighbour joining, rooting and Newick."""
 
 import itertools
+import math
 import random
 
 import pytest
@@ -200,6 +201,58 @@ def test_exact_null_counts_all_placements(spark):
         assert set(got) == set(want) and all(got[x] == pytest.approx(want[x]) for x in want)
 
 
+def counted_placements(children, node):
+    """(k, score, mask) -> number of placements, by plain sums over all splits."""
+    if node not in children:
+        return {(0, 0, 1): 1, (1, 0, 2): 1}
+    met = {(0, 0, 3, 0): 1}
+    for child in children[node]:
+        own, new = counted_placements(children, child), {}
+        for (k, s, cap, cup), n in met.items():
+            for (j, c, mask), m in own.items():
+                key = (k + j, s + c, cap & mask, cup | mask)
+                new[key] = new.get(key, 0) + n * m
+        met = new
+    out = {}
+    for (k, s, cap, cup), n in met.items():
+        key = (k, s + (cap == 0), cap or cup)
+        out[key] = out.get(key, 0) + n
+    return out
+
+
+@pytest.mark.parametrize("tips, most", [(45, 3), (70, 9), (40, 2)])
+def test_exact_null_by_blocks_equals_plain_sums(spark, tips, most):
+    rng = random.Random(tips)
+    children, free, n = {}, [f"t{i}" for i in range(tips)], 0
+    while len(free) > 1:
+        rng.shuffle(free)
+        take = free[:rng.randint(2, most)]
+        free = free[len(take):] + [f"n{n}"]
+        children[f"n{n}"], n = take, n + 1
+    root = free[0]
+    edges = [(root, None, 0.0)] + [(c, p, 1.0) for p, own in children.items() for c in own]
+    tree = T.shape(spark.createDataFrame(edges, "node string, parent string, length double"))
+    want, sums = {}, {}
+    for (k, s, _), count in counted_placements(children, root).items():
+        want[k, s] = want.get((k, s), 0) + count
+        sums[k] = sums.get(k, 0) + count
+    got = {(r.k, r.changes): r.log_share for r in T.exact_null(tree).collect()}
+    assert set(got) == set(want)
+    assert all(abs(got[k, s] - math.log(want[k, s] / sums[k])) < 1e-9 for k, s in want)
+
+
+def test_exact_null_keeps_shares_below_the_smallest_double(spark):
+    edges = [("root", None, 0.0)] + [(f"p{i}", "root", 1.0) for i in range(3)] + [(f"t{i}", f"p{i % 3}", 1.0) for i in range(1500)]
+    rows = T.exact_null(T.shape(spark.createDataFrame(edges, "node string, parent string, length double"))).collect()
+    got = {(r.k, r.changes): r.log_share for r in rows}
+    # 500 carriers need one change only as all the tips of one parent
+    choose = math.lgamma(1501) - math.lgamma(501) - math.lgamma(1001)
+    assert abs(got[500, 1] - (math.log(3) - choose)) < 1e-7 and got[500, 1] < -745
+    for k in (1, 499, 500, 750, 1499):
+        assert abs(sum(r.share for r in rows if r.k == k) - 1) < 1e-9
+    assert {k for k, _ in got} == set(range(1501))
+
+
 def test_exact_test_gives_the_share_at_or_below(spark):
     edges = random_edges(random.Random(3), 8)
     tips = [f"t{i}" for i in range(8)]
