@@ -29,7 +29,7 @@ from .components import components
 GRAM, PERCENT = 5, 80
 FREQUENT = 16                # an indexed token of more sets than this moves to the end of the order
 ORDERED = 1 << 18            # so many of the most frequent tokens at most are held by each task; it bounds memory, not results
-LEADERS, ROUNDS = 8, 2
+LEADERS, ROUNDS = 8, 3
 BITS = 512                   # bits of a set's parity map
 KNOWN = 1 << 18              # words whose hash a worker keeps
 KEY = ["n", "sa", "sb"]
@@ -224,17 +224,25 @@ def _labelled(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
     return rows.join(light(comps.select(F.col("node").alias("cls"), F.col("comp").alias("_comp"))), "cls", "left").withColumn("comp", F.coalesce("_comp", "cls")).drop("_comp")
 
 
-def led(lists: DataFrame, comps: DataFrame | None, seed: int, percent: int) -> DataFrame:
-    """For every class the leader it shares most tokens with, among those in other components."""
+def _apart(a: str, b: str) -> Column:
+    """In how many bits two parity maps differ."""
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(BITS // 64)), F.lit(0))
+
+
+def led(lists: DataFrame, classes: DataFrame, comps: DataFrame | None, seed: int, percent: int) -> DataFrame:
+    """For every class the nearest leader by parity map, of those in other components that it may link with."""
     head = F.col("heads")[seed]
     met = lists.select(head["cls"].alias("x"), head["n"].alias("n_x"), "cls", "n").where((F.col("x") != F.col("cls")) & may_link(F.col("n"), F.col("n_x"), percent))
-    met = met.groupBy("x", "cls").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
+    met = met.groupBy("x", "cls").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("n_x").alias("n_x"))
+    few = (100 - percent) * F.col("n") / (400 * LEADERS)        # a quarter of what copies share; the rest is left to the pairs
+    met = met.where(F.col("shared") >= few)
     if comps is not None:
         met = _labelled(_labelled(met, comps).withColumnRenamed("comp", "comp_y").withColumnsRenamed({"cls": "y", "x": "cls"}), comps)
         met = met.where("comp <> comp_y").withColumnsRenamed({"cls": "x", "y": "cls"})
-    few = (100 - percent) * F.col("n") / (400 * LEADERS)        # a quarter of what copies share; the rest is left to the pairs
-    best = met.where(F.col("shared") >= few).groupBy(F.col("cls").alias("y")).agg(F.max_by("x", F.struct("shared", "x")).alias("x"))
-    return best.select("x", "y")
+    maps = lambda name: classes.select(F.col("cls").alias(name), F.col("bits").alias(f"bits_{name}"))
+    met = met.join(maps("cls"), "cls").join(maps("x"), "x").withColumn("apart", _apart("bits_cls", "bits_x"))
+    near = met.where(enough((F.col("n") + F.col("n_x") - F.col("apart")) / 2, F.col("n"), F.col("n_x"), percent))
+    return near.groupBy(F.col("cls").alias("y")).agg(F.max_by("x", F.struct(-F.col("apart"), "x")).alias("x")).select("x", "y")
 
 
 def crossing(lists: DataFrame, classes: DataFrame, comps: DataFrame | None, percent: int) -> DataFrame:
@@ -250,7 +258,7 @@ def crossing(lists: DataFrame, classes: DataFrame, comps: DataFrame | None, perc
     small = rows.withColumn("block", F.explode(F.array(F.col("block"), F.col("block") + 1))).select(
         "token", "block", *(F.col(c).alias(f"{c}_y") for c in ("cls", "n", "pos", "comp", "bits")))
     large = rows.select("token", "block", *(F.col(c).alias(f"{c}_z") for c in ("cls", "n", "pos", "comp", "bits")))
-    apart = sum((F.bit_count(F.col("bits_y")[i].bitwiseXOR(F.col("bits_z")[i])) for i in range(BITS // 64)), F.lit(0))
+    apart = _apart("bits_y", "bits_z")
     left = F.least(F.col("n_y") - F.col("pos_y"), F.col("n_z") - F.col("pos_z"))
     ordered = (F.col("n_y") < F.col("n_z")) | ((F.col("n_y") == F.col("n_z")) & (F.col("cls_y") < F.col("cls_z")))
     met = (small.join(large, ["token", "block"])
@@ -270,7 +278,7 @@ def link(docs: DataFrame, gram: int = GRAM, percent: int = PERCENT, rounds: int
     lists = index_lists(docs, classes, frequent_tokens(marks, classes), gram, percent)
     comps, edges, leaders, stored = None, None, None, None
     for seed in range(rounds):
-        pairs = written(led(lists, comps, seed, percent))
+        pairs = written(led(lists, classes, comps, seed, percent))
         if not pairs.head(1):
             break
         ends = pairs.select(F.explode(F.array("x", "y")).alias("cls"))
