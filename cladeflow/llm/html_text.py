@@ -44,24 +44,48 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 Block = tuple[str, int, int, bool, bool]      # text, words, linked words, in furniture, in the article
 
 
-def context(name: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is furniture, and whether it is an article."""
-    furniture, article = name in FURNITURE, name in ("article", "main")
+# Parts of class names that say how a page is laid out, not what an element is.
+LAYOUT_FIRST = {"has", "no", "with", "without", "is", "not", "hide", "show"}
+LAYOUT_LAST = {"open", "closed", "on", "off", "enabled", "disabled", "active", "layout"}
+
+
+def named(token: str, whole: bool) -> tuple[bool, bool, bool]:
+    """Whether a class or id names furniture, an article, or the header of an article.
+
+    A name like ``has-sidebar`` or ``comments-open`` is about the layout and names nothing.  With ``whole`` only names of one part
+    count as furniture: an article is not furniture because of what it is filed under.
+    """
+    parts = NAME_PART.findall(token)
+    if len(parts) > 1 and (parts[0] in LAYOUT_FIRST or parts[-1] in LAYOUT_LAST):
+        return False, False, False
+    article = not ARTICLE_NAMES.isdisjoint(parts)
+    if len(parts) > 1 and parts[0] in ARTICLE_NAMES and parts[-1] == "header":
+        return False, True, True
+    return not FURNITURE_NAMES.isdisjoint(parts) and (len(parts) == 1 or not whole), article, False
+
+
+def context(name: str, attributes: str) -> tuple[bool, bool, bool]:
+    """Whether an element is furniture, whether it is an article, and whether it is the header of one."""
+    furniture, article, head = name in FURNITURE, name in ("article", "main"), False
     if attributes and not attributes.isspace():
-        for key, *values in ATTRIBUTE.findall(attributes):
-            key, value = key.lower(), "".join(values).lower()
+        found = [(key.lower(), "".join(values).lower()) for key, *values in ATTRIBUTE.findall(attributes)]
+        whole = article or any(
+            value in ("main", "article") if key == "role" else key == "class" and not ARTICLE_NAMES.isdisjoint(value.split()) for key, value in found)
+        for key, value in found:
             if key == "role":
                 furniture |= value in FURNITURE_ROLES
                 article |= value in ("main", "article")
             elif key in ("class", "id") and name != "body" and name != "html":
-                parts = set(NAME_PART.findall(value))
-                furniture |= not parts.isdisjoint(FURNITURE_NAMES)
-                article |= not parts.isdisjoint(ARTICLE_NAMES) and name not in HEADINGS
+                for token in value.split():
+                    own, text, top = named(token, whole)
+                    furniture |= own
+                    article |= text and name not in HEADINGS
+                    head |= top and name not in HEADINGS
             elif key == "itemprop":
                 article |= value == "articlebody"
             else:
                 furniture |= key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", ""))
-    return furniture, article
+    return furniture, article, head
 
 
 def blocks(page: str) -> list[Block]:
@@ -118,7 +142,7 @@ def blocks(page: str) -> list[Block]:
                     if inline[i][0] == name:
                         del inline[i:]
                         break
-            elif name not in EMPTY and name != "a" and (inline or attributes and context(name, attributes)[0]):
+            elif name not in EMPTY and (inline or attributes and context(name, attributes)[0]):
                 inline.append((name, len(stack)))
             continue
         flush()
@@ -140,11 +164,11 @@ def blocks(page: str) -> list[Block]:
         else:
             if stack and stack[-1][0] == "head" and name not in HEAD:
                 stack.pop()
-            own, main = context(name, attributes)
+            own, main, top = context(name, attributes)
             heading = name in HEADINGS
             before = stack[-1] if stack else ("", False, False, False)
-            if name == "header" and before[2] and own and not before[1]:
-                stack.append((name, before[1], before[2], True))
+            if not before[1] and (name == "header" and before[2] and own or top and not own):
+                stack.append((name, before[1], before[2] or top, True))
             elif name not in EMPTY and (name not in HEADINGS and name != "p" or own or main):
                 stack.append((name, before[1] or own, before[2] or main, before[3]))
             elif name == "p" and stack and stack[-1][0] == "p":

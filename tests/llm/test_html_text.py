@@ -61,3 +61,18 @@ def test_nulls_repeats_long_pages_and_no_pages(spark):
 ])
 def test_inline_furniture_ends_with_its_element(page, want):
     assert html_text.main_text(page, TREE) == want
+
+
+@pytest.mark.parametrize("page,want", [
+    ('<div class="layout has-sidebar"><article><h1>T</h1><p>Text.</p></article><div class="sidebar"><p>Side</p></div></div>', "T Text."),
+    ('<div class="with-header no-sidebar"><main><p>Text of it.</p></main></div>', "Text of it."),
+    ('<article class="post tag-social category-legal"><p>Text.</p></article>', "Text."),
+    ('<div class="post tag-social"><p>Text.</p><div class="category-menu"><a>Menu</a></div></div>', "Text."),
+    ('<article class="entry comments-open"><p>Text.</p></article>', "Text."),
+    ('<article><div class="post-header"><h1>Title</h1><p>By us</p></div><p>Text</p></article>', "Title Text"),
+    ('<article><p>A <a class="share" href="x">Share</a> B <a aria-hidden="true">#</a> C <a href="y">kept</a></p></article>', "A B C kept"),
+    ('<article><p>Text</p><section id="comments"><article class="comment"><p>Reader</p></article></section></article>', "Text"),
+    ('<article><p>Text</p></article><article class="related"><p>Read this too</p></article><div class="site-sidebar"><p>Side</p></div>', "Text"),
+])
+def test_class_names_of_layouts_are_no_furniture(page, want):
+    assert html_text.main_text(page, TREE) == want
