@@ -28,7 +28,7 @@ from .common import mapped, texts, to_arrow
 END = 1
 FIRST = 1 << 16            # the first nonterminal
 BLOCK = 1 << 18            # ids of a block
-PASSES, RULES, LEAST = 6, 512, 12      # passes over a block, rules of a pass, and how often a pair must occur
+RULES, LEAST = 4096, 12    # rules of one pass over a block, and how often a pair must occur; passes go on until none does
 EVERY = 64
 CACHE = 1 << 19
 BLANK = re.compile("[ \t\n\r\x0b\x0c]+")
@@ -68,12 +68,10 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def compress(ids: np.ndarray, passes: int = PASSES, rules: int = RULES, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """Rules (pairs, the first one is nonterminal ``FIRST``) and compressed ids."""
+def compress(ids: np.ndarray, rules: int = RULES, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """Rules (pairs, the first one is nonterminal ``FIRST``) and compressed ids, in which no pair occurs ``least`` times."""
     made, body = [], ids
-    for _ in range(passes):
-        if len(body) < 2:
-            break
+    while len(body) > 1:
         keys = (body[:-1] << 32) | body[1:]
         slots = ((keys * np.int64(-7046029254386353131)) >> 46) & ((1 << 18) - 1)
         often = np.bincount(slots, minlength=1 << 18)[slots] >= least       # most pairs are rare and are not sorted

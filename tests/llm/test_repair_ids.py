@@ -39,6 +39,16 @@ def test_repeats_are_compressed():
     assert len(body) < len(ids) / 20
 
 
+def test_passes_go_on_until_no_pair_is_frequent():
+    rules, body = rp.compress(np.full(65536, 7))
+    assert len(rules) + len(body) <= 40 and rp.Grammar(rules).expand(body).tolist() == [7] * 65536
+    ids = np.tile(np.arange(100, 200), 3000)
+    rules, body = rp.compress(ids)
+    keys, counts = np.unique((body[:-1] << 32) | body[1:], return_counts=True)
+    assert counts.max(initial=0) < rp.LEAST and len(rules) + len(body) < 600
+    assert rp.Grammar(rules).expand(body).tolist() == ids.tolist()
+
+
 def test_files_give_every_document_in_order(spark):
     texts = ["", None, "so it goes", "so it goes " * 400, "x", "ÉCOLE d'été", "a" * 3000]
     rows = [(i, texts[i % len(texts)], 0) for i in range(60, 0, -1)] + [(7, "zzz", 0), (7, "zzz", 0), (None, "none", 0)]
