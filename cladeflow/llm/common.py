@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cladeflow.operators.common import one_machine
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -22,9 +24,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; set here only where it is unset, as in tests."""
+    """The folder all executors share: ``spark.checkpoint.dir``; set here only where it is unset on one machine, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not one_machine(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="cladeflow-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -57,15 +61,22 @@ def light(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
-def mapped(df: DataFrame, step: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """Apply ``step`` to every Arrow batch; it returns the columns of ``schema`` by name."""
+def mapped(df: DataFrame, step: Callable[[pa.RecordBatch], dict], schema: str, forget: Callable[[], None] | None = None) -> DataFrame:
+    """Apply ``step`` to every Arrow batch; it returns the columns of ``schema`` by name.
+
+    ``forget`` is called at the end of a task: workers are used again, and what one stage keeps is lost memory to the next.
+    """
     kind = to_arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                columns = step(batch)
-                yield pa.RecordBatch.from_arrays([_array(columns[f.name], f.type) for f in kind], schema=kind)
+        try:
+            for batch in batches:
+                if batch.num_rows:
+                    columns = step(batch)
+                    yield pa.RecordBatch.from_arrays([_array(columns[f.name], f.type) for f in kind], schema=kind)
+        finally:
+            if forget:
+                forget()
 
     return df.mapInArrow(run, schema)
 
@@ -97,6 +108,14 @@ def raw(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, made longer until no column is called so, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(column) -> object:
     """Lower-case A-Z only, as a Spark expression."""
     return F.translate(column, UPPER, LOWER)

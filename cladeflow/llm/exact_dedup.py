@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWERED, ascii_lower, mapped, raw, written
+from .common import LOWERED, ascii_lower, mapped, raw, unused, written
 
 PRIMES = (2147483647, 2147483629)      # below 2^31, so a product with a byte leaves room for long sums
 BASES = (911382323, 972663749)
@@ -136,10 +136,11 @@ def decisions(docs: DataFrame, primes: tuple[int, ...] = PRIMES, huge: int = HUG
 
 def kept_documents(docs: DataFrame, primes: tuple[int, ...] = PRIMES) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    stay = written(decisions(docs, primes).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "copies"))
-    own = docs.withColumn("_own", F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256))
-    kept = own.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left_semi")
-    if not stay.where("copies > 1").isEmpty():          # rows of one document that is listed several times
-        one = Window.partitionBy("doc_id", "_own").orderBy(F.lit(1))
-        kept = kept.withColumn("_row", F.row_number().over(one)).where("_row = 1").drop("_row")
-    return kept.drop("_own")
+    id_, sha, own_sha, row = (unused(docs.columns, n) for n in ("_id", "_sha", "_own", "_row"))
+    stay = written(decisions(docs, primes).where("kept").select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha), F.col("copies").alias("many")))
+    own = docs.withColumn(own_sha, F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256))
+    kept = own.join(stay.select(id_, sha), own["doc_id"].eqNullSafe(F.col(id_)) & (own[own_sha] == F.col(sha)), "left_semi")
+    if not stay.where("many > 1").isEmpty():          # rows of one document that is listed several times
+        one = Window.partitionBy("doc_id", own_sha).orderBy(F.lit(1))
+        kept = kept.withColumn(row, F.row_number().over(one)).where(F.col(row) == 1).drop(row)
+    return kept.drop(own_sha)

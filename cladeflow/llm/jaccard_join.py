@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWERED, light, mapped, raw, to_arrow, written
+from .common import LOWERED, light, mapped, raw, to_arrow, unused, written
 from .components import components
 
 GRAM, PERCENT = 5, 80
@@ -87,6 +87,11 @@ def parity(tokens: np.ndarray, bits: int = BITS) -> np.ndarray:
     return np.packbits((flips & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def forget() -> None:
+    """Drop the word hashes kept by this worker."""
+    _words.clear()
+
+
 def _signed(value: np.ndarray) -> list[int]:
     return np.asarray(value, np.uint64).view(np.int64).tolist()
 
@@ -102,7 +107,7 @@ def sets(docs: DataFrame, frequent: np.ndarray, gram: int = GRAM, percent: int =
             "tokens": [indexed(s, late, percent).view(np.int64) for s in own], "bits": [parity(s) for s in own]}
         return {"doc_id": batch.column("doc_id"), "n": [len(s) for s in own], "sa": mark(1), "sb": mark(2)} | last
 
-    return mapped(docs.select("doc_id", "text"), step, "doc_id long, n long, sa long, sb long, " + ("data binary" if whole else "tokens array<long>, bits array<long>"))
+    return mapped(docs.select("doc_id", "text"), step, "doc_id long, n long, sa long, sb long, " + ("data binary" if whole else "tokens array<long>, bits array<long>"), forget)
 
 
 def class_of(marks: DataFrame) -> DataFrame:
@@ -334,5 +339,6 @@ def _joined(edges: DataFrame | None, new: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that name their component: one document of each group; rows without an id stay."""
-    stay = link(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, docs["doc_id"] == F.col("_id"), "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    name = unused(docs.columns, "_id")
+    stay = link(docs).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(stay, docs["doc_id"] == F.col(name), "left_semi").unionByName(docs.where("doc_id IS NULL"))

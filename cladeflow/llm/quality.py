@@ -28,7 +28,7 @@ SAMPLE = 6_000           # training rows of each class at most
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.2, 1.0, 1e-6, 1e-5
 BIAS = DIMENSIONS        # the slot after the hashed ones
-KNOWN = 1 << 19          # words whose slots a worker keeps
+KNOWN = 1 << 17          # words whose slots a worker keeps
 
 _slots: dict[bytes, tuple[int, int]] = {}
 
@@ -40,7 +40,12 @@ def shape(word: bytes) -> bytes:
         kind = 97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b
         if not out or out[-1] != kind:
             out.append(kind)
-    return bytes(out[:12])
+    return bytes(out)
+
+
+def forget() -> None:
+    """Drop the slots kept by this worker."""
+    _slots.clear()
 
 
 def features(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -104,18 +109,20 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS) -> np.ndarray:
     """Weights learnt from at most ``sample`` labelled rows of each class.
 
-    The rows are drawn by the hash of their ids, and one task learns from them; only weights reach the driver.
+    The rows are drawn by the hash of their ids, and one task learns from them; only weights reach the driver.  Equal rows count
+    once, and of the texts that go by the drawn ids at most ``2 * sample`` are learnt from, those of the lowest hashes.
     """
     marked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "quality")
     drawn = None
     for label in (0, 1):
         own = marked.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         drawn = own if drawn is None else drawn.unionByName(own)
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id", "quality", "text"])
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "text"))
 
     def slots(batch: pa.RecordBatch) -> dict:
         found = [features(x) for x in raw(batch)]
-        return {"doc_id": batch.column("doc_id"), "quality": batch.column("quality"), "slots": [s for s, _ in found], "values": [v for _, v in found]}
+        return {"h": batch.column("h"), "doc_id": batch.column("doc_id"), "quality": batch.column("quality"), "slots": [s for s, _ in found], "values": [v for _, v in found]}
 
     form = to_arrow("weights binary")
 
@@ -125,7 +132,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int =
         weights = train([(s, v, q) for _, q, s, v in got], epochs).astype(np.float32)
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], schema=form)
 
-    found = mapped(rows, slots, "doc_id long, quality int, slots array<int>, values array<double>").repartition(1).mapInArrow(learn, "weights binary").first()
+    taken = mapped(rows, slots, "h long, doc_id long, quality int, slots array<int>, values array<double>", forget)
+    found = taken.orderBy("h", "doc_id", "quality").limit(2 * sample).mapInArrow(learn, "weights binary").first()
     return np.frombuffer(found["weights"], np.float32) if found else np.zeros(DIMENSIONS + 1, np.float32)
 
 
@@ -145,6 +153,14 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 def accepted(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """The rows of ``docs`` with a score of one half or more, with their own columns."""
-    own = docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs
-    kept = score(own, weights).where("score >= 0.5").drop("score")
-    return kept.withColumnRenamed("_score", "score") if "score" in docs.columns else kept
+    held = docs.sparkSession.sparkContext.broadcast(weights)      # of fixed size
+
+    def run(batches):
+        try:
+            for batch in batches:
+                own = held.value
+                yield batch.filter(pa.array([logistic(dot(*features(x), own)) >= 0.5 for x in raw(batch)], pa.bool_()))
+        finally:
+            forget()
+
+    return docs.mapInArrow(run, docs.schema)

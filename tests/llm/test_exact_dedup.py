@@ -58,3 +58,11 @@ def test_repeated_rows_null_ids_and_the_kept_rows(spark):
     assert kept.columns == df.columns
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, "x", 7), (2, "Y", 8), (4, "", 9), (None, "z", 7)], key=str)
     assert dedup.decisions(df.where(F.lit(False))).count() == 0
+
+
+def test_kept_documents_keep_columns_of_any_name(spark):
+    kind = "doc_id long, text string, _id long, _sha string, _own string, _row int, copies long, many long"
+    docs = spark.createDataFrame([(1, "a", 5, "s", "o", 9, 3, 1), (2, "A", 6, "t", "p", 8, 2, 1), (3, "b", 7, "u", "q", 7, 1, 1), (3, "b", 7, "u", "q", 7, 1, 1)], kind)
+    kept = dedup.kept_documents(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == [(2, "A", 6, "t", "p", 8, 2, 1), (3, "b", 7, "u", "q", 7, 1, 1)]

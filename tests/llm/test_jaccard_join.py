@@ -101,3 +101,10 @@ def test_components_of_chains_stars_and_loops(spark):
     draw.shuffle(edges)
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in range(100, 141)}, **{i: 7 for i in [7, *range(20, 60)]}, 1: 1, 2: 1}
+
+
+def test_kept_documents_keep_a_column_called_like_the_id(spark):
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, text, 7, "a"), (2, text, 8, "b"), (3, None, 9, "c")], "doc_id long, text string, _id long, _ID_ string")
+    kept = jj.kept_documents(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [(1, text, 7, "a"), (3, None, 9, "c")]
