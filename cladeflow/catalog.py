@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,11 +17,12 @@ from cladeflow.operators import homology as H
 from cladeflow.operators import presence as P
 from cladeflow.operators import stats as S
 from cladeflow.operators import tree as T
-from cladeflow.operators.common import checkpoint
-from cladeflow.params import DOMAIN_MAX_EVALUE, REPLICON_SCREEN, SKETCH_K
+from cladeflow.operators.common import checkpoint, shared_folder
+from cladeflow.operators.msa import profile_alignment
+from cladeflow.params import DOMAIN_MAX_EVALUE, MIN_PROTEIN_AA, REPLICON_SCREEN, SKETCH_K
 from cladeflow.plans import pangenome
 from cladeflow.plans.phylogeny import all_pairs
-from cladeflow.sources import newick, tables
+from cladeflow.sources import fasta, newick, sinks, tables
 from cladeflow.streaming import resume
 from cladeflow.views import Views
 
@@ -74,6 +76,26 @@ def screen_hits(v: Views) -> DataFrame:
     return H.screen(v.queries(), v.references(), REPLICON_SCREEN)
 
 
+@query
+def genome_screen(v: Views) -> DataFrame:
+    """Genomes (the documents of a language and source, in order of id) against the references, both as nucleotides."""
+    order = Window.partitionBy("strain").orderBy(F.col("contig").cast("bigint"))
+    contigs = v.contigs().withColumn("contig_ord", F.row_number().over(order).cast("bigint"))
+    hits = H.screen_genomes(contigs, v.nucleotides(v.references()), REPLICON_SCREEN)
+    return hits.select(F.col("query_id").alias("strain"), "ref_id", "shared", "score", "identity_pct", "coverage_pct")
+
+
+@query
+def family_alignment(v: Views) -> DataFrame:
+    """Names and types of the parts of a brand, aligned: each row without its gaps, and whether all is as it must be."""
+    names = v.table("part").select(F.col("p_brand").alias("family"), F.col("p_partkey").alias("strain"), F.regexp_replace(F.concat_ws(" ", "p_name", "p_type"), "-", "").alias("seq"))
+    rows = profile_alignment(names)
+    width = Window.partitionBy("family")
+    n = F.length("aligned")
+    return rows.select("family", "strain", F.regexp_replace("aligned", "-", "").alias("residues"),
+                       (F.min(n).over(width) == F.max(n).over(width)).alias("equal_width"), (F.col("score") >= F.col("star_score")).alias("not_under_star"))
+
+
 @query
 def clusters(v: Views) -> DataFrame:
     proteins = v.turns().select(F.col("query_id").alias("gene_key"), "seq")
@@ -161,12 +183,10 @@ def ani_range(v: Views) -> DataFrame:
 @query
 def ani_matrix(v: Views) -> DataFrame:
     sketches, strains = _sketch(v, "source")
-    names = D.wide_names(v.contigs("source").select("strain"))
     pairs = D.ani_pairs(sketches, strains)
-    if names is None:
-        return pairs
-    wide = D.to_wide(pairs, "ani", 100.0, 0.0, names)
-    return wide.select("taxon_name", *[F.round(c, 4).alias(c) for c in names])
+    both = pairs.select("a", "b", "ani").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "ani"))
+    same = v.contigs("source").select(F.col("strain").alias("a")).distinct().select("a", F.col("a").alias("b"), F.lit(100.0).alias("ani"))
+    return both.unionByName(same).select("a", "b", F.round("ani", 4).alias("ani"))
 
 
 @query
@@ -225,10 +245,7 @@ def class_partition(v: Views) -> DataFrame:
 
 @query
 def presence_matrix(v: Views) -> DataFrame:
-    names = D.wide_names(v.table("documents").select("source"))
-    if names is None:
-        return v.tokens().select("family", "strain").distinct()
-    return FM.presence_matrix(v.tokens(), names)
+    return v.tokens().select("family", "strain").distinct()
 
 
 @query
@@ -471,6 +488,61 @@ def fetch_totals(v: Views) -> DataFrame:
     return tables.fetch_totals(tables.fetch_report(*_files(v)))
 
 
+def _written_to(v: Views, name: str) -> str:
+    """A new folder for what a query writes and reads back."""
+    return f"{shared_folder(v.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def proteins_roundtrip(v: Views) -> DataFrame:
+    """Documents as proteins, written as wrapped FASTA by language and read back; the shortest are left out."""
+    letters = F.regexp_replace(F.lower("text"), "[^a-z0-9]", "")
+    genes = v.table("documents").select("lang", F.concat_ws("|", "lang", F.concat(F.lit("gene"), F.col("doc_id").cast("string"))).alias("key"), letters.alias("seq"))
+    path = _written_to(v, "proteins")
+    sinks.write_fasta(genes, path, F.col("key"), by="lang", width=60)
+    back = fasta.read_proteins(v.spark, path, "part-*").filter(F.length("seq") >= MIN_PROTEIN_AA)
+    return back.select("gene_key", "strain", F.length("seq").cast("bigint").alias("length_aa"), F.md5("seq").alias("protein"))
+
+
+@query
+def metadata_roundtrip(v: Views) -> DataFrame:
+    """Isolate metadata written as CSV with NULL tokens and an accession column of an unknown name, and read back."""
+    accession = F.concat(F.lit(" GCA_"), F.lpad(F.col("c_custkey").cast("string"), 9, "0"), F.lit(".1 "))
+    rows = v.table("customer").select(
+        F.col("c_name").alias("label"), accession.alias("where_from"),
+        F.when(F.col("c_acctbal") < 0, "NULL").otherwise(F.col("c_mktsegment")).alias("host_group"),
+        F.when(F.col("c_nationkey") % 2 == 0, F.col("c_nationkey").cast("string")).alias("country"))
+    path = _written_to(v, "metadata")
+    sinks.write_csv(rows, path)
+    raw = tables.read_csv(v.spark, path)
+    known = tables.accessions(raw)
+    return tables.isolate_metadata(raw).join(known, F.col("strain") == F.col("accession"), "left_semi").select("strain", "host_group", "country", "year")
+
+
+@query
+def aro_annotation(v: Views) -> DataFrame:
+    """Resistance hits annotated by accession from a tab-separated index of every second one; the others stay empty."""
+    key = F.col("p_partkey").cast("string")
+    index = v.table("part").filter("p_size % 2 = 0").select(
+        F.concat(F.lit("ARO:3"), key).alias("ARO Accession"), F.col("p_brand").alias("Drug Class"),
+        F.col("p_type").alias("Resistance Mechanism"), F.col("p_name").alias("AMR Gene Family"))
+    path = _written_to(v, "aro")
+    sinks.write_csv(index, path, sep="\t")
+    header = F.concat(F.lit("gb|AC"), key, F.lit("|ARO:3"), key, F.lit("|"), "p_name", F.lit(" [x]"))
+    hits = v.table("part").select("p_partkey", header.alias("query")).withColumn("aro", L.aro_accession(F.col("query")))
+    return hits.join(tables.read_aro(v.spark, path), "aro", "left").select(
+        "p_partkey", "aro", L.card_gene(F.col("query")).alias("gene"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("drug", "mech", "family")])
+
+
+@query
+def supermatrix_roundtrip(v: Views) -> DataFrame:
+    """The concatenated alignment written line by line and read back, one sequence for each taxon."""
+    alignment, _ = D.place_blocks(FM.complete_families(v.blocks(), v.table("region").count()))
+    path = _written_to(v, "supermatrix")
+    sinks.write_supermatrix(D.supermatrix_lines(alignment), path)
+    return fasta.read_fasta(v.spark, path).select(F.col("header").alias("taxon"), F.length("seq").cast("bigint").alias("width"), F.md5("seq").alias("residues"))
+
+
 @query
 def resume_todo(v: Views) -> DataFrame:
     done = v.table("orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))

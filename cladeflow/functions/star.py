@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,8 @@ import pandas as pd
 
 from cladeflow.params import Scoring
 
+COUNTED = re.compile("(.)([0-9]+);", re.S)        # a letter and its count in a column
+
 
 def align_to_centre(member: str, centre: str, scores: Scoring) -> tuple[str, list[str]]:
     """Residue (or gap) under every centre position, and what is inserted before each and at the end.
@@ -54,3 +57,59 @@ def star_rows(scores: Scoring):
                                 "before": [d[1] for d in done]})
 
     return run
+
+
+def align_to_profile(member: str, profile: list[dict[str, int]], scores: Scoring) -> tuple[str, list[str]]:
+    """Residue (or gap) under every column of a profile, and what is inserted before each and at the end.
+
+    A column counts the letters of the other rows.  The score is that of the member's pairs with all of them; a gap over a gap
+    is free, and an insertion meets a gap in every row.  Ties as in ``align_to_centre``.
+    """
+    wide, others = len(profile), max((sum(column.values()) for column in profile), default=0)
+    gaps = np.array([column.get("-", 0) for column in profile], dtype=np.int64)
+    letters = np.array([sum(column.values()) for column in profile], dtype=np.int64) - gaps
+    of = {x: np.array([column.get(x, 0) for column in profile], dtype=np.int64) for x in set(member)}
+    skipped = np.concatenate([[0], np.cumsum(letters * scores.gap)])
+    row = skipped.copy()
+    step = np.full((len(member) + 1, wide + 1), 2, dtype=np.uint8)       # 0 diagonal, 1 insert, 2 skip
+    for i, x in enumerate(member, 1):
+        diagonal = row[:-1] + of[x] * scores.match + (letters - of[x]) * scores.mismatch + gaps * scores.gap
+        insert = row + scores.gap * others
+        new = insert.copy()
+        np.maximum(new[1:], diagonal, out=new[1:])
+        step[i, 1:] = np.where(diagonal >= insert[1:], 0, 1)
+        step[i, 0] = 1
+        best = np.maximum.accumulate(new - skipped) + skipped
+        step[i][best > new] = 2
+        row = best
+    under, before = ["-"] * wide, [""] * (wide + 1)
+    i, j = len(member), wide
+    while i or j:
+        if step[i, j] == 0:
+            i, j = i - 1, j - 1
+            under[j] = member[i]
+        elif step[i, j] == 1:
+            i -= 1
+            before[j] = member[i] + before[j]
+        else:
+            j -= 1
+    return "".join(under), before
+
+
+def profile_rows(scores: Scoring):
+    """Arrow-batched map over ``(family, strain, aligned, profile, anew)`` rows, a column of the profile as ``letter count ;``; rows not marked stay as they are."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            done = []
+            for aligned, profile, anew in zip(pdf["aligned"], pdf["profile"], pdf["anew"]):
+                if not anew:
+                    done.append((aligned, [""] * (len(aligned) + 1)))
+                    continue
+                rest = [{x: int(n) for x, n in COUNTED.findall(column)} for column in profile]
+                for column, letter in zip(rest, aligned):
+                    column[letter] -= 1
+                done.append(align_to_profile(aligned.replace("-", ""), rest, scores))
+            yield pd.DataFrame({"family": pdf["family"], "strain": pdf["strain"], "under": [d[0] for d in done], "before": [d[1] for d in done]})
+
+    return run

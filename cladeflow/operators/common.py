@@ -38,11 +38,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint that outlives any executor."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(_checkpoint_dir(df.sparkSession))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
-def _checkpoint_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, a folder in the warehouse, which all executors share too."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/cladeflow-checkpoints"
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset, a folder in the warehouse if there is only one machine.
+
+    On a cluster the warehouse may be a local folder of each machine, so there the setting is asked for.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not one_machine(spark):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/cladeflow-checkpoints").rstrip("/")
+
+
+def one_machine(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")

@@ -136,8 +136,7 @@ SELECT count(*) AS n_pairs, round(min(ani), 6) AS low, round(max(ani), 6) AS hig
 ORACLE["ani_matrix"] = f"""WITH {_sketch('source')}, {_pairs('sketch', 'strain', 'hash')}, {_ANI},
 both_ways AS (SELECT a, b, ani FROM ani UNION ALL SELECT b, a, ani FROM ani),
 names AS (SELECT DISTINCT source AS a FROM documents)
-SELECT names.a AS taxon_name, {', '.join(f"round(coalesce(max(ani) FILTER (b = '{s}'), CASE WHEN names.a = '{s}' THEN 100.0 ELSE 0.0 END), 4) AS {s}" for s in SOURCES)}
-FROM names LEFT JOIN both_ways USING (a) GROUP BY names.a"""
+SELECT a, b, round(ani, 4) AS ani FROM both_ways UNION ALL SELECT a, a, 100.0 FROM names"""
 ORACLE["pairwise_jaccard"] = f"""
 WITH {_kmers('d', 'documents', 'source', 12)}, {_pairs('d', 'id', 'kmer')}
 SELECT a, b, shared, n_a, n_b, round(jaccard, 6) AS jaccard FROM pairs"""
@@ -228,8 +227,9 @@ c AS (SELECT * FROM (VALUES (0, 'core'), (1, 'soft-core'), (2, 'accessory'), (3,
 SELECT CAST(rank AS BIGINT) AS rank, c.class, count(family) AS n_families,
   round(count(family) / (SELECT count(*) FROM families), 6) AS share FROM c LEFT JOIN families f ON f.class = c.class GROUP BY 1, 2"""
 ORACLE["presence_matrix"] = f"""WITH {_TOKENS}
-SELECT family, {', '.join(f"CAST(max(CASE WHEN strain = '{s}' THEN 1 ELSE 0 END) AS INTEGER) AS {s}" for s in SOURCES)}
-FROM tokens GROUP BY family"""
+SELECT DISTINCT family, strain FROM tokens"""
+ORACLE["family_alignment"] = """
+SELECT p_brand AS family, p_partkey AS strain, replace(concat_ws(' ', p_name, p_type), '-', '') AS residues, true AS equal_width, true AS not_under_star FROM part"""
 ORACLE["family_representative"] = """
 SELECT source AS family, doc_id AS gene_key, CAST(length(text) AS BIGINT) AS length_aa FROM documents
 QUALIFY row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) = 1"""
@@ -452,3 +452,15 @@ SELECT count(*) AS n_genomes, CAST(count_if(status IN ('ok', 'cached')) AS BIGIN
   CAST(sum(coalesce(size_bytes, 0)) AS BIGINT) AS total_bytes, CAST(sum(coalesce(n_contigs, 0)) AS BIGINT) AS n_contigs FROM report"""
 ORACLE["resume_todo"] = "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')"
 ORACLE["resume_reused"] = "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')"
+ORACLE["proteins_roundtrip"] = """
+WITH s AS (SELECT doc_id, lang, upper(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) AS seq FROM documents)
+SELECT lang || '|gene' || doc_id AS gene_key, lang AS strain, CAST(length(seq) AS BIGINT) AS length_aa, md5(seq) AS protein FROM s WHERE length(seq) >= 30"""
+ORACLE["metadata_roundtrip"] = """
+SELECT 'GCA_' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') || '.1' AS strain, CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS host_group,
+  CASE WHEN c_nationkey % 2 = 0 THEN CAST(c_nationkey AS VARCHAR) END AS country, CAST(NULL AS INTEGER) AS year FROM customer"""
+ORACLE["aro_annotation"] = """
+SELECT p_partkey, 'ARO:3' || p_partkey AS aro, split_part(p_name, ' ', 1) AS gene, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE '' END AS drug,
+  CASE WHEN p_size % 2 = 0 THEN p_type ELSE '' END AS mech, CASE WHEN p_size % 2 = 0 THEN p_name ELSE '' END AS family FROM part"""
+ORACLE["supermatrix_roundtrip"] = f"""
+SELECT taxon, CAST(length(string_agg(text, '' ORDER BY line)) AS BIGINT) AS width, md5(upper(string_agg(text, '' ORDER BY line))) AS residues
+FROM ({ORACLE["supermatrix"]}) GROUP BY taxon"""

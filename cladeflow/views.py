@@ -33,12 +33,17 @@ class Views:
         return self.table(table).select(F.col(key).alias("query_id"), F.col("text").alias("seq"))
 
     def turns(self) -> DataFrame:
-        key = F.col("conv_id") * 1000 + F.col("turn")
+        key = F.concat_ws(":", "conv_id", "turn")
         return self.table("conversations").select(key.alias("query_id"), F.col("text").alias("seq"))
 
     def references(self) -> DataFrame:
         return self.table("benchmark").select(F.col("item_id").alias("ref_id"), F.col("text").alias("seq"))
 
+    @staticmethod
+    def nucleotides(rows: DataFrame) -> DataFrame:
+        """Rows with their letters as bases."""
+        return rows.withColumn("seq", F.translate(F.regexp_replace(F.lower("seq"), "[^a-z0-9]", ""), LETTERS, BASES))
+
     def contigs(self, strain: str = "concat_ws('|', source, lang)") -> DataFrame:
         """Nucleotide contigs: one per document, one strain per source (and language)."""
         letters = F.regexp_replace(F.lower("text"), "[^a-z0-9]", "")

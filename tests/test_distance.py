@@ -204,8 +204,72 @@ def test_all_pairs_fill_the_matrix(spark, monkeypatch, block):
     assert len(got) == 10 and sorted(r.distance for r in got) == [0.1, 0.5] + [1.0] * 8
 
 
-@pytest.mark.parametrize("name,columns", [("ani_matrix", {"a", "b", "ani"}), ("presence_matrix", {"family", "strain"})])
-def test_wide_queries_give_the_long_table_for_too_many_names(spark, monkeypatch, name, columns):
-    monkeypatch.setattr(D, "wide_names", lambda names: None)
+@pytest.mark.parametrize("name,columns", [("ani_matrix", ["a", "b", "ani"]), ("presence_matrix", ["family", "strain"])])
+def test_matrix_queries_have_one_schema(spark, name, columns):
     df = QUERIES[name](spark, "/root/testdata/sf0.001")
-    assert columns <= set(df.columns) and df.count() > 0
+    assert df.columns == columns and df.count() > 0
+
+
+def plain_pair_score(rows, scores):
+    total = 0
+    for i, a in enumerate(rows):
+        for b in rows[:i]:
+            for x, y in zip(a, b, strict=True):
+                if x != "-" and y != "-":
+                    total += scores.match if x == y else scores.mismatch
+                elif x != y:
+                    total += scores.gap
+    return total
+
+
+def test_profile_alignment_keeps_residues_and_never_falls_under_the_star(spark):
+    from cladeflow.operators.msa import profile_alignment
+    from cladeflow.params import PROTEIN_SCORES
+
+    rng = random.Random(8)
+    rows = []
+    for f in range(4):
+        parent = "".join(rng.choice("ACDEFGHIKL") for _ in range(30))
+        for s in range(9):
+            own = "".join(rng.choice("ACDEFGHIKL") if rng.random() < 0.2 else c for c in parent if rng.random() > 0.15)
+            rows.append((f, f"s{s}", own[:rng.randrange(1, 40)] + rng.choice(["", "WW", "WYW"]) + own[20:]))
+    rows += [(9, "a", ""), (9, "b", "MK"), (10, "one", "ACD"), (11, "x", ""), (11, "y", "")]
+    got = {}
+    for r in profile_alignment(spark.createDataFrame(rows, "family int, strain string, seq string")).collect():
+        got.setdefault(r.family, []).append(r)
+    assert sorted((f, r.strain, r.aligned.replace("-", "")) for f, own in got.items() for r in own) == sorted(rows)
+    for own in got.values():
+        assert len({len(r.aligned) for r in own}) == 1
+        assert own[0].score == plain_pair_score([r.aligned for r in own], PROTEIN_SCORES) >= own[0].star_score
+        assert all(any(c != "-" for c in column) for column in zip(*[r.aligned for r in own]))
+    assert any(own[0].score > own[0].star_score for own in got.values())
+
+
+def test_alignment_to_a_profile_is_the_best_of_all(spark):
+    from cladeflow.functions.star import align_to_profile
+    from cladeflow.params import PROTEIN_SCORES as S
+
+    rng = random.Random(3)
+    for _ in range(60):
+        others = ["".join(rng.choice("AB-") for _ in range(4)) for _ in range(3)]
+        member = "".join(rng.choice("AB") for _ in range(rng.randrange(5)))
+        profile = [{x: column.count(x) for x in set(column)} for column in zip(*others)]
+
+        def best(i, j):
+            if i == 0 and j == 0:
+                return 0
+            out = []
+            if j:
+                column = [o[j - 1] for o in others]
+                out.append(best(i, j - 1) + S.gap * sum(c != "-" for c in column))
+                if i:
+                    out.append(best(i - 1, j - 1) + sum(S.gap if c == "-" else S.match if c == member[i - 1] else S.mismatch for c in column))
+            if i:
+                out.append(best(i - 1, j) + S.gap * len(others))
+            return max(out)
+
+        under, before = align_to_profile(member, profile, S)
+        score = sum(S.gap * len(others) * len(x) for x in before)
+        for x, column in zip(under, zip(*others)):
+            score += sum((S.gap if c != "-" else 0) if x == "-" else S.gap if c == "-" else S.match if c == x else S.mismatch for c in column)
+        assert score == best(len(member), 4) and "".join(b + u for b, u in zip(before, [*under, ""])).replace("-", "") == member
