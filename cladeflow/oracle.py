@@ -404,7 +404,7 @@ def _exact(most: int) -> str:
 
 
 ORACLE["exact_null"] = f"""WITH {_exact(12)}
-SELECT CAST(k AS BIGINT) AS k, CAST(changes AS BIGINT) AS changes, round(ln(share), 6) AS log_share FROM null_all"""
+SELECT CAST(k AS BIGINT) AS k, CAST(changes AS BIGINT) AS changes, round(ln(share), 6) + 0.0 AS log_share FROM null_all"""
 ORACLE["exact_test"] = f"""WITH {_exact(12)}, {_PRESENCE}, {_OBSERVED}, {_fitch('labelled', '_f')},
 obs AS (SELECT grp AS gene, any_value(top_f.chg) AS o, sum(state) AS k FROM labelled JOIN top_f USING (grp) GROUP BY grp)
 SELECT gene, CAST(k AS BIGINT) AS n_tips, CAST(o AS BIGINT) AS changes_observed,
