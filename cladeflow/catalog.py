@@ -540,7 +540,7 @@ def supermatrix_roundtrip(v: Views) -> DataFrame:
     alignment, _ = D.place_blocks(FM.complete_families(v.blocks(), v.table("region").count()))
     path = _written_to(v, "supermatrix")
     sinks.write_supermatrix(D.supermatrix_lines(alignment), path)
-    return fasta.read_fasta(v.spark, path).select(F.col("header").alias("taxon"), F.length("seq").cast("bigint").alias("width"), F.md5("seq").alias("residues"))
+    return fasta.read_fasta(v.spark, path, in_parts=True).select(F.col("header").alias("taxon"), F.length("seq").cast("bigint").alias("width"), F.md5("seq").alias("residues"))
 
 
 @query

@@ -43,17 +43,36 @@ def _records(text: DataFrame) -> DataFrame:
     return kept.select("path", "ord", F.regexp_replace(header, r"^\s+|\s+$", "").alias("header"), _clean(body).alias("seq"))
 
 
-def read_fasta(spark: SparkSession, path: str, pattern: str = "*", keep_empty: bool = False) -> DataFrame:
+def _joined(text: DataFrame) -> DataFrame:
+    """Numbered raw records whose text may go on in the files that follow, each joined to the whole.
+
+    Text before the first header of a file belongs to the last record of the files before it, in the order of their names.
+    Of every file one row meets the others, to find that record.
+    """
+    headed = (F.col("ord") > 0) | F.startswith("value", F.lit(">"))
+    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    files = text.groupBy("path").agg(F.max(F.when(headed, F.col("ord"))).alias("last"))
+    owners = files.select("path", F.last(F.when(F.col("last").isNotNull(), F.struct("path", "last")), ignorenulls=True).over(before).alias("owner"))
+    parts = text.join(F.broadcast(owners), "path").select(
+        F.when(headed, F.col("path")).otherwise(F.col("owner.path")).alias("whole"),
+        F.when(headed, F.col("ord")).otherwise(F.col("owner.last")).alias("ord"), "path", "value").filter("whole IS NOT NULL")
+    pieces = F.sort_array(F.collect_list(F.struct("path", "value")))
+    return parts.groupBy(F.col("whole").alias("path"), "ord").agg(F.array_join(pieces["value"], "\n").alias("value"))
+
+
+def read_fasta(spark: SparkSession, path: str, pattern: str = "*", keep_empty: bool = False, in_parts: bool = False) -> DataFrame:
     """``(path, ord, header, seq)``: one row per record, read in parallel inside large files.
 
     Sequences are upper-cased, records without sequence are dropped unless ``keep_empty``.
-    Gzipped files are read as they are.
+    Gzipped files are read as they are.  With ``in_parts`` the files are parts of one text, in the order of their names,
+    and a record may go on in the next ones.
     """
     lines = spark.read.option("lineSep", "\n>").option("pathGlobFilter", pattern).text(path)
     raw = lines.select("value", F.col("_metadata.file_path").alias("path"),
                        F.col("_metadata.file_block_start").alias("block"),
                        F.monotonically_increasing_id().alias("row"))
-    out = _records(_number(raw))
+    numbered = _number(raw)
+    out = _records(_joined(numbered) if in_parts else numbered)
     return out if keep_empty else out.filter("seq != ''")
 
 

@@ -249,3 +249,22 @@ def test_aro_keeps_the_last_line_and_a_missing_file_is_empty(spark, tmp_path):
     path.write_text("\t".join(tables.ARO_COLUMNS) + "\nARO:1\tz\tz\tz\nARO:1\ta\tb\tc\n")
     assert [tuple(r) for r in tables.read_aro(spark, str(path)).collect()] == [("ARO:1", "a", "b", "c")]
     assert tables.read_aro(spark, str(tmp_path / "none.tsv")).count() == 0
+
+
+def test_a_record_goes_on_in_the_next_files(spark, tmp_path):
+    for name, text in (("part-0", "lost\n>a\nAC\nGT\n"), ("part-1", "TT\n"), ("part-2", "GG\n>b\nAA\n>c\nC\n"), ("part-3", ">d\nG\n"), ("part-4", "A")):
+        (tmp_path / name).write_text(text)
+    got = fasta.read_fasta(spark, str(tmp_path), in_parts=True).collect()
+    assert sorted((r.header, r.seq) for r in got) == [("a", "ACGTTTGG"), ("b", "AA"), ("c", "C"), ("d", "GA")]
+
+
+def test_a_supermatrix_of_many_files_is_read_back_whole(spark, tmp_path):
+    lines = spark.range(400).selectExpr("concat('t', id % 2) AS taxon", "id div 2 AS line", "lpad(translate(cast(id AS string), '0123456789', 'ACGTACGTAC'), 5, 'T') AS text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_supermatrix(lines, str(tmp_path / "sm"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "sm").glob("part-*"))) > 2
+    want = {f"t{t}": "".join(r.text for r in sorted(lines.collect(), key=lambda r: r.line) if r.taxon == f"t{t}") for t in (0, 1)}
+    assert {r.header: r.seq for r in fasta.read_fasta(spark, str(tmp_path / "sm"), in_parts=True).collect()} == want
