@@ -116,20 +116,20 @@ def orf_calls(v: Views) -> DataFrame:
 @query
 def genome_stats(v: Views) -> DataFrame:
     contigs = v.contigs("source")
-    return G.genome_stats(contigs, G.call_orfs(contigs))
+    return G.genome_stats(contigs, G.call_orfs(contigs, texts=False))
 
 
 @query
 def cohort_stats(v: Views) -> DataFrame:
     contigs = v.contigs("source")
-    out = G.cohort_stats(G.genome_stats(contigs, G.call_orfs(contigs)))
+    out = G.cohort_stats(G.genome_stats(contigs, G.call_orfs(contigs, texts=False)))
     return out.select("n_genomes", r6("mean_genes"), r6("mean_coding_density"), "total_genes")
 
 
 @query
 def gene_summary(v: Views) -> DataFrame:
     contigs = v.contigs("source")
-    genes = G.call_orfs(contigs)
+    genes = checkpoint(G.call_orfs(contigs, texts=False).select("strain", "length_nt", "length_aa"))    # read by both tables
     return G.gene_summary(G.genome_stats(contigs, genes), genes)
 
 
@@ -156,8 +156,7 @@ def minhash_sketch(v: Views) -> DataFrame:
 @query
 def whole_genome_sketch(v: Views) -> DataFrame:
     """Contigs taken as concatenated, at the default scale."""
-    ordinal = F.row_number().over(Window.partitionBy("strain").orderBy(F.col("contig").cast("bigint")))
-    contigs = v.contigs("source").withColumn("contig_ord", ordinal)
+    contigs = v.contigs("source").withColumn("contig_ord", F.col("contig").cast("bigint"))
     return D.sketch(contigs, join_contigs=True, portable=True).groupBy("strain").agg(
         F.count("*").alias("n_hashes"), F.min("hash").alias("low"), F.max("hash").alias("high"))
 

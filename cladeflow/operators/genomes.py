@@ -2,55 +2,82 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
-from cladeflow.functions.sequence import count_chars, reverse_complement, translate_codons
+from cladeflow.functions.sequence import CODON_BASES, codon_table, count_chars
 from cladeflow.params import MIN_PROTEIN_AA
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def running_ends(lengths: pd.Series) -> pd.Series:
-    """Running totals of each array: SQL has no linear prefix sum over an array."""
-    return lengths.map(np.cumsum)
-
-
-def call_orfs(contigs: DataFrame, min_aa: int = MIN_PROTEIN_AA) -> DataFrame:
+_AMINO = np.full(125, ord("X"), dtype=np.uint8)
+_AMINO[[25 * CODON_BASES.index(a) + 5 * CODON_BASES.index(b) + CODON_BASES.index(c) for a, b, c in codon_table()]] = list("".join(codon_table().values()).encode())
+_BASE = np.full(256, 4, dtype=np.uint8)
+_BASE[list(CODON_BASES.encode())] = range(4)
+_OTHER_STRAND = str.maketrans("ACGT", "TGCA")
+_PART = 1 << 24           # letters of genes handed on at a time
+
+
+def _open_frames(text: str, min_aa: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, str]]:
+    """Of each frame: the places in its protein of the first methionines, of the stops that end them, and the protein."""
+    bases = _BASE[np.frombuffer(text.encode("ascii", "replace"), dtype=np.uint8)].astype(np.intp)
+    for frame in range(3):
+        n = max(0, (len(bases) - frame) // 3)
+        first, second, third = (bases[frame + i:frame + 3 * n:3] for i in range(3))
+        amino = _AMINO[25 * first + 5 * second + third]
+        stops, starts = np.flatnonzero(amino == ord("*")), np.flatnonzero(amino == ord("M"))
+        if not len(stops) or not len(starts):
+            continue
+        begins = np.concatenate(([0], stops[:-1] + 1))
+        at = np.searchsorted(starts, begins)
+        begins = np.where(at < len(starts), starts[np.minimum(at, len(starts) - 1)], len(amino))
+        found = (begins < stops) & (stops - begins >= min_aa)
+        yield frame, begins[found], stops[found], amino.tobytes().decode()
+
+
+def _genes(min_aa: int, texts: bool):
+    """Genes of the contigs of each batch, handed on in parts of a bounded number of letters."""
+    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
+        for batch in batches:
+            for strain, contig, seq, size in zip(batch["strain"], batch["contig"], batch["seq"], batch["size"]):
+                if not seq:
+                    continue
+                for strand, text in (("+", seq), ("-", seq[::-1].translate(_OTHER_STRAND))):
+                    for frame, begins, stops, protein in _open_frames(text, min_aa):
+                        for m, stop in zip(begins.tolist(), stops.tolist()):
+                            first, last = frame + 3 * m + 1, frame + 3 * (stop + 1)
+                            own = (protein[m:stop], text[first - 1:last]) if texts else ()
+                            rows.append((strain, contig, *((first, last) if strand == "+" else (size - last + 1, size - first + 1)),
+                                         strand, last - first + 1, stop - m, *own))
+                            held += 4 * (stop - m) if texts else 64
+                if held > _PART:
+                    yield pd.DataFrame(rows, columns=_GENE_COLUMNS if texts else _GENE_COLUMNS[:-2])
+                    rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=_GENE_COLUMNS if texts else _GENE_COLUMNS[:-2])
+
+    return call
+
+
+_GENE_COLUMNS = ["strain", "contig", "begin", "end", "strand", "length_nt", "length_aa", "protein", "cds"]
+
+
+def call_orfs(contigs: DataFrame, min_aa: int = MIN_PROTEIN_AA, texts: bool = True) -> DataFrame:
     """Open reading frames of ``contigs(strain, contig, seq)`` on both strands.
 
     A plain stand-in for a trained gene caller, to be replaced by a table of real calls where
     one exists: every stretch between two stop codons, from its first methionine to the stop,
     of at least ``min_aa`` amino acids.  Coordinates are 1-based on the forward strand and
-    include the stop codon.
+    include the stop codon.  Without ``texts`` the sequences of the genes are left out, for callers that count them.
     """
-    upper = contigs.select("strain", "contig", F.upper("seq").alias("seq"), F.length("seq").alias("size"))
-    strands = upper.select("strain", "contig", "size", F.explode(F.array(
-        F.struct(F.lit("+").alias("strand"), F.col("seq").alias("text")),
-        F.struct(F.lit("-").alias("strand"), reverse_complement(F.col("seq")).alias("text")))).alias("s"))
-    frames = strands.select("strain", "contig", "size", "s.strand", F.col("s.text").alias("text"),
-                            F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("frame"))
-    frames = frames.withColumn("text", F.substring(F.col("text"), F.col("frame") + 1, F.length("text")))
-    # protein and nucleotides are cut at the same stops, so no piece looks back at its contig
-    spaced = F.regexp_replace("text", "(?s)(.{3})", "$1 ")
-    pieces = frames.select("strain", "contig", "size", "strand", "frame", F.split(translate_codons(F.col("text")), r"\*").alias("parts"),
-                           F.split(spaced, "(?<=TAA |TAG |TGA )").alias("codons"))
-    ends = running_ends(F.transform("parts", lambda part: F.length(part) + 1))
-    closed = F.slice(F.arrays_zip(F.col("parts").alias("part"), F.col("codons").alias("codons"), ends.alias("end")), 1, F.size("parts") - 1)
-    found = (pieces.select("strain", "contig", "size", "strand", "frame", F.explode(closed).alias("o"))
-             .withColumn("protein", F.regexp_extract(F.col("o.part"), "M.*", 0))
-             .filter(F.length("protein") >= min_aa))
-    last = F.col("frame") + 3 * F.col("o.end")
-    first = last - 3 * (F.length("protein") + 1) + 1
-    forward = F.col("strand") == "+"
-    return found.select(
-        "strain", "contig",
-        F.when(forward, first).otherwise(F.col("size") - last + 1).alias("begin"),
-        F.when(forward, last).otherwise(F.col("size") - first + 1).alias("end"),
-        "strand", (last - first + 1).alias("length_nt"), F.length("protein").alias("length_aa"), "protein",
-        F.right(F.replace(F.col("o.codons"), F.lit(" "), F.lit("")), 3 * (F.length("protein") + 1)).alias("cds"))
+    rows = contigs.select("strain", "contig", F.upper("seq").alias("seq"), F.length("seq").cast("bigint").alias("size"))
+    kind = [rows.schema[c].dataType.simpleString() for c in ("strain", "contig")]
+    schema = f"strain {kind[0]}, contig {kind[1]}, begin bigint, end bigint, strand string, length_nt bigint, length_aa int"
+    return rows.mapInPandas(_genes(min_aa, texts), schema + (", protein string, cds string" if texts else ""))
 
 
 def gene_header(gene_id: str = "gene_id"):
