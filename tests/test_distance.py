@@ -273,3 +273,41 @@ def test_alignment_to_a_profile_is_the_best_of_all(spark):
         for x, column in zip(under, zip(*others)):
             score += sum((S.gap if c != "-" else 0) if x == "-" else S.gap if c == "-" else S.match if c == x else S.mismatch for c in column)
         assert score == best(len(member), 4) and "".join(b + u for b, u in zip(before, [*under, ""])).replace("-", "") == member
+
+
+@pytest.mark.parametrize("join", [False, True])
+def test_portable_sketch_is_that_of_each_kmer_alone(spark, monkeypatch, join):
+    import hashlib
+
+    monkeypatch.setattr(D, "SKETCH_LETTERS", 50)
+    rng = random.Random(8)
+    strains = {s: ["".join(rng.choice("acgtACGTN") if rng.random() < .2 else rng.choice("ACGT") for _ in range(rng.choice([0, 1, 2, 9, 40, 190]))) for _ in range(30)] for s in "xy"}
+    df = spark.createDataFrame([(s, 3 * i, c) for s, cs in strains.items() for i, c in enumerate(cs)], "strain string, contig_ord int, seq string")
+    for k in (4, 7, 31):
+        got = {}
+        for r in D.sketch(df, k, 3, join_contigs=join, portable=True).collect():
+            got.setdefault(r.strain, []).append(r.hash)
+        for s, cs in strains.items():
+            words = kset("".join(cs).upper(), k) if join else set().union(*(kset(c.upper(), k) for c in cs))
+            hashes = {int(hashlib.md5(min(w, revcomp(w)).encode()).hexdigest()[:15], 16) for w in words if not set(w) - set("ACGT")}
+            assert sorted(got.get(s, [])) == sorted(h for h in hashes if h <= D.HASH_SPACE // 3)
+
+
+def test_joined_contigs_move_no_text(spark):
+    df = spark.createDataFrame([("s", 0, "ACGT" * 30)], "strain string, contig_ord int, seq string")
+    assert {len(r.seq) for r in D.junctions(df, 31).collect()} == {30}
+
+
+def test_genes_without_texts_are_the_same_genes(spark):
+    rng = random.Random(4)
+    rows = [("s", str(i), "".join(rng.choice("ACGTacgN") for _ in range(3000)).replace("TAG", "CAG")) for i in range(4)] + [("e", "none", None), ("e", "\u00e9", "ATG\u00e9" * 9)]
+    df = spark.createDataFrame(rows, "strain string, contig string, seq string")
+    whole, plain = G.call_orfs(df, 5).collect(), G.call_orfs(df, 5, texts=False)
+    assert plain.columns == ["strain", "contig", "begin", "end", "strand", "length_nt", "length_aa"]
+    assert sorted(tuple(r) for r in plain.collect()) == sorted(tuple(r)[:7] for r in whole) and len(whole) > 20
+    text = {r[1]: r[2] for r in rows}
+    for g in whole:
+        cut = text[g.contig][g.begin - 1:g.end].upper()
+        cut = cut if g.strand == "+" else revcomp(cut)
+        assert g.cds == cut and cut.startswith("ATG") and cut[-3:] in ("TAA", "TAG", "TGA") and g.protein.startswith("M") and len(cut) == 3 * (g.length_aa + 1)
+        assert len(g.protein) == g.length_aa and "*" not in g.protein
