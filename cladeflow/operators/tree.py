@@ -7,6 +7,7 @@ all children of a node lie on one level, so a level is one aggregation.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeflow.functions import digest
 from cladeflow.functions import polynomials as poly
 from cladeflow.functions.sequence import portable_hash
 from cladeflow.operators.common import checkpoint, sized_join, task_count
@@ -105,17 +107,57 @@ def fitch_changes(tree: Tree, carriers: DataFrame, by: list[str]) -> DataFrame:
     return (state if risen is None else risen).select(*by, "changes")
 
 
+def _first_tips(most: int, n_perms: int, seed: int):
+    """Of each batch of tips and each permutation the ``most`` tips of least hash, with all that tie in its first 64 bits."""
+    def run(batches):
+        for batch in batches:
+            names = batch["tip"].to_numpy(dtype=object)
+            texts = [name.encode() for name in names]
+            sizes, laid = np.array([len(t) for t in texts]), {}
+            held, count = [], 0
+            for perm in range(n_perms if most and len(names) else 0):
+                prefix = f"{seed}|{perm}|".encode()
+                if len(prefix) not in laid:      # the words of a message but for the number of the permutation
+                    room = digest.LONGEST - len(prefix)
+                    groups = [np.flatnonzero(sizes == size) for size in np.unique(sizes[sizes <= room])]
+                    laid[len(prefix)] = [(at, digest.padded([texts[i] for i in at], len(prefix), int(sizes[at[0]]))) for at in groups], np.flatnonzero(sizes > room)
+                groups, long = laid[len(prefix)]
+                front = np.frombuffer(prefix.ljust(64, b"\0"), dtype="<u4")
+                lead = np.zeros(len(names), dtype=np.uint64)
+                full = np.zeros((len(names), 4), dtype="<u4")
+                for at, words in groups:
+                    words = [word | part if part else word for word, part in zip(words, front)]
+                    for lo in range(0, len(at), digest.STEP):
+                        made = digest.md5_block([word[lo:lo + digest.STEP] for word in words])
+                        lead[at[lo:lo + digest.STEP]] = digest.leading(made)
+                        full[at[lo:lo + digest.STEP]] = np.stack(made, axis=1)
+                for i in long.tolist():
+                    full[i] = np.frombuffer(hashlib.md5(prefix + texts[i]).digest(), dtype="<u4")
+                    lead[i] = digest.leading([full[i, :1], full[i, 1:2]])[0]
+                first = np.flatnonzero(lead <= np.partition(lead, most - 1)[most - 1]) if most < len(lead) else np.arange(len(lead))
+                held.append(pd.DataFrame({"perm": perm, "tip": names[first], "h": [row.tobytes().hex() for row in full[first]]}))
+                count += len(first)
+                if count > 1 << 16:
+                    yield pd.concat(held)
+                    held, count = [], 0
+            if held:
+                yield pd.concat(held)
+
+    return run
+
+
 def random_placements(tree: Tree, sizes: list[int], n_perms: int = PERMUTATIONS, seed: int = SEED) -> DataFrame:
     """For each permutation and each size, that many random tips: ``(k, perm, tip)``.
 
     Tips are ranked by a hash of (seed, permutation, tip): reproducible, independent of the
-    cluster and the same in any SQL engine.  Only ranks up to the largest size survive the
-    group limit, which runs before the shuffle.
+    cluster and the same in any SQL engine.  A task hashes its tips permutation by permutation and
+    hands on those that may be among the first, as many as the largest size; the shuffle ranks them.
     """
-    key = F.concat_ws("|", F.lit(str(seed)), F.col("perm").cast("string"), F.col("tip"))
-    drawn = tree.tips.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perms - 1)))).withColumn("h", F.md5(key))
+    most = max(sizes, default=0)
+    tips = tree.tips.repartition(task_count(tree.nodes.sparkSession))
+    drawn = tips.mapInPandas(_first_tips(most, n_perms, seed), "perm int, tip string, h string")
     w = Window.partitionBy("perm").orderBy("h", "tip")
-    ranked = drawn.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max(sizes, default=0))
+    ranked = drawn.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
     wanted = F.array(*[F.lit(k) for k in sorted(sizes)]) if sizes else F.array().cast("array<int>")
     return ranked.withColumn("k", F.explode(F.filter(wanted, lambda k: k >= F.col("rank")))).select("k", "perm", "tip")
 
