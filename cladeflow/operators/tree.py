@@ -200,8 +200,8 @@ def clumping_test(tree: Tree, presence: DataFrame, n_perms: int = PERMUTATIONS,
 _COEFFICIENTS = "parent string, child string, t int, cap int, cup int, block int, low int, logs array<double>"
 
 
-def _bundles(tips: DataFrame) -> DataFrame:
-    """Tips under one parent as one table: n over k placements, no change, and the states they share and take."""
+def _bundles(tips: DataFrame, last: int | None = None) -> DataFrame:
+    """Tips under one parent as one table up to block ``last``: n over k placements, no change, and the states they share and take."""
     def make(parts):
         for part in parts:
             rows = []
@@ -214,7 +214,8 @@ def _bundles(tips: DataFrame) -> DataFrame:
                         rows.append((parent, "", t, cap, cup, block, 0, np.where(here, logs, -np.inf)))
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in _COEFFICIENTS.split(", ")])
 
-    cut = tips.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor(F.col("t") / poly.BLOCK).cast("int"))))
+    end = F.floor(F.col("t") / poly.BLOCK).cast("int")
+    cut = tips.withColumn("block", F.explode(F.sequence(F.lit(0), end if last is None else F.least(end, F.lit(last)))))
     return cut.select("parent", "t", "block").mapInPandas(make, _COEFFICIENTS)
 
 
@@ -222,13 +223,14 @@ def _tables(part: pd.DataFrame) -> list[np.ndarray]:
     return [np.asarray(x, dtype=float).reshape(-1, poly.BLOCK) for x in part["logs"]]
 
 
-def _products(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Products of the two tables of each pair of siblings, block by block, as parts of the result's blocks.
+def _products(rows: DataFrame, pairs: DataFrame, last: int | None = None) -> DataFrame:
+    """Products of the two tables of each pair of siblings, block by block, as parts of the result's blocks up to ``last``.
 
     A block of one sibling is sent to every block of the other, under the key of both, so that no task holds a whole
     table and a heavy pair is as many groups as it has pairs of blocks.
     """
-    other = F.sequence(F.lit(0), F.floor(F.col("t_other") / poly.BLOCK).cast("int"))
+    end = F.floor(F.col("t_other") / poly.BLOCK).cast("int")
+    other = F.sequence(F.lit(0), end if last is None else F.least(end, last - F.col("block")))
     met = (rows.join(pairs, ["parent", "half"]).withColumn("side", F.col("place") % 2)
            .withColumn("t_other", F.when(F.col("side") == 0, F.col("t1")).otherwise(F.col("t0")))
            .withColumn("beside", F.explode(other)))
@@ -249,7 +251,7 @@ def _products(rows: DataFrame, pairs: DataFrame) -> DataFrame:
             for step, piece in enumerate((table[:, :poly.BLOCK], table[:, poly.BLOCK:])):
                 wide = np.full((len(piece), poly.BLOCK), -np.inf)
                 wide[:, :piece.shape[1]] = piece
-                if np.isfinite(wide).any():
+                if np.isfinite(wide).any() and (last is None or first["b0"] + first["b1"] + step <= last):
                     rows.append((first["parent"], int(first["half"]), int(first["t0"] + first["t1"]), cap, cup, int(first["b0"] + first["b1"] + step), low, wide.ravel()))
         return pd.DataFrame(rows, columns=["parent", "place", "t", "cap", "cup", "block", "low", "logs"])
 
@@ -269,21 +271,23 @@ def _summed(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*keys).applyInPandas(add, kind)
 
 
-def exact_null(tree: Tree) -> DataFrame:
+def exact_null(tree: Tree, most: int | None = None) -> DataFrame:
     """Exact distribution of the parsimony score over all placements: ``(k, changes, share, log_share)``.
 
     For every number k of carriers, the share of the placements of k carriers on the tips that need that many changes;
     ``log_share`` is its logarithm and holds where the share is too small for a double.  A subtree is a generating
     polynomial: coefficients by carriers and score for each pair of states that its children share (``cap``) and take
     (``cup``).  Siblings are multiplied two and two, in blocks of k, so the longest chain at a node is the logarithm of its children.
-    Tips under one parent are one polynomial.  Rows grow with tips times scores, not with placements.
+    Tips under one parent are one polynomial.  Rows grow with tips times scores, not with placements.  With ``most`` only
+    k up to that number are returned; coefficients beyond its block never enter those below and are left out all along.
     """
+    last = None if most is None else most // poly.BLOCK
     spark, risen = tree.nodes.sparkSession, None
     if tree.n_nodes == 1:        # a single tip
         return tree.nodes.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), F.lit(0).alias("changes"), F.lit(1.0).alias("share"), F.lit(0.0).alias("log_share"))
     for depth in range(tree.max_depth - 1, -1, -1):
         tips = tree.level(depth + 1).filter("is_tip").groupBy("parent").agg(F.count("*").cast("int").alias("t"))
-        rows = _bundles(tips.repartition(task_count(spark), "parent"))
+        rows = _bundles(tips.repartition(task_count(spark), "parent"), last)
         if risen is not None:
             up = tree.level(depth + 1).select(F.col("node").alias("child"), "parent")
             rows = rows.unionByName(risen.join(up, "child").select(
@@ -299,7 +303,7 @@ def exact_null(tree: Tree) -> DataFrame:
             halves = checkpoint(sizes.groupBy("parent", half.alias("half")).agg(
                 F.sum("t").cast("int").alias("t"), F.min_by("t", "place").alias("t0"), F.max_by("t", "place").alias("t1"), F.count("*").alias("n")))
             halved = rows.withColumn("half", half)
-            met = _summed(_products(halved.drop("t"), halves.filter("n = 2").drop("t", "n")), ["parent", "place", "t", "cap", "cup"])
+            met = _summed(_products(halved.drop("t"), halves.filter("n = 2").drop("t", "n"), last), ["parent", "place", "t", "cap", "cup"])
             alone = halved.join(halves.filter("n = 1").select("parent", "half"), ["parent", "half"]).withColumn("place", F.col("half")).drop("half")
             rows = checkpoint(met.unionByName(alone.select(*met.columns)))
             sizes = halves.select("parent", F.col("half").alias("place"), "t")
@@ -308,6 +312,8 @@ def exact_null(tree: Tree) -> DataFrame:
         risen = checkpoint(_summed(rows.select(F.col("parent").alias("child"), "t", mask.alias("mask"), "block", low.cast("int").alias("low"), "logs"), ["child", "t", "mask"]))
     whole = _summed(risen.select("t", "block", "low", "logs"), ["t"])
     cells = whole.select("t", "block", "low", F.posexplode("logs").alias("at", "log")).filter(F.col("log") > float("-inf"))
+    if most is not None:
+        cells = cells.filter(F.col("block") * poly.BLOCK + F.col("at") % poly.BLOCK <= most)
     k, n = F.col("block") * poly.BLOCK + F.col("at") % poly.BLOCK, F.col("t").cast("double")
     chance = F.col("log") - (log_gamma(n + 1.0) - log_gamma(k + 1.0) - log_gamma(n - k + 1.0))
     return cells.select(k.alias("k"), (F.col("low") + F.floor(F.col("at") / poly.BLOCK)).cast("int").alias("changes"),
@@ -323,11 +329,13 @@ def exact_test(tree: Tree, presence: DataFrame) -> DataFrame:
     on_tree = present.join(tree.tips, "tip", "left_semi").groupBy("gene").agg(F.count("*").alias("n_tips"))
     genes = (present.select("gene").distinct().join(on_tree, "gene", "left").join(fitch_changes(tree, present, ["gene"]), "gene", "left")
              .select("gene", F.coalesce("n_tips", F.lit(0)).alias("n_tips"), F.coalesce("changes", F.lit(0)).alias("changes_observed")))
-    null = checkpoint(exact_null(tree))
+    # presence and absence can be swapped without a change of score, so only the smaller side is placed
+    tested = checkpoint(genes.filter((F.col("n_tips") > 0) & (F.col("n_tips") < tree.n_tips)).withColumn("k", F.least("n_tips", tree.n_tips - F.col("n_tips"))))
+    null = checkpoint(exact_null(tree, tested.agg(F.max("k")).first()[0] or 0))
     at_most = Window.partitionBy("k").orderBy("changes")
-    known = null.select(F.col("k").alias("n_tips"), F.col("changes").alias("changes_observed"), F.sum("share").over(at_most).alias("p_clumped"))
-    mean = null.groupBy(F.col("k").alias("n_tips")).agg(F.sum(F.col("changes") * F.col("share")).alias("changes_expected"))
-    tested = genes.filter((F.col("n_tips") > 0) & (F.col("n_tips") < tree.n_tips)).join(known, ["n_tips", "changes_observed"]).join(mean, "n_tips")
+    known = null.select("k", F.col("changes").alias("changes_observed"), F.sum("share").over(at_most).alias("p_clumped"))
+    mean = null.groupBy("k").agg(F.sum(F.col("changes") * F.col("share")).alias("changes_expected"))
+    tested = tested.join(known, ["k", "changes_observed"]).join(mean, "k")
     return genes.join(tested.select("gene", "changes_expected", "p_clumped"), "gene", "left").select(
         "gene", "n_tips", "changes_observed", "changes_expected", "p_clumped")
 

@@ -265,3 +265,35 @@ def test_exact_test_gives_the_share_at_or_below(spark):
         scores = [cheapest(edges, set(c)) for c in itertools.combinations(tips, len(genes[g]))]
         assert got[g].p_clumped == pytest.approx(sum(s <= own for s in scores) / len(scores))
         assert got[g].changes_expected == pytest.approx(sum(scores) / len(scores))
+
+
+def test_placements_are_the_tips_of_least_hash(spark):
+    import hashlib
+
+    names = [f"t{i}" for i in range(40)] + ["x" * n for n in (46, 47, 48, 60, 130)] + ["é"]
+    edges = [("root", None, 0.0)] + [(name, "root", 1.0) for name in names]
+    tree = T.shape(spark.createDataFrame(edges, "node string, parent string, length double"))
+    for sizes in ([1, 3], [len(names)], []):
+        got = {}
+        for r in T.random_placements(tree, sizes, 101, 7).collect():
+            got.setdefault((r.k, r.perm), set()).add(r.tip)
+        for k in sizes:
+            for perm in range(101):
+                ranked = sorted(names, key=lambda name: (hashlib.md5(f"7|{perm}|{name}".encode()).hexdigest(), name))
+                assert got[k, perm] == set(ranked[:k])
+        assert len(got) == 101 * len(sizes)
+    assert T._first_tips.__doc__ and max(len(p) for p in T._first_tips(3, 5, 7)(iter([tree.tips.toPandas()]))) == 15
+
+
+def test_exact_null_up_to_a_number_of_carriers(spark):
+    rng = random.Random(3)
+    edges = [("root", None, 0.0)] + [(f"n{i}", "root", 1.0) for i in range(5)] + [(f"t{i}", f"n{rng.randrange(5)}", 1.0) for i in range(140)]
+    tree = T.shape(spark.createDataFrame(edges, "node string, parent string, length double"))
+    whole = {(r.k, r.changes): r.log_share for r in T.exact_null(tree).collect()}
+    for most in (0, 1, 31, 32, 70):
+        got = {(r.k, r.changes): r.log_share for r in T.exact_null(tree, most).collect()}
+        assert set(got) == {x for x in whole if x[0] <= most} and all(got[x] == pytest.approx(whole[x], abs=1e-9) for x in got)
+    # nearly all tips: the test is that of the few without
+    carriers = [("few", f"t{i}") for i in range(3)] + [("most", f"t{i}") for i in range(3, 140)]
+    rows = {r.gene: r for r in T.exact_test(tree, spark.createDataFrame(carriers, "gene string, tip string")).collect()}
+    assert rows["few"].p_clumped == rows["most"].p_clumped and rows["few"].changes_expected == rows["most"].changes_expected
