@@ -311,3 +311,51 @@ def test_genes_without_texts_are_the_same_genes(spark):
         cut = cut if g.strand == "+" else revcomp(cut)
         assert g.cds == cut and cut.startswith("ATG") and cut[-3:] in ("TAA", "TAG", "TGA") and g.protein.startswith("M") and len(cut) == 3 * (g.length_aa + 1)
         assert len(g.protein) == g.length_aa and "*" not in g.protein
+
+
+def test_shared_kmers_of_any_letters_match_plain_sets(spark, monkeypatch):
+    rng = random.Random(4)
+    letters = ["abc ", "aé漢😀", "a"]
+    rows = [(rng.choice(["x", "y", "z", None]), "".join(rng.choices(rng.choice(letters), k=rng.choice([0, 3, 11, 12, 13, 40, 700])))) for _ in range(120)]
+    rows += [("x", None), ("other", "abc abc abc abc"), ("x", "same line " * 90), ("z", "same line " * 90)]
+    plain = {}
+    for name, text in rows:
+        if name in ("x", "y", "z") and text:
+            plain.setdefault(name, set()).update(text[i:i + 12] for i in range(len(text) - 11))
+    want = {(a, b): len(plain[a] & plain[b]) for a in plain for b in plain if a <= b and plain[a] & plain[b]}
+    names = spark.createDataFrame([(x,) for x in "xyz"], "name string")
+    texts = spark.createDataFrame(rows, "name string, seq string").repartition(3)
+    assert {(r.a, r.b): r.n for r in D.shared_kmers(texts, "name", 12, names).collect()} == want
+    texts = texts.filter(~F.contains("seq", F.lit("😀")) | F.col("seq").isNull())
+    found = {(r.a, r.b): r.n for r in D.shared_kmers(texts, "name", 12, names).collect()}
+    monkeypatch.setattr(D, "MASK_TAXA", 2)
+    assert {(r.a, r.b): r.n for r in D.shared_kmers(texts, "name", 12, names).collect()} == found
+
+
+def test_neighbouring_kmers_travel_together_and_hash_twins_are_told_apart(monkeypatch):
+    import numpy as np
+
+    from cladeflow.functions import superkmers as S
+
+    rng = random.Random(9)
+    texts = [(i % 5, "".join(rng.choices("etaoin shrdlu,é", k=3000))) for i in range(20)]
+    plain = {}
+    for number, text in texts:
+        for i in range(len(text) - 29):
+            plain[text[i:i + 30]] = plain.get(text[i:i + 30], 0) | 1 << number
+    for factor in (S._FACTOR, np.uint64(0)):          # with 0, all k-mers that end alike have one hash
+        found, moved, kmers = {}, 0, 0
+        ranks = np.random.default_rng(1).permutation(S.SLOTS).astype(np.uint16)
+        parts = [p for c in S.chunks(texts, 30, 7000) for low, own, start, size in [S.pieces(*c, 30, ranks)]
+                 for p in S.packed(c[2], low % np.uint16(3), own, start, size)]
+        monkeypatch.setattr(S, "_FACTOR", factor)
+        for bucket in range(3):
+            held = [p[1:] for p in parts if p[0] == bucket]
+            moved += sum(len(x) for p in held for x in p)
+            for mask, n in zip(*S.carriers(*(b"".join(x) for x in zip(*held)), 30)):
+                found[int(mask)] = found.get(int(mask), 0) + int(n)
+        monkeypatch.undo()
+        want = {}
+        for mask in plain.values():
+            want[mask] = want.get(mask, 0) + 1
+        assert found == want and moved < 8 * sum(len(t) - 29 for _, t in texts)
