@@ -11,6 +11,7 @@ import pandas as pd
 from cladeflow.params import Scoring
 
 COUNTED = re.compile("(.)([0-9]+);", re.S)        # a letter and its count in a column
+ROWS_HELD, PROFILES_HELD = 1024, 32               # what a task remembers
 
 
 def align_to_centre(member: str, centre: str, scores: Scoring) -> tuple[str, list[str]]:
@@ -65,10 +66,15 @@ def align_to_profile(member: str, profile: list[dict[str, int]], scores: Scoring
     A column counts the letters of the other rows.  The score is that of the member's pairs with all of them; a gap over a gap
     is free, and an insertion meets a gap in every row.  Ties as in ``align_to_centre``.
     """
-    wide, others = len(profile), max((sum(column.values()) for column in profile), default=0)
-    gaps = np.array([column.get("-", 0) for column in profile], dtype=np.int64)
-    letters = np.array([sum(column.values()) for column in profile], dtype=np.int64) - gaps
-    of = {x: np.array([column.get(x, 0) for column in profile], dtype=np.int64) for x in set(member)}
+    counts = {x: np.array([column.get(x, 0) for column in profile], dtype=np.int64) for x in {"-", *member}}
+    rows = np.array([sum(column.values()) for column in profile], dtype=np.int64)
+    return align_to_counts(member, counts, rows, scores)
+
+
+def align_to_counts(member: str, of: dict[str, np.ndarray], rows: np.ndarray, scores: Scoring) -> tuple[str, list[str]]:
+    """``align_to_profile`` with the columns' counts by letter, '-' among them, and the rows they are of."""
+    wide, others, gaps = len(rows), int(rows.max(initial=0)), of["-"]
+    letters = rows - gaps
     skipped = np.concatenate([[0], np.cumsum(letters * scores.gap)])
     row = skipped.copy()
     step = np.full((len(member) + 1, wide + 1), 2, dtype=np.uint8)       # 0 diagonal, 1 insert, 2 skip
@@ -96,20 +102,42 @@ def align_to_profile(member: str, profile: list[dict[str, int]], scores: Scoring
     return "".join(under), before
 
 
+def counted_letters(profile: list[str]) -> dict[str, np.ndarray]:
+    """Counts by letter of the columns of a profile, each a text of ``letter count ;``."""
+    counts = {"-": np.zeros(len(profile), dtype=np.int64)}
+    for place, column in enumerate(profile):
+        for x, n in COUNTED.findall(column):
+            counts.setdefault(x, np.zeros(len(profile), dtype=np.int64))[place] = int(n)
+    return counts
+
+
 def profile_rows(scores: Scoring):
-    """Arrow-batched map over ``(family, strain, aligned, profile, anew)`` rows, a column of the profile as ``letter count ;``; rows not marked stay as they are."""
+    """Arrow-batched map over ``(family, strain, aligned, profile, anew)`` rows; rows not marked stay as they are.
+
+    A task reads the profile of a family once and aligns equal rows once, as long as it remembers them.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        profiles, found = {}, {}
         for pdf in batches:
             done = []
-            for aligned, profile, anew in zip(pdf["aligned"], pdf["profile"], pdf["anew"]):
+            for family, aligned, profile, anew in zip(pdf["family"], pdf["aligned"], pdf["profile"], pdf["anew"]):
                 if not anew:
                     done.append((aligned, [""] * (len(aligned) + 1)))
                     continue
-                rest = [{x: int(n) for x, n in COUNTED.findall(column)} for column in profile]
-                for column, letter in zip(rest, aligned):
-                    column[letter] -= 1
-                done.append(align_to_profile(aligned.replace("-", ""), rest, scores))
+                if (family, aligned) not in found:
+                    if len(found) >= ROWS_HELD:
+                        found.clear()
+                    if family not in profiles:
+                        if len(profiles) >= PROFILES_HELD:
+                            profiles.clear()
+                        counts = counted_letters(profile)
+                        profiles[family] = counts, sum(counts.values()) - 1
+                    counts, others = profiles[family]
+                    own = np.frombuffer(aligned.encode("utf-32-le"), dtype=np.int32)
+                    rest = {x: counts[x] - (own == ord(x)) for x in {"-", *aligned}}
+                    found[family, aligned] = align_to_counts(aligned.replace("-", ""), rest, others, scores)
+                done.append(found[family, aligned])
             yield pd.DataFrame({"family": pdf["family"], "strain": pdf["strain"], "under": [d[0] for d in done], "before": [d[1] for d in done]})
 
     return run

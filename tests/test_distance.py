@@ -359,3 +359,21 @@ def test_neighbouring_kmers_travel_together_and_hash_twins_are_told_apart(monkey
         for mask in plain.values():
             want[mask] = want.get(mask, 0) + 1
         assert found == want and moved < 8 * sum(len(t) - 29 for _, t in texts)
+
+
+def test_equal_rows_are_aligned_to_a_profile_once_and_as_each_alone(monkeypatch):
+    from cladeflow.functions import star
+    from cladeflow.params import PROTEIN_SCORES as S
+
+    rng = random.Random(6)
+    rows = [(f, "".join(rng.choices("ab1-", k=9))) for f in "xy" for _ in range(3)]
+    texts = {f: ["".join(f"{c}{n};" for c, n in sorted(Counter(a[i] for g, a in rows if g == f).items())) for i in range(9)] for f in "xy"}
+    many = [(f, i, a, texts[f], i != 1) for i in range(4) for f, a in rows]
+    calls, real = [], star.align_to_counts
+    monkeypatch.setattr(star, "align_to_counts", lambda *x: calls.append(1) or real(*x))
+    frame = pd.DataFrame(many, columns=["family", "strain", "aligned", "profile", "anew"])
+    got = pd.concat(star.profile_rows(S)([frame[:7], frame[7:]]))
+    assert len(calls) == len(set(rows)) and len(got) == len(many)
+    for (f, _, a, _, anew), under, before in zip(many, got["under"], got["before"]):
+        rest = [Counter(b[i] for g, b in rows if g == f) - Counter(a[i]) for i in range(9)]
+        assert (under, before) == (star.align_to_profile(a.replace("-", ""), rest, S) if anew else (a, [""] * 10))
