@@ -228,6 +228,9 @@ SELECT CAST(rank AS BIGINT) AS rank, c.class, count(family) AS n_families,
   round(count(family) / (SELECT count(*) FROM families), 6) AS share FROM c LEFT JOIN families f ON f.class = c.class GROUP BY 1, 2"""
 ORACLE["presence_matrix"] = f"""WITH {_TOKENS}
 SELECT DISTINCT family, strain FROM tokens"""
+ORACLE["presence_cells"] = f"""WITH {_TOKENS}
+SELECT f.family, s.strain, CAST(max(CASE WHEN t.strain IS NOT DISTINCT FROM s.strain THEN 1 ELSE 0 END) AS INTEGER) AS present
+FROM (SELECT DISTINCT family FROM tokens) f CROSS JOIN (SELECT DISTINCT strain FROM tokens) s JOIN tokens t ON t.family = f.family GROUP BY ALL"""
 ORACLE["family_alignment"] = """
 SELECT p_brand AS family, p_partkey AS strain, replace(concat_ws(' ', p_name, p_type), '-', '') AS residues, true AS equal_width, true AS not_under_star FROM part"""
 ORACLE["family_representative"] = """

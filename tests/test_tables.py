@@ -268,3 +268,10 @@ def test_a_supermatrix_of_many_files_is_read_back_whole(spark, tmp_path):
     assert len(list((tmp_path / "sm").glob("part-*"))) > 2
     want = {f"t{t}": "".join(r.text for r in sorted(lines.collect(), key=lambda r: r.line) if r.taxon == f"t{t}") for t in (0, 1)}
     assert {r.header: r.seq for r in fasta.read_fasta(spark, str(tmp_path / "sm"), in_parts=True).collect()} == want
+
+
+def test_presence_cells_hold_the_absent_ones_too(spark):
+    rows = [("f", "a"), ("f", "a"), ("f", "b"), ("g", "c"), ("h", None)]
+    got = FM.presence_cells(spark.createDataFrame(rows, "family string, strain string")).collect()
+    assert len(got) == 12 and {(r.family, r.strain) for r in got if r.present} == set(rows)
+    assert {r.present for r in got} == {0, 1}
