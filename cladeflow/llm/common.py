@@ -18,8 +18,18 @@ LOWER = UPPER.lower()
 LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, unless the session already does: a batch of long texts is held several times by a task."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, str(2 << 20))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One table of a data folder."""
+    short_batches(spark)
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
@@ -67,6 +77,7 @@ def mapped(df: DataFrame, step: Callable[[pa.RecordBatch], dict], schema: str, f
     ``forget`` is called at the end of a task: workers are used again, and what one stage keeps is lost memory to the next.
     """
     kind = to_arrow(schema)
+    short_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:

@@ -99,9 +99,12 @@ def unequal(docs: DataFrame, repeated: DataFrame, primes: tuple[int, ...] = PRIM
     The texts of a group are compared chunk by chunk: a chunk is the same in all of them if the smallest
     and the largest are equal, and both are combined inside each task before anything is shuffled.
     """
+    turn = [0]          # goes on over the batches of a task, which may be of one row
+
     def chunks(batch: pa.RecordBatch) -> dict:
         data, size, a, b = _marks(batch, primes)
-        return {"salt": [i % SALTS for i in range(batch.num_rows)], "fp_length": size, "fp_a": a, "fp_b": b,
+        turn[0] += batch.num_rows
+        return {"salt": [(turn[0] + i) % SALTS for i in range(batch.num_rows)], "fp_length": size, "fp_a": a, "fp_b": b,
                 "chunks": [[x[i:i + PIECE] for i in range(0, len(x), PIECE)] for x in data]}
 
     rows = mapped(docs.select("text"), chunks, "salt int, fp_length long, fp_a long, fp_b long, chunks array<binary>")

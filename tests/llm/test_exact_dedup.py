@@ -66,3 +66,11 @@ def test_kept_documents_keep_columns_of_any_name(spark):
     kept = dedup.kept_documents(docs)
     assert kept.columns == docs.columns
     assert sorted(map(tuple, kept.collect())) == [(2, "A", 6, "t", "p", 8, 2, 1), (3, "b", 7, "u", "q", 7, 1, 1)]
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    from cladeflow.llm.common import mapped
+
+    docs = spark.range(24).coalesce(1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    got = mapped(docs, lambda b: {"n": [b.num_rows] * b.num_rows}, "n int").collect()
+    assert len(got) == 24 and max(r.n for r in got) <= 4
