@@ -19,11 +19,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mapped, texts, to_arrow
+from .common import to_arrow
 
 END = 1
 FIRST = 1 << 16            # the first nonterminal
@@ -31,35 +32,88 @@ BLOCK = 1 << 18            # ids of a block
 RULES, LEAST = 4096, 12    # rules of one pass over a block, and how often a pair must occur; passes go on until none does
 EVERY = 64
 CACHE = 1 << 19
-BLANK = re.compile("[ \t\n\r\x0b\x0c]+")
+LINE = 500                 # pieces that the library gets at once
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|\n|[^a-z0-9\n]+")      # as in the vocabulary file, for lower-case ASCII in lines
 ROW = "part int, block int, doc_ids array<long>, counts array<long>, total long, rules binary, body binary, places binary"
 
 
+def gathered(flat: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists laid end to end in ``flat``, taken in the order of their numbers, and their sizes in that order."""
+    starts, many = np.cumsum(sizes) - sizes, sizes[order]
+    return flat[np.repeat(starts[order] - np.cumsum(many) + many, many) + np.arange(many.sum())], many
+
+
+def strings(column: pa.Array) -> list[str]:
+    """The texts of a column; faster than its own list for many short ones."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
-    """The library's encoding, with the ids of words met so far.
+    """The library's encoding, with the ids of pieces met so far.
 
-    Text is cut at blanks, which no token of this vocabulary crosses; the library encodes each distinct word.
+    Text is cut at blanks, which no token of this vocabulary crosses; a distinct word of a batch is encoded once.  Words of
+    printable ASCII are cut further, as the vocabulary's own pattern does, so that the library encodes distinct pieces; all
+    other words, and those that may hold a special token, go to it whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.library, self.known = Tokenizer.from_file(path), {}
+        self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget the pieces: their numbers, and by number their ids."""
+        self.known, self.flat, self.sizes = {}, np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def __call__(self, text: str) -> np.ndarray:
-        words = [w for w in BLANK.split(text) if w]
+        return self.batch(pa.array([text], pa.string()))[0]
+
+    def batch(self, column: pa.Array) -> list[np.ndarray]:
+        """Ids of every text of a column, the end id last; null is empty."""
+        words = pc.ascii_split_whitespace(pc.fill_null(column, ""))
+        coded, ends = words.flatten().dictionary_encode(), np.cumsum(pc.list_value_length(words).to_numpy())
+        flat, sizes = self.words(coded.dictionary)
+        order = np.insert(coded.indices.to_numpy(), ends, len(sizes))        # the end id is one more word after each text
+        ids, many = gathered(np.append(flat, END), np.append(sizes, 1), order)
+        return np.split(ids, np.cumsum(many)[ends + np.arange(len(ends))][:-1])
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, end to end, and how many each has."""
+        plain = pc.and_not(pc.match_substring_regex(words, "^[!-~]*$"), pc.match_substring(words, "<|"))
+        lines = "\n".join([*strings(words.filter(plain)), ""]).lower()
+        pieces = pa.array(PIECE.findall(lines), pa.string()).dictionary_encode()
+        names, codes = strings(pieces.dictionary), pieces.indices.to_numpy()
+        flat, many = gathered(*self.pieces(names), codes)
+        sizes = np.diff(np.cumsum(many)[codes == (names.index("\n") if names else -1)], prepend=0)
+        more, own = self.pieces(strings(words.filter(pc.invert(plain))))
+        first = plain.to_numpy(zero_copy_only=False)
+        return gathered(np.append(flat, more), np.append(sizes, own), np.where(first, np.cumsum(first) - 1, len(sizes) + np.cumsum(~first) - 1))
+
+    def pieces(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct texts by the library, end to end, and how many each has."""
+        if len(self.known) > CACHE or len(self.flat) > 8 * CACHE:
+            self.clear()
         known = self.known
-        found = [known.get(w) for w in words]
-        if None in found:
-            missing = list({w for w, ids in zip(words, found, strict=True) if ids is None})
-            new = dict(zip(missing, (e.ids for e in self.library.encode_batch_fast(missing, add_special_tokens=False)), strict=True))
-            if len(known) > CACHE:
-                known.clear()
-            known.update((w, ids) for w, ids in new.items() if len(w) <= 40)
-            found = [ids if ids is not None else new[w] for w, ids in zip(words, found, strict=True)]
-        return np.fromiter(chain(chain.from_iterable(found), (END,)), np.int64)
+        missing = [x for x in names if x not in known]
+        if missing:
+            flat, sizes = self.encoded(missing)
+            self.flat, self.sizes = np.append(self.flat, flat), np.append(self.sizes, sizes)
+            known.update(zip(missing, range(len(known), len(known) + len(missing)), strict=True))
+        return gathered(self.flat, self.sizes, np.fromiter(map(known.__getitem__, names), np.int64, len(names)))
+
+    def encoded(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``pieces`` by the library alone, which gets them in lines; the offsets of tokens tell whose they are."""
+        lines = [names[i:i + LINE] for i in range(0, len(names), LINE)]
+        flat, sizes = [], []
+        for line, found in zip(lines, self.library.encode_batch([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            starts = np.cumsum([0, *(len(x) + 1 for x in line[:-1])])
+            first = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
+            flat.append(np.array(found.ids, np.int64))
+            sizes.append(np.bincount(np.searchsorted(starts, first, "right") - 1, minlength=len(line)))
+        return np.concatenate(flat), np.concatenate(sizes)
 
 
 @functools.lru_cache(maxsize=2)
@@ -159,8 +213,7 @@ def write(docs: DataFrame, vocabulary: str, path: str, block: int = BLOCK) -> No
             return pa.RecordBatch.from_pylist([row], schema=form)
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-                ids = encode(text)
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode.batch(batch.column("text")), strict=True):
                 if held and size + len(ids) > block:
                     yield flush()
                     names, held, size, number = [], [], 0, number + 1

@@ -2,6 +2,7 @@ import uuid
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -21,6 +22,30 @@ def test_any_text_is_encoded_like_the_library(text):
         assert rp.encoder(PATH)(t).tolist() == [*LIBRARY.encode(t, add_special_tokens=False).ids, rp.END]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=30), st.text("aB1'st!\u0301é <|", max_size=30)), min_size=1, max_size=8))
+def test_a_batch_is_encoded_like_its_texts(texts):
+    texts = [*texts, None, "It's <|endoftext|>x y<|startoftext|> ''s 'S e\u0301 \u0301e \x1c\x85 a\u00a0b 12é3"]
+    got = rp.encoder(PATH).batch(pa.array(texts, pa.string()))
+    assert [x.tolist() for x in got] == [[*LIBRARY.encode(t or "", add_special_tokens=False).ids, rp.END] for t in texts]
+
+
+def test_the_library_gets_distinct_pieces_not_distinct_words():
+    encode = rp.Encoder(PATH)
+    text = " ".join(f"word{i}!" for i in range(2000))
+    assert encode(text).tolist() == [*LIBRARY.encode(text, add_special_tokens=False).ids, rp.END]
+    assert len(encode.known) < 20
+
+
+def test_pieces_are_forgotten_in_time(monkeypatch):
+    monkeypatch.setattr(rp, "CACHE", 10)
+    encode = rp.Encoder(PATH)
+    for i in range(30):
+        text = " ".join(chr(97 + i % 26) * n for n in range(1, 9))
+        assert encode(text).tolist() == [*LIBRARY.encode(text, add_special_tokens=False).ids, rp.END]
+    assert len(encode.known) < 30
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=300), st.integers(0, 300), st.integers(0, 300))
 def test_any_stretch_is_decoded(ids, a, b):
