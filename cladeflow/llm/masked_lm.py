@@ -37,6 +37,7 @@ ROUNDS, BATCH, RATE = 2, 2048, 0.3
 FAN_IN = 64                  # sets of weights averaged by one task
 SLICE = 1 << 14              # positions scored at once
 LISTED = 1 << 16             # words whose counts tasks hold; those of the other words are joined
+MET = 1 << 17                # words whose tokens a task keeps
 KEPT = 1 << 19               # distinct words counted by a task before it hands them on
 
 Weights = dict[str, np.ndarray]
@@ -92,7 +93,10 @@ class Known(dict):
     """Tokens of words; a word that is not listed gets one of the shared tokens."""
 
     def __missing__(self, word: bytes) -> int:
-        return TOKENS - SHARED + zlib.crc32(word) % SHARED
+        at = TOKENS - SHARED + zlib.crc32(word) % SHARED
+        if len(self) < MET and len(word) <= 40:
+            self[word] = at
+        return at
 
 
 def tokens(data: bytes, known: Known) -> np.ndarray:
@@ -107,17 +111,10 @@ def windows(own: np.ndarray) -> np.ndarray:
     return np.stack([wide[i:i + len(own)] for i in range(2 * SIDE + 1) if i != SIDE], 1)
 
 
-def forward(w: Weights, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Embedded windows, hidden values and log-probabilities of the groups."""
-    x = w["words"].take(around, axis=0).reshape(len(around), -1)
-    h = np.tanh(x @ w["hidden"] + w["hidden_bias"])
-    return x, h, log_softmax(h @ w["group"] + w["group_bias"])
-
-
-def log_softmax(logits: np.ndarray) -> np.ndarray:
-    """Logarithm of the softmax of each row."""
+def picked(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Of the logarithm of the softmax of each row, the value at the place ``own``."""
     logits = logits - logits.max(1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(1, keepdims=True))
+    return logits[np.arange(len(own)), own] - np.log(np.exp(logits).sum(1))
 
 
 def members(own: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -132,11 +129,11 @@ def members(own: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 def log_probabilities(w: Weights, own: np.ndarray, around: np.ndarray) -> np.ndarray:
     """Log-probability of every token given those around it."""
-    _, h, groups = forward(w, around)
-    out = groups[np.arange(len(own)), own // WITHIN].astype(np.float64)
+    x = w["words"].take(around, axis=0).reshape(len(around), -1)
+    h = np.tanh(x @ w["hidden"] + w["hidden_bias"])
+    out = picked(h @ w["group"] + w["group_bias"], own // WITHIN).astype(np.float64)
     for g, at in members(own):
-        inner = log_softmax(h[at] @ w["within"][g] + w["within_bias"][g])
-        out[at] += inner[np.arange(len(at)), own[at] % WITHIN]
+        out[at] += picked(h[at] @ w["within"][g] + w["within_bias"][g], own[at] % WITHIN)
     return out
 
 
@@ -193,13 +190,18 @@ def descend(w: Weights, own: np.ndarray, around: np.ndarray, rate: float) -> Non
 
 def train(docs: DataFrame, words: dict[bytes, int], rounds: int = ROUNDS) -> Weights:
     """Weights trained on every position of all documents by all tasks."""
+    return train_coded(written(coded(docs, words)), rounds)
+
+
+def train_coded(rows: DataFrame, rounds: int = ROUNDS) -> Weights:
+    """``train`` on texts that ``coded`` has turned into tokens."""
     weights, kind = packed(drawn()), "task int, many long, weights binary"
     form = to_arrow(kind)
     for number in range(rounds):
-        held = docs.sparkSession.sparkContext.broadcast((words, weights))      # of fixed size
+        held = rows.sparkSession.sparkContext.broadcast(weights)      # of fixed size
 
         def run(batches: Iterator[pa.RecordBatch], held=held, number=number) -> Iterator[pa.RecordBatch]:
-            known, w = Known(held.value[0]), unpacked(held.value[1])
+            w = unpacked(held.value)
             many, waiting, size = 0, [], 0
             rate = RATE / (1 + number)
 
@@ -210,8 +212,8 @@ def train(docs: DataFrame, words: dict[bytes, int], rounds: int = ROUNDS) -> Wei
                     descend(w, own[order[i:i + BATCH]], around[order[i:i + BATCH]], rate)
 
             for batch in batches:
-                for data in raw(batch):
-                    own = tokens(data, known)
+                for data in raw(batch, "tokens"):
+                    own = numbers(data)
                     at = slice(number, None, rounds)
                     if len(own) > number:
                         waiting.append((own[at], windows(own)[at]))
@@ -226,7 +228,7 @@ def train(docs: DataFrame, words: dict[bytes, int], rounds: int = ROUNDS) -> Wei
                 row = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([many], pa.int64()), pa.array([packed(w)], pa.binary())]
                 yield pa.RecordBatch.from_arrays(row, schema=form)
 
-        weights = averaged(written(docs.select("text").mapInArrow(run, kind)), weights)
+        weights = averaged(written(rows.select("tokens").mapInArrow(run, kind)), weights)
     return unpacked(weights)
 
 
@@ -247,12 +249,24 @@ def _mean(task: int, part: pa.Table) -> pa.Table:
                      "weights": pa.array([(total / many.sum()).astype(np.float32).tobytes()], pa.binary())})
 
 
-def score(docs: DataFrame, words: dict[bytes, int], weights: Weights, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_tokens, log_likelihood and its mean by token for every row, and its text if it is kept."""
-    held = docs.sparkSession.sparkContext.broadcast((words, weights))
+def numbers(data: bytes) -> np.ndarray:
+    """Tokens from the bytes that ``coded`` keeps."""
+    return np.frombuffer(data, "<u2").astype(np.int64)
+
+
+def score(docs: DataFrame, words: dict[bytes, int], weights: Weights) -> DataFrame:
+    """doc_id, n_tokens, log_likelihood and its mean by token for every row."""
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
+    return score_coded(coded(docs, words), weights).drop("row").withColumn("mean_log_likelihood", mean)
+
+
+def score_coded(rows: DataFrame, weights: Weights) -> DataFrame:
+    """row, doc_id, n_tokens, log_likelihood, and ``share`` where there is one, of texts that ``coded`` has turned into tokens."""
+    shares = [c for c in rows.columns if c == "share"]
+    held = rows.sparkSession.sparkContext.broadcast(weights)
 
     def step(batch: pa.RecordBatch) -> dict:
-        known, w, counts, sums = Known(held.value[0]), held.value[1], [], np.zeros(batch.num_rows)
+        w, counts, sums = held.value, [], np.zeros(batch.num_rows)
         waiting, size = [], 0
 
         def settle() -> None:
@@ -261,8 +275,8 @@ def score(docs: DataFrame, words: dict[bytes, int], weights: Weights, keep_text:
                 part = slice(i, i + SLICE)
                 sums[:] += np.bincount(row[part], log_probabilities(w, own[part], around[part]), batch.num_rows)
 
-        for i, data in enumerate(raw(batch)):
-            own = tokens(data, known)
+        for i, data in enumerate(raw(batch, "tokens")):
+            own = numbers(data)
             counts.append(len(own))
             if len(own):
                 waiting.append((own, windows(own), np.full(len(own), i)))
@@ -272,10 +286,9 @@ def score(docs: DataFrame, words: dict[bytes, int], weights: Weights, keep_text:
                 waiting, size = [], 0
         if size:
             settle()
-        return {"doc_id": batch.column("doc_id"), "text": batch.column("text"), "n_tokens": counts, "log_likelihood": sums,
-                "mean_log_likelihood": [s / n if n else None for s, n in zip(sums.tolist(), counts, strict=True)]}
+        return {"row": batch.column("row"), "doc_id": batch.column("doc_id"), "n_tokens": counts, "log_likelihood": sums} | {c: batch.column(c) for c in shares}
 
-    return mapped(docs.select("doc_id", "text"), step, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double" + ", text string" * keep_text)
+    return mapped(rows.select("row", "doc_id", "tokens", *shares), step, "row long, doc_id long, n_tokens long, log_likelihood double" + ", share double" * len(shares))
 
 
 def listed(counts: DataFrame) -> tuple[dict[bytes, int], DataFrame]:
@@ -302,34 +315,65 @@ def shared_totals(counts: DataFrame, words: dict[bytes, int]) -> np.ndarray:
     return out
 
 
-def score_words(docs: DataFrame, words: dict[bytes, int], weights: Weights, counts: DataFrame) -> DataFrame:
-    """``score`` by words: a word of a shared token gets its counted share of the token's probability.
+def coded(docs: DataFrame, words: dict[bytes, int], known: dict[bytes, int] | None = None, totals: np.ndarray | None = None) -> DataFrame:
+    """row, doc_id and tokens of every text, each text split once.
 
-    Counts of frequent words are held by every task; the others leave a row of the scores as a list and are joined.
-    A word that was not counted is taken as seen once.
+    With the counts of frequent words and of the shared tokens also ``share``, what these words add to the score, and the list of
+    the rarer words, ``rare``.
     """
-    known, rest = listed(counts)
-    held = docs.sparkSession.sparkContext.broadcast((words, known, np.log(np.maximum(shared_totals(counts, words), 1))))
+    held = docs.sparkSession.sparkContext.broadcast((words, None if totals is None else ({w: math.log(n) for w, n in known.items()}, np.log(np.maximum(totals, 1)))))
+    kind = "row long, doc_id long, tokens binary" + ("" if totals is None else ", share double, rare array<struct<word: binary, n: long>>")
+    form = to_arrow(kind)
 
-    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known, totals = held.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens_of, counted = Known(held.value[0]), held.value[1]
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            sums, rare = [], []
+            kept, sums, names, many, ends = [], [], [], [], [0]
             for data in raw(batch):
-                found = Counter(w for w in data.translate(LOWERED).split() if w not in words)
-                sums.append(math.fsum(n * (math.log(known.get(w, 1)) - totals[zlib.crc32(w) % SHARED]) for w, n in found.items()))
-                rare.append([{"word": w, "n": n} for w, n in found.items() if w not in known])
-            columns = [pa.array(range(number, number + batch.num_rows), pa.int64()), *(batch.column(c) for c in ("doc_id", "n_tokens", "log_likelihood")), pa.array(sums, pa.float64()), pa.array(rare, form.field("rare").type)]
+                said = data.translate(LOWERED).split()
+                own = np.fromiter(map(tokens_of.__getitem__, said), np.int64, len(said))
+                kept.append(own.astype("<u2").tobytes())
+                if counted is not None:
+                    logs, shared = counted
+                    places = np.flatnonzero(own >= TOKENS - SHARED)
+                    found = Counter(map(said.__getitem__, places.tolist()))
+                    sums.append(math.fsum(n * logs.get(w, 0.0) for w, n in found.items()) - math.fsum(shared[own[places] - (TOKENS - SHARED)]))
+                    rare = [w for w in found if w not in logs]
+                    names += rare
+                    many += map(found.__getitem__, rare)
+                    ends.append(len(names))
+            columns = [pa.array(range(number, number + batch.num_rows), pa.int64()), batch.column("doc_id"), pa.array(kept, pa.binary())]
+            if counted is not None:
+                pairs = pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(many, pa.int64())], names=["word", "n"])
+                columns += [pa.array(sums, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs).cast(form.field("rare").type)]
             number += batch.num_rows
             yield pa.RecordBatch.from_arrays(columns, schema=form)
 
-    kind = "row long, doc_id long, n_tokens long, log_likelihood double, share double, rare array<struct<word: binary, n: long>>"
-    form = to_arrow(kind)
-    rows = written(score(docs, words, weights, keep_text=True).mapInArrow(shares, kind))
+    return docs.select("doc_id", "text").mapInArrow(run, kind)
+
+
+def score_words(docs: DataFrame, words: dict[bytes, int], weights: Weights, counts: DataFrame) -> DataFrame:
+    """``score`` by words: a word of a shared token gets its counted share of the token's probability.
+
+    A word that was not counted is taken as seen once.
+    """
+    rows, rest = shared(docs, words, counts)
+    return scored(rows, weights, rest)
+
+
+def shared(docs: DataFrame, words: dict[bytes, int], counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The texts as ``coded`` gives them with the shares of frequent words, written, and the counts of all other words."""
+    known, rest = listed(counts)
+    return written(coded(docs, words, known, shared_totals(counts, words))), rest
+
+
+def scored(rows: DataFrame, weights: Weights, rest: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, log_likelihood and its mean by words: the rarer ones, listed with each text, are joined with their counts."""
     missed = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n")
     added = (missed.join(rest, "word", "left").groupBy("row")
              .agg(F.sum(F.col("n") * F.log(F.coalesce("many", F.lit(1)).cast("double"))).alias("added")))
+    plain = score_coded(rows, weights)
     total = F.col("log_likelihood") + F.col("share") + F.coalesce("added", F.lit(0.0))
-    return (rows.drop("rare").join(added, "row", "left").select("doc_id", "n_tokens", total.alias("log_likelihood"))
+    return (plain.join(added, "row", "left").select("doc_id", "n_tokens", total.alias("log_likelihood"))
             .withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))))

@@ -55,7 +55,8 @@ def op5_masked_lm(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     counts = written(masked_lm.word_counts(docs))
     words = masked_lm.vocabulary(docs, counts)
-    return masked_lm.score_words(docs, words, masked_lm.train(docs, words), counts)
+    rows, rest = masked_lm.shared(docs, words, counts)
+    return masked_lm.scored(rows, masked_lm.train_coded(rows), rest)
 
 
 def op6_bpe(spark: SparkSession, folder: str) -> DataFrame:

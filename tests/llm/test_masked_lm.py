@@ -119,3 +119,17 @@ def test_query_tells_a_frequent_word_from_a_rare_one_of_its_token(spark, tmp_pat
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.log_likelihood for r in op5_masked_lm(spark, str(tmp_path)).collect()}
     assert abs(got[1] - got[2] - np.log(5)) < 1e-6
+
+
+def test_every_text_is_split_into_tokens_once(spark, monkeypatch):
+    split, coded = [], lm.coded
+    monkeypatch.setattr(lm, "coded", lambda docs, *a: split.append(docs.count()) or coded(docs, *a))
+    docs = table(spark, DATA, "documents")
+    assert op5_masked_lm(spark, DATA).count() == docs.count() and split == [docs.count()]
+
+
+def test_tokens_are_kept_as_they_are(spark):
+    docs = spark.createDataFrame([(1, "One two  one"), (2, None), (3, " ".join(f"w{i}" for i in range(300)))], "doc_id long, text string")
+    words = lm.vocabulary(docs.where("doc_id = 1"))
+    for r in docs.join(lm.coded(docs, words), "doc_id").collect():
+        assert lm.numbers(r.tokens).tolist() == lm.tokens((r.text or "").encode(), lm.Known(words)).tolist()
