@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,6 +67,21 @@ def unpacked(data: bytes) -> Weights:
     return out
 
 
+def split(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Where the words of each text end, the words by number, and the distinct words; A-Z are lower-cased."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(batch.column("text"), "")))
+    coded = lists.flatten().dictionary_encode()
+    words, codes = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+    if b"" in words:            # before, behind or without words
+        empty = words.index(b"")
+        real = codes != empty
+        ends, codes = np.append(0, np.cumsum(real))[ends], codes[real]
+        codes = codes - (codes > empty)
+        del words[empty]
+    return ends, codes, words
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """word and count over all documents."""
     form = to_arrow("word binary, many long")
@@ -326,27 +342,27 @@ def coded(docs: DataFrame, words: dict[bytes, int], known: dict[bytes, int] | No
     form = to_arrow(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens_of, counted = Known(held.value[0]), held.value[1]
+        listed_words, counted = Known(held.value[0]), held.value[1]
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            kept, sums, names, many, ends = [], [], [], [], [0]
-            for data in raw(batch):
-                said = data.translate(LOWERED).split()
-                own = np.fromiter(map(tokens_of.__getitem__, said), np.int64, len(said))
-                kept.append(own.astype("<u2").tobytes())
-                if counted is not None:
-                    logs, shared = counted
-                    places = np.flatnonzero(own >= TOKENS - SHARED)
-                    found = Counter(map(said.__getitem__, places.tolist()))
-                    sums.append(math.fsum(n * logs.get(w, 0.0) for w, n in found.items()) - math.fsum(shared[own[places] - (TOKENS - SHARED)]))
-                    rare = [w for w in found if w not in logs]
-                    names += rare
-                    many += map(found.__getitem__, rare)
-                    ends.append(len(names))
+            ends, codes, said = split(batch)
+            token = np.fromiter(map(listed_words.__getitem__, said), np.int64, len(said))
+            own, starts = token[codes], np.append(0, ends[:-1])
+            kept = [x.tobytes() for x in np.split(own.astype("<u2"), ends[:-1])]
             columns = [pa.array(range(number, number + batch.num_rows), pa.int64()), batch.column("doc_id"), pa.array(kept, pa.binary())]
             if counted is not None:
-                pairs = pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(many, pa.int64())], names=["word", "n"])
-                columns += [pa.array(sums, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs).cast(form.field("rare").type)]
+                logs, shared = counted
+                known_log = np.fromiter((logs.get(w, math.nan) for w in said), np.float64, len(said))
+                place = token - (TOKENS - SHARED)
+                value = np.where(place >= 0, np.nan_to_num(known_log) - shared[np.maximum(place, 0)], 0.0)
+                text = np.repeat(np.arange(batch.num_rows), ends - starts)
+                sums = np.bincount(text, value[codes], batch.num_rows)
+                rare = ((place >= 0) & np.isnan(known_log))[codes]
+                pairs, many = np.unique(text[rare] * len(said) + codes[rare], return_counts=True)
+                stops = np.searchsorted(pairs, np.arange(batch.num_rows + 1) * len(said))
+                names = pa.array(said, pa.binary()).take(pa.array(pairs % max(len(said), 1)))
+                found = pa.StructArray.from_arrays([names, pa.array(many, pa.int64())], names=["word", "n"])
+                columns += [pa.array(sums, pa.float64()), pa.ListArray.from_arrays(pa.array(stops, pa.int32()), found).cast(form.field("rare").type)]
             number += batch.num_rows
             yield pa.RecordBatch.from_arrays(columns, schema=form)
 

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cladeflow.llm import masked_lm as lm
@@ -133,3 +134,10 @@ def test_tokens_are_kept_as_they_are(spark):
     words = lm.vocabulary(docs.where("doc_id = 1"))
     for r in docs.join(lm.coded(docs, words), "doc_id").collect():
         assert lm.numbers(r.tokens).tolist() == lm.tokens((r.text or "").encode(), lm.Known(words)).tolist()
+
+
+def test_a_batch_is_split_like_its_texts():
+    texts = [None, "", " a\x1cB  a\n", "É x\x0bA", " ", "Ünd z a"]
+    ends, codes, words = lm.split(pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())}))
+    want = [(t or "").encode().translate(lm.LOWERED).split() for t in texts]
+    assert [[words[c] for c in x] for x in np.split(codes, ends[:-1])] == want
