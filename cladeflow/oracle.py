@@ -226,8 +226,11 @@ ORACLE["class_partition"] = f"""WITH {_TOKENS}, {_FAMILIES},
 c AS (SELECT * FROM (VALUES (0, 'core'), (1, 'soft-core'), (2, 'accessory'), (3, 'unique')) v(rank, class))
 SELECT CAST(rank AS BIGINT) AS rank, c.class, count(family) AS n_families,
   round(count(family) / (SELECT count(*) FROM families), 6) AS share FROM c LEFT JOIN families f ON f.class = c.class GROUP BY 1, 2"""
-ORACLE["presence_matrix"] = f"""WITH {_TOKENS}
-SELECT DISTINCT family, strain FROM tokens"""
+ORACLE["presence_matrix"] = f"""WITH {_TOKENS},
+pairs AS (SELECT DISTINCT family, strain FROM tokens)
+SELECT f.family, concat_ws('=', s.strain, CASE WHEN p.family IS NULL THEN '0' ELSE '1' END) AS strain
+FROM (SELECT DISTINCT family FROM pairs) f CROSS JOIN (SELECT DISTINCT source AS strain FROM documents) s
+LEFT JOIN pairs p ON p.family = f.family AND p.strain IS NOT DISTINCT FROM s.strain"""
 ORACLE["presence_cells"] = f"""WITH {_TOKENS}
 SELECT f.family, s.strain, CAST(max(CASE WHEN t.strain IS NOT DISTINCT FROM s.strain THEN 1 ELSE 0 END) AS INTEGER) AS present
 FROM (SELECT DISTINCT family FROM tokens) f CROSS JOIN (SELECT DISTINCT strain FROM tokens) s JOIN tokens t ON t.family = f.family GROUP BY ALL"""

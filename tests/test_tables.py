@@ -275,3 +275,19 @@ def test_presence_cells_hold_the_absent_ones_too(spark):
     got = FM.presence_cells(spark.createDataFrame(rows, "family string, strain string")).collect()
     assert len(got) == 12 and {(r.family, r.strain) for r in got if r.present} == set(rows)
     assert {r.present for r in got} == {0, 1}
+
+
+def test_presence_matrix_has_every_cell(spark, tmp_path):
+    import duckdb
+
+    from cladeflow.catalog import QUERIES
+    from cladeflow.oracle import ORACLE
+
+    rows = [(1, "a b", "x"), (2, "B c", "y"), (3, "1 2", "z"), (4, "a", None), (5, None, "")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.family, r.strain) for r in QUERIES["presence_matrix"](spark, str(tmp_path)).collect()}
+    held = {"a": {"x", None}, "b": {"x", "y"}, "c": {"y"}}
+    assert got == {(f, ("" if s is None else f"{s}=") + str(int(s in held[f]))) for f in held for s in ("x", "y", "z", None, "")}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert set(con.execute(ORACLE["presence_matrix"]).fetchall()) == got
