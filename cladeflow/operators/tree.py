@@ -8,6 +8,7 @@ all children of a node lie on one level, so a level is one aggregation.
 from __future__ import annotations
 
 import hashlib
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +25,8 @@ from cladeflow.params import PERMUTATIONS, SEED
 
 LEVELS_PER_CHECKPOINT = 8
 NODE_BYTES = 160
+TILE = 8                  # blocks of a table that meet others in one group
+AT_ONCE = 1 << 32         # (carriers times scores) squared, up to which a node's children are multiplied in one task
 
 
 @dataclass(frozen=True)
@@ -197,11 +200,11 @@ def clumping_test(tree: Tree, presence: DataFrame, n_perms: int = PERMUTATIONS,
         "gene", "n_tips", "changes_observed", "changes_expected", "p_clumped")
 
 
-_COEFFICIENTS = "parent string, child string, t int, cap int, cup int, block int, low int, logs array<double>"
+_COEFFICIENTS = "parent string, child string, t int, cap int, block int, low int, logs array<double>"
 
 
 def _bundles(tips: DataFrame, last: int | None = None) -> DataFrame:
-    """Tips under one parent as one table up to block ``last``: n over k placements, no change, and the states they share and take."""
+    """Tips under one parent as one table up to block ``last``: n over k placements, no change, and the states they share."""
     def make(parts):
         for part in parts:
             rows = []
@@ -209,9 +212,9 @@ def _bundles(tips: DataFrame, last: int | None = None) -> DataFrame:
                 ks = np.arange(block * poly.BLOCK, (block + 1) * poly.BLOCK)
                 logs = np.full(poly.BLOCK, -np.inf)
                 logs[ks <= t] = poly.log_binomials(t, ks[ks <= t])
-                for cap, cup, here in ((1, 1, ks == 0), (2, 2, ks == t), (0, 3, (ks > 0) & (ks < t))):
+                for cap, here in ((1, ks == 0), (2, ks == t), (0, (ks > 0) & (ks < t))):
                     if here.any():
-                        rows.append((parent, "", t, cap, cup, block, 0, np.where(here, logs, -np.inf)))
+                        rows.append((parent, "", t, cap, block, 0, np.where(here, logs, -np.inf)))
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in _COEFFICIENTS.split(", ")])
 
     end = F.floor(F.col("t") / poly.BLOCK).cast("int")
@@ -219,44 +222,49 @@ def _bundles(tips: DataFrame, last: int | None = None) -> DataFrame:
     return cut.select("parent", "t", "block").mapInPandas(make, _COEFFICIENTS)
 
 
-def _tables(part: pd.DataFrame) -> list[np.ndarray]:
-    return [np.asarray(x, dtype=float).reshape(-1, poly.BLOCK) for x in part["logs"]]
+def _gathered(part: pd.DataFrame) -> poly.Tables:
+    return poly.gathered(zip(part["cap"], part["block"], part["low"], part["logs"]))
+
+
+def _at_once(rows: DataFrame, last: int | None = None) -> DataFrame:
+    """All children of each parent together in one task, those of fewest tips first: for parents of little work."""
+    def merge(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        heap = [(int(own["t"].iloc[0]), at, _gathered(own)) for at, (_, own) in enumerate(part.groupby("child", sort=True))]
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            (t, _, x), (u, at, y) = heapq.heappop(heap), heapq.heappop(heap)
+            heapq.heappush(heap, (t + u, at, poly.combined(x, y, last)))
+        t, _, tables = heap[0]
+        return pd.DataFrame([(*key, t, cap, block, low, table.ravel()) for (cap, block), (low, table) in tables.items()],
+                            columns=["parent", "t", "cap", "block", "low", "logs"])
+
+    return rows.repartition(task_count(rows.sparkSession), "parent").groupBy("parent").applyInPandas(merge, "parent string, t int, cap int, block int, low int, logs array<double>")
 
 
 def _products(rows: DataFrame, pairs: DataFrame, last: int | None = None) -> DataFrame:
-    """Products of the two tables of each pair of siblings, block by block, as parts of the result's blocks up to ``last``.
+    """Products of the two tables of each pair of siblings, as parts of the result's blocks up to ``last``.
 
-    A block of one sibling is sent to every block of the other, under the key of both, so that no task holds a whole
-    table and a heavy pair is as many groups as it has pairs of blocks.
+    ``TILE`` neighbouring blocks of one sibling are sent to as many of the other, under the key of both, so that no task holds a
+    whole table and a heavy pair is as many groups as it has pairs of tiles.
     """
-    end = F.floor(F.col("t_other") / poly.BLOCK).cast("int")
-    other = F.sequence(F.lit(0), end if last is None else F.least(end, last - F.col("block")))
-    met = (rows.join(pairs, ["parent", "half"]).withColumn("side", F.col("place") % 2)
+    end = F.floor(F.col("t_other") / (poly.BLOCK * TILE)).cast("int")
+    tile = F.floor(F.col("block") / TILE).cast("int")
+    other = F.sequence(F.lit(0), end if last is None else F.least(end, last // TILE - F.col("tile")))
+    met = (rows.join(pairs, ["parent", "half"]).withColumn("side", F.col("place") % 2).withColumn("tile", tile)
            .withColumn("t_other", F.when(F.col("side") == 0, F.col("t1")).otherwise(F.col("t0")))
            .withColumn("beside", F.explode(other)))
-    met = met.select("parent", "half", "t0", "t1", "side", "cap", "cup", "low", "logs", *[
-        F.when(F.col("side") == side, F.col("block")).otherwise(F.col("beside")).alias(f"b{side}") for side in (0, 1)])
+    met = met.select("parent", "half", "t0", "t1", "side", "cap", "block", "low", "logs", *[
+        F.when(F.col("side") == side, F.col("tile")).otherwise(F.col("beside")).alias(f"b{side}") for side in (0, 1)])
 
     def multiply(part: pd.DataFrame) -> pd.DataFrame:
-        first, sides, found = part.iloc[0], [], {}
-        for side in (0, 1):
-            own = part[part["side"] == side]
-            sides.append(list(zip(own["cap"], own["cup"], own["low"], _tables(own))))
-        for cap_x, cup_x, low_x, x in sides[0]:
-            for cap_y, cup_y, low_y, y in sides[1]:
-                found.setdefault((cap_x & cap_y, cup_x | cup_y), []).append((low_x + low_y, poly.product(x, y)))
-        rows = []
-        for (cap, cup), parts in found.items():
-            low, table = poly.total(parts)
-            for step, piece in enumerate((table[:, :poly.BLOCK], table[:, poly.BLOCK:])):
-                wide = np.full((len(piece), poly.BLOCK), -np.inf)
-                wide[:, :piece.shape[1]] = piece
-                if np.isfinite(wide).any() and (last is None or first["b0"] + first["b1"] + step <= last):
-                    rows.append((first["parent"], int(first["half"]), int(first["t0"] + first["t1"]), cap, cup, int(first["b0"] + first["b1"] + step), low, wide.ravel()))
-        return pd.DataFrame(rows, columns=["parent", "place", "t", "cap", "cup", "block", "low", "logs"])
-
-    return met.groupBy("parent", "half", "b0", "b1").applyInPandas(
-        multiply, "parent string, place int, t int, cap int, cup int, block int, low int, logs array<double>")
+        first = part.iloc[0]
+        tables = poly.combined(*[_gathered(part[part["side"] == side]) for side in (0, 1)], last)
+        return pd.DataFrame([(first["parent"], int(first["half"]), int(first["t0"] + first["t1"]), cap, block, low, table.ravel())
+                             for (cap, block), (low, table) in tables.items()], columns=["parent", "place", "t", "cap", "block", "low", "logs"])
+
+    tasks, keys = 4 * task_count(rows.sparkSession), ["parent", "half", "b0", "b1"]
+    return met.repartition(tasks, *keys).groupBy(*keys).applyInPandas(
+        multiply, "parent string, place int, t int, cap int, block int, low int, logs array<double>")
 
 
 def _summed(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -265,10 +273,28 @@ def _summed(rows: DataFrame, by: list[str]) -> DataFrame:
     kind = ", ".join(f"{rows.schema[c].name} {rows.schema[c].dataType.simpleString()}" for c in keys) + ", low int, logs array<double>"
 
     def add(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        low, table = poly.total(list(zip(part["low"], _tables(part))))
+        low, table = poly.total([(low, np.asarray(x, dtype=float).reshape(-1, poly.BLOCK)) for low, x in zip(part["low"], part["logs"])])
         return pd.DataFrame([(*key, int(low), table.ravel())], columns=[*keys, "low", "logs"])
 
-    return rows.groupBy(*keys).applyInPandas(add, kind)
+    return rows.repartition(task_count(rows.sparkSession), *keys).groupBy(*keys).applyInPandas(add, kind)
+
+
+def _by_halves(rows: DataFrame, last: int | None = None) -> DataFrame:
+    """All children of each parent together, two and two: the longest chain is the logarithm of their number."""
+    order = Window.partitionBy("parent").orderBy("child")
+    places = checkpoint(rows.groupBy("parent", "child").agg(F.first("t").alias("t")).withColumn("place", F.row_number().over(order) - 1))
+    rows = checkpoint(rows.join(places.select("parent", "child", "place"), ["parent", "child"]).drop("child"))
+    sizes = places.select("parent", "place", "t")
+    while (sizes.agg(F.max("place")).first()[0] or 0) > 0:
+        half = F.floor(F.col("place") / 2).cast("int")
+        halves = checkpoint(sizes.groupBy("parent", half.alias("half")).agg(
+            F.sum("t").cast("int").alias("t"), F.min_by("t", "place").alias("t0"), F.max_by("t", "place").alias("t1"), F.count("*").alias("n")))
+        halved = rows.withColumn("half", half)
+        met = _summed(_products(halved.drop("t"), halves.filter("n = 2").drop("t", "n"), last), ["parent", "place", "t", "cap"])
+        alone = halved.join(halves.filter("n = 1").select("parent", "half"), ["parent", "half"]).withColumn("place", F.col("half")).drop("half")
+        rows = checkpoint(met.unionByName(alone.select(*met.columns)))
+        sizes = halves.select("parent", F.col("half").alias("place"), "t")
+    return rows.drop("place")
 
 
 def exact_null(tree: Tree, most: int | None = None) -> DataFrame:
@@ -276,47 +302,43 @@ def exact_null(tree: Tree, most: int | None = None) -> DataFrame:
 
     For every number k of carriers, the share of the placements of k carriers on the tips that need that many changes;
     ``log_share`` is its logarithm and holds where the share is too small for a double.  A subtree is a generating
-    polynomial: coefficients by carriers and score for each pair of states that its children share (``cap``) and take
-    (``cup``).  Siblings are multiplied two and two, in blocks of k, so the longest chain at a node is the logarithm of its children.
+    polynomial: coefficients by carriers and score for each set of states its children share.  The children of a node are
+    multiplied in one task where that is little work, else two and two in tiles of blocks of k.
     Tips under one parent are one polynomial.  Rows grow with tips times scores, not with placements.  With ``most`` only
     k up to that number are returned; coefficients beyond its block never enter those below and are left out all along.
+    Without it the larger half of the numbers is that of the smaller one: swapping presence and absence changes no score.
     """
-    last = None if most is None else most // poly.BLOCK
     spark, risen = tree.nodes.sparkSession, None
     if tree.n_nodes == 1:        # a single tip
         return tree.nodes.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), F.lit(0).alias("changes"), F.lit(1.0).alias("share"), F.lit(0.0).alias("log_share"))
+    last = (tree.n_tips // 2 if most is None else most) // poly.BLOCK
     for depth in range(tree.max_depth - 1, -1, -1):
         tips = tree.level(depth + 1).filter("is_tip").groupBy("parent").agg(F.count("*").cast("int").alias("t"))
         rows = _bundles(tips.repartition(task_count(spark), "parent"), last)
         if risen is not None:
             up = tree.level(depth + 1).select(F.col("node").alias("child"), "parent")
             rows = rows.unionByName(risen.join(up, "child").select(
-                "parent", "child", "t", F.col("mask").alias("cap"), F.col("mask").alias("cup"), "block", "low", "logs"))
+                "parent", "child", "t", F.col("mask").alias("cap"), "block", "low", "logs"))
         rows = checkpoint(rows)
-        order = Window.partitionBy("parent").orderBy("child")
-        places = rows.groupBy("parent", "child").agg(F.first("t").alias("t")).withColumn("place", F.row_number().over(order) - 1)
-        places = checkpoint(places)
-        rows = checkpoint(rows.join(places.select("parent", "child", "place"), ["parent", "child"]).drop("child"))
-        sizes = places.select("parent", "place", "t")
-        while (sizes.agg(F.max("place")).first()[0] or 0) > 0:
-            half = F.floor(F.col("place") / 2).cast("int")
-            halves = checkpoint(sizes.groupBy("parent", half.alias("half")).agg(
-                F.sum("t").cast("int").alias("t"), F.min_by("t", "place").alias("t0"), F.max_by("t", "place").alias("t1"), F.count("*").alias("n")))
-            halved = rows.withColumn("half", half)
-            met = _summed(_products(halved.drop("t"), halves.filter("n = 2").drop("t", "n"), last), ["parent", "place", "t", "cap", "cup"])
-            alone = halved.join(halves.filter("n = 1").select("parent", "half"), ["parent", "half"]).withColumn("place", F.col("half")).drop("half")
-            rows = checkpoint(met.unionByName(alone.select(*met.columns)))
-            sizes = halves.select("parent", F.col("half").alias("place"), "t")
-        mask = F.when(F.col("cap") != 0, F.col("cap")).otherwise(F.col("cup"))
+        held = F.least(F.sum("t"), F.lit((last + 1) * poly.BLOCK)).cast("double")
+        works = rows.groupBy("parent", "child").agg(F.first("t").alias("t"), F.max(F.col("low") + F.size("logs") / poly.BLOCK).alias("high")).groupBy("parent").agg(
+            (held * held * F.sum("high") * F.sum("high")).alias("work"))
+        heavy = checkpoint(works.filter(F.col("work") > AT_ONCE).select("parent"))
+        if heavy.isEmpty():
+            rows = _at_once(rows, last)
+        else:
+            rows = _at_once(rows.join(heavy, "parent", "left_anti"), last).unionByName(_by_halves(rows.join(heavy, "parent", "left_semi"), last).select(
+                "parent", "t", "cap", "block", "low", "logs"))
+        mask = F.when(F.col("cap") != 0, F.col("cap")).otherwise(3)
         low = F.col("low") + F.when(F.col("cap") == 0, 1).otherwise(0)
         risen = checkpoint(_summed(rows.select(F.col("parent").alias("child"), "t", mask.alias("mask"), "block", low.cast("int").alias("low"), "logs"), ["child", "t", "mask"]))
     whole = _summed(risen.select("t", "block", "low", "logs"), ["t"])
     cells = whole.select("t", "block", "low", F.posexplode("logs").alias("at", "log")).filter(F.col("log") > float("-inf"))
-    if most is not None:
-        cells = cells.filter(F.col("block") * poly.BLOCK + F.col("at") % poly.BLOCK <= most)
     k, n = F.col("block") * poly.BLOCK + F.col("at") % poly.BLOCK, F.col("t").cast("double")
+    cells = cells.filter(k <= F.lit(most) if most is not None else 2 * k <= F.col("t"))
     chance = F.col("log") - (log_gamma(n + 1.0) - log_gamma(k + 1.0) - log_gamma(n - k + 1.0))
-    return cells.select(k.alias("k"), (F.col("low") + F.floor(F.col("at") / poly.BLOCK)).cast("int").alias("changes"),
+    ks = F.array(k) if most is not None else F.when(2 * k == F.col("t"), F.array(k)).otherwise(F.array(k, F.col("t") - k))
+    return cells.select(F.explode(ks).alias("k"), (F.col("low") + F.floor(F.col("at") / poly.BLOCK)).cast("int").alias("changes"),
                         F.least(chance, F.lit(0.0)).alias("log_share")).withColumn("share", F.exp("log_share"))
 
 

@@ -4,10 +4,12 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cladeflow.functions.labels import PATTERN_CLUMPED, PATTERN_NO_TEST, PATTERN_SCATTER, PATTERN_SINGLE
+from cladeflow.functions import polynomials as poly
 from cladeflow.operators import presence as P
 from cladeflow.operators import tree as T
 from cladeflow.sources.newick import parse_newick, to_newick
@@ -297,3 +299,27 @@ def test_exact_null_up_to_a_number_of_carriers(spark):
     carriers = [("few", f"t{i}") for i in range(3)] + [("most", f"t{i}") for i in range(3, 140)]
     rows = {r.gene: r for r in T.exact_test(tree, spark.createDataFrame(carriers, "gene string, tip string")).collect()}
     assert rows["few"].p_clumped == rows["most"].p_clumped and rows["few"].changes_expected == rows["most"].changes_expected
+
+
+def test_exact_null_in_tiles_equals_that_at_once(spark, monkeypatch):
+    """Seventy tips under one parent and a hundred under others: blocks, tiles and both ways to multiply."""
+    edges = [("root", None, 0.0)] + [(f"p{i}", "root", 1.0) for i in range(5)] + [(f"t{i}", f"p{i % 4 if i < 100 else 4}", 1.0) for i in range(170)]
+    tree = T.shape(spark.createDataFrame(edges, "node string, parent string, length double"))
+    whole = {(r.k, r.changes): r.log_share for r in T.exact_null(tree).collect()}
+    monkeypatch.setattr(T, "AT_ONCE", 0)
+    monkeypatch.setattr(T, "TILE", 2)
+    got = {(r.k, r.changes): r.log_share for r in T.exact_null(tree).collect()}
+    assert set(got) == set(whole) and all(abs(got[x] - whole[x]) < 1e-9 for x in whole)
+    assert {k for k, _ in whole} == set(range(171))
+
+
+def test_products_keep_parts_of_very_different_scales():
+    rng = random.Random(5)
+    a, b = (np.array([[-math.inf if rng.random() < 0.3 else rng.uniform(-200, 0) - 400 * s * way for _ in range(poly.BLOCK)] for s in range(n)])
+            for n, way in ((6, 1), (4, -1)))
+    got = poly.product(a, b)
+    want = np.full(got.shape, -math.inf)
+    for s, t, i, j in itertools.product(range(6), range(4), range(poly.BLOCK), range(poly.BLOCK)):
+        want[s + t, i + j] = np.logaddexp(want[s + t, i + j], a[s, i] + b[t, j])
+    assert np.array_equal(np.isfinite(got), np.isfinite(want))
+    assert np.allclose(got[np.isfinite(got)], want[np.isfinite(want)], rtol=0, atol=1e-9)
